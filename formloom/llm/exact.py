@@ -62,13 +62,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     seen = possibly_repeated(digests, max_bits)
     alone = seen.where(~F.col("maybe")).select("doc_id", "text_hash", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     again = seen.where("maybe").select("doc_id", "text_hash")
-    groups = again.groupBy("text_hash").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    copy = F.row_number().over(Window.partitionBy("text_hash", "doc_id").orderBy(F.lit(0)))
-    settled = (
-        again.withColumn("copy", copy)
-        .join(groups, "text_hash")
-        .select("doc_id", "text_hash", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"))
-    )
+    rows = again.groupBy("text_hash", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    groups = rows.groupBy("text_hash").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"), F.max(F.struct("doc_id", "n"))["n"].alias("at_keep"))
+    joined = again.join(groups, "text_hash").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    # Only where the row that stays is itself repeated must one of them be picked; the join before stays free to split a
+    # large group.
+    picked = joined.where("kept AND at_keep > 1").withColumn("kept", F.row_number().over(Window.partitionBy("text_hash", "doc_id").orderBy(F.lit(0))) == 1)
+    settled = joined.where("NOT (kept AND at_keep > 1)").unionByName(picked).drop("at_keep")
     return alone.unionByName(settled).withColumn("text_sha256", F.lower(F.hex("text_hash"))).drop("text_hash")
 
 
