@@ -11,7 +11,7 @@ from formloom.llm.common import WORD, checkpointed, table, text_of
 WEIGHTS, CAP = (1, 2, 3), 3
 SEED = "mix-1"
 #: Rows that share a range of random keys, about, and the bounds on the number of ranges of a source.
-ROWS_PER_RANGE, MIN_RANGES, MAX_RANGES = 2000, 16, 8192
+ROWS_PER_RANGE, MIN_RANGES, MAX_RANGES = 500, 16, 8192
 
 
 def word_count(text: Column) -> Column:
