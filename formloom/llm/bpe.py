@@ -9,6 +9,8 @@ import base64
 import hashlib
 import heapq
 import json
+import math
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -18,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm.common import block_count, from_payloads, packed_blocks, squeeze, table, text_of, unsqueeze
+from formloom.llm.common import BLOCK_CHARS, block_count, from_payloads, packed_blocks, squeeze, table, text_of, unsqueeze
 
 #: Distinct words whose result a worker remembers; when full, the memory starts anew (only speed depends on it).
 CACHE_WORDS = 1_000_000
@@ -170,12 +172,34 @@ def _cut(data: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     return [raw[a:b] for a, b in zip(starts, ends)]
 
 
-_finders: dict[str, regex.Pattern] = {}
+_finders: dict = {}
+
+
+def _ranges(codes: list[int]) -> str:
+    """Code points as the inside of a character class."""
+    out, i = [], 0
+    while i < len(codes):
+        j = i
+        while j + 1 < len(codes) and codes[j + 1] == codes[j] + 1:
+            j += 1
+        out.append(f"\\U{codes[i]:08x}-\\U{codes[j]:08x}")
+        i = j + 1
+    return "".join(out)
 
 
 def _finder(pattern: str):
-    pattern = pattern.replace(r"[^\s", "[^" + SPACES).replace(r"\s", f"[{SPACES}]").replace(r"(?!\S)", f"(?![^{SPACES}])")
-    return (_finders.get(pattern) or _finders.setdefault(pattern, regex.compile(pattern))).findall
+    """findall of a pattern whose classes are letters, numbers and white space, as the libraries mean them.
+
+    Python's own engine is faster than one that knows \\p: its \\w is letters, numbers and the underscore, so letters
+    are \\w less all numbers. A pattern that says more is left to the other engine.
+    """
+    if not (found := _finders.get(pattern)):
+        spaced = pattern.replace(r"(?!\S)", f"(?![^{SPACES}])")
+        numbers = _ranges([c for c in range(0x110000) if unicodedata.category(chr(c)) in ("Nl", "No")])
+        plain = spaced.replace(r"[^\s\p{L}\p{N}]", f"(?:[^\\w{SPACES}]|_)").replace(r"\p{L}", rf"[^\W\d_{numbers}]").replace(r"\p{N}", rf"[\d{numbers}]").replace(r"\s", f"[{SPACES}]")
+        found = re.compile(plain) if r"\p" not in plain else regex.compile(spaced.replace(r"[^\s", "[^" + SPACES).replace(r"\s", f"[{SPACES}]"))
+        _finders[pattern] = found
+    return found.findall
 
 
 def _distinct(rows: pa.Table, find) -> list[bytes]:
@@ -192,7 +216,7 @@ def _shard(words: list[bytes], shards: int) -> np.ndarray:
     return (h % np.uint64(shards)).astype(np.int32)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, chars: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, ids array<int>): each match of the pattern encoded by the ranks, one row per input row.
 
     Blocks of documents are cut into words; each block sends each of its distinct words once to the word's shard; a
@@ -200,13 +224,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chars: int | None = N
     are read again, puts them at the words' positions. Words travel sorted and compressed, many in one row. Null and
     empty texts have no ids; a frequent word is one entry for each block, so it can't make a hot shard.
     """
-    import math
-
-    from formloom.llm.common import BLOCK_CHARS
-
     ranks = read_ranks(ranks_path)
     shared = docs.sparkSession.sparkContext.broadcast((ranks, merge_table(ranks)))  # fixed by the vocabulary, a few MB
-    blocks = block_count(docs, chars=chars or BLOCK_CHARS)
+    blocks = block_count(docs, chars=chars)
     shards = max(4, math.ceil(blocks * 1.5))
     packed = packed_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), blocks)
 
@@ -232,20 +252,21 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chars: int | None = N
                     known[w] = got = [whole] if whole is not None else merge_symbols([ranks[w[i : i + 1]] for i in range(len(w))], merges)
                 ids += got
                 lengths.append(len(got))
-            out.append(squeeze(np.array(ids, np.int32), np.array(lengths, np.int32)))
-        return pa.table({"block": group.column("block"), "shard": group.column("shard"), "ids": pa.array(out, pa.binary())})
+            out.append(squeeze(*unsqueeze(value.as_py(), "u1", "i4"), np.array(ids, np.int32), np.array(lengths, np.int32)))
+        return pa.table({"block": group.column("block"), "ids": pa.array(out, pa.binary())})
 
     def put_back(key: tuple[pa.Scalar, ...], texts: pa.Table, coded: pa.Table) -> pa.Table:
         find = _finder(pattern)
         rows = from_payloads(texts.column("payload"))
-        words = _distinct(rows, find)
-        at = _shard(words, shards)
-        order = np.argsort(at, kind="stable").tolist()  # the order in which the words were sent
-        parts = [unsqueeze(v, "i4", "i4") for _, v in sorted(zip(coded.column("shard").to_pylist(), coded.column("ids").to_pylist()))]
+        place: dict[str, int] = {}
+        parts = []
+        for value in coded.column("ids"):
+            data, ends, *part = unsqueeze(value.as_py(), "u1", "i4", "i4", "i4")
+            parts.append(part)
+            place.update(zip((w.decode() for w in _cut(data, ends)), range(len(place), len(place) + len(ends))))
         ids = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.int32)])
         lengths = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int32)]).astype(np.int64)
         starts = np.cumsum(lengths) - lengths
-        place = {words[w].decode(): i for i, w in enumerate(order)}
         flat, sizes = [], []
         for t in rows.column("text"):
             found = find(t.as_py())
@@ -258,7 +279,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chars: int | None = N
         return pa.table({"doc_id": rows.column("doc_id"), "ids": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat), pa.int32()))})
 
     sent = packed.groupBy("block").applyInArrow(words_of, "block int, shard int, words binary")
-    coded = sent.groupBy("shard").applyInArrow(encode_shard, "block int, shard int, ids binary")
+    coded = sent.groupBy("shard").applyInArrow(encode_shard, "block int, ids binary")
     return packed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(put_back, "doc_id long, ids array<int>")
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+import struct
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but the six ASCII white-space characters; bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Code points of text that one block holds, about; a block is what one Python task works on at a time.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 8_000_000
 #: Bytes of text that a packing task gathers before it writes its pieces.
 PACK_BYTES = 32 << 20
 
@@ -102,13 +103,19 @@ def texts_as_bytes(column: pa.ChunkedArray) -> Iterator[bytes]:
 
 def squeeze(*arrays: np.ndarray) -> bytes:
     """Arrays in one compressed value, for a shuffle of few large rows instead of many small ones."""
-    rows = pa.table({str(i): pa.array([a.tobytes()], pa.large_binary()) for i, a in enumerate(arrays)})
-    return to_payload(rows)
+    parts = [a.tobytes() for a in arrays]
+    raw = b"".join(parts)
+    return struct.pack(f"<{len(parts)}I", *map(len, parts)) + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unsqueeze(value: bytes, *types: str) -> list[np.ndarray]:
-    rows = pa.ipc.open_stream(value).read_all()
-    return [np.frombuffer(rows.column(i)[0].as_py(), t) for i, t in enumerate(types)]
+    sizes = struct.unpack_from(f"<{len(types)}I", value)
+    raw = pa.decompress(value[4 * len(types) :], sum(sizes), codec="zstd", asbytes=True)
+    out, at = [], 0
+    for n, kind in zip(sizes, types):
+        out.append(np.frombuffer(raw[at : at + n], kind))
+        at += n
+    return out
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -125,8 +132,3 @@ def shard_cuts(names: np.ndarray, shards: int) -> np.ndarray:
     """Where sorted 64-bit names fall into `shards` equal ranges of the name space."""
     bounds = np.array([(i << 64) // shards for i in range(1, shards)], np.uint64)
     return np.r_[0, np.searchsorted(names, bounds), len(names)]
-
-
-def arrow_rows(schema: dict[str, pa.DataType], columns: Callable[[], dict] | dict) -> pa.Table:
-    got = columns() if callable(columns) else columns
-    return pa.table({k: pa.array(got[k], t) for k, t in schema.items()})
