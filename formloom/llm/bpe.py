@@ -20,12 +20,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm.common import BLOCK_CHARS, block_count, from_payloads, packed_blocks, squeeze, table, text_of, unsqueeze
+from formloom.llm.common import block_count, from_payloads, packed_blocks, squeeze, table, text_of, unsqueeze
 
 #: Distinct words whose result a worker remembers; when full, the memory starts anew (only speed depends on it).
 CACHE_WORDS = 1_000_000
-#: Distinct words in a task of the global encoding, about.
-WORDS_PER_SHARD = 250_000
+#: Code points of a block of the encoding; larger blocks repeat fewer words among them.
+ENCODE_CHARS = 12_000_000
 
 
 def merge_symbols(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -216,7 +216,7 @@ def _shard(words: list[bytes], shards: int) -> np.ndarray:
     return (h % np.uint64(shards)).astype(np.int32)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, chars: int = BLOCK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, chars: int = ENCODE_CHARS) -> DataFrame:
     """(doc_id, ids array<int>): each match of the pattern encoded by the ranks, one row per input row.
 
     Blocks of documents are cut into words; each block sends each of its distinct words once to the word's shard; a
@@ -225,6 +225,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chars: int = BLOCK_CH
     empty texts have no ids; a frequent word is one entry for each block, so it can't make a hot shard.
     """
     ranks = read_ranks(ranks_path)
+    kind = "u2" if max(ranks.values()) < 1 << 16 else "i4"
     shared = docs.sparkSession.sparkContext.broadcast((ranks, merge_table(ranks)))  # fixed by the vocabulary, a few MB
     blocks = block_count(docs, chars=chars)
     shards = max(4, math.ceil(blocks * 1.5))
@@ -252,7 +253,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chars: int = BLOCK_CH
                     known[w] = got = [whole] if whole is not None else merge_symbols([ranks[w[i : i + 1]] for i in range(len(w))], merges)
                 ids += got
                 lengths.append(len(got))
-            out.append(squeeze(*unsqueeze(value.as_py(), "u1", "i4"), np.array(ids, np.int32), np.array(lengths, np.int32)))
+            out.append(squeeze(*unsqueeze(value.as_py(), "u1", "i4"), np.array(ids, kind), np.array(lengths, np.int32)))
         return pa.table({"block": group.column("block"), "ids": pa.array(out, pa.binary())})
 
     def put_back(key: tuple[pa.Scalar, ...], texts: pa.Table, coded: pa.Table) -> pa.Table:
@@ -261,7 +262,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chars: int = BLOCK_CH
         place: dict[str, int] = {}
         parts = []
         for value in coded.column("ids"):
-            data, ends, *part = unsqueeze(value.as_py(), "u1", "i4", "i4", "i4")
+            data, ends, *part = unsqueeze(value.as_py(), "u1", "i4", kind, "i4")
             parts.append(part)
             place.update(zip((w.decode() for w in _cut(data, ends)), range(len(place), len(place) + len(ends))))
         ids = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.int32)])
@@ -276,7 +277,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chars: int = BLOCK_CH
             sizes.append(total)
             flat.append(ids[np.repeat(starts[i] - np.cumsum(n) + n, n) + np.arange(total)])
         offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32), pa.int32())
-        return pa.table({"doc_id": rows.column("doc_id"), "ids": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat), pa.int32()))})
+        return pa.table({"doc_id": rows.column("doc_id"), "ids": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat).astype(np.int32), pa.int32()))})
 
     sent = packed.groupBy("block").applyInArrow(words_of, "block int, shard int, words binary")
     coded = sent.groupBy("shard").applyInArrow(encode_shard, "block int, ids binary")
