@@ -22,9 +22,10 @@ from formloom.llm.common import block_count, checkpointed, from_payloads, mix, p
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of rows: a pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
 BANDS, ROWS = 32, 4
-SLOTS = BANDS * ROWS
-#: Estimated similarity from which a pair is verified; five standard deviations of the estimate below SIMILARITY.
-LEAST_ESTIMATE = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / SLOTS) ** 0.5
+#: Slots of a signature: the bands take half of them, the estimate all.
+SLOTS = 2 * BANDS * ROWS
+#: Estimated similarity from which a pair is verified; four standard deviations of the estimate below SIMILARITY.
+LEAST_ESTIMATE = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / SLOTS) ** 0.5
 #: Partners of a text that one verifying task holds against it.
 PARTNERS = 64
 
@@ -202,7 +203,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     aren't read; an empty table gives an empty result.
 
     Copies are joined first, so a group of equal texts is one entry. Each entry that shares a band with others is held
-    against the smallest of them (links inside a class that are implied by others need no check). Then members of a band
+    against the smallest of them (links inside a class that others imply need no check). Then members of a band
     that are still in different classes are held against each other, all of them, so no cap and no missed link remains
     among entries that share a band.
     """
@@ -215,19 +216,13 @@ def near_classes(docs: DataFrame) -> DataFrame:
     hubs = members.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     shared = checkpointed(members.join(hubs, "band"))
     stars = shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    likely = checkpointed(_estimated(stars, reps))
+    likely = checkpointed(_estimated(stars, reps).select("a", "b"))
     # Texts that may have to be verified: all that share a band and whose band-mates are not ruled out by the estimate.
     texts = checkpointed(_texts_of(rows, shared.select("rep").distinct()))
 
-    first = likely.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b")
-    links = checkpointed(verified(first, texts))
+    links = checkpointed(verified(likely, texts))
     classes = components(links)
-    rest = _across(likely.select("a", "b").join(first, ["a", "b"], "left_anti"), classes)
-    more = checkpointed(verified(rest, texts))
-    if more.head(1):
-        links = links.unionByName(more)
-        classes = components(links)
-    left = checkpointed(_pairs_in_bands(shared, classes, reps).join(likely.select("a", "b"), ["a", "b"], "left_anti"))
+    left = checkpointed(_pairs_in_bands(shared, classes, reps).join(likely, ["a", "b"], "left_anti"))
     if left.head(1):
         links = links.unionByName(checkpointed(verified(left, texts)))
         classes = components(links)
@@ -237,13 +232,6 @@ def near_classes(docs: DataFrame) -> DataFrame:
     return hashed.select("doc_id", "text_hash").join(found, "text_hash").select(real("doc_id"), F.col("rep").alias("rep_id"), "class_id").select("doc_id", real("rep_id"), real("class_id"))
 
 
-def _across(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose two texts are in different classes as yet."""
-    of_a, of_b = (classes.select(F.col("id").alias(s), F.col("class_id").alias(f"class_{s}")) for s in "ab")
-    known = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
-    return known.where(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b")
-
-
 def _texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, text) of the ids; texts are compressed one by one before they are shuffled."""
     blocks = block_count(rows)
