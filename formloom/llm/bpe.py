@@ -25,7 +25,7 @@ from formloom.llm.common import block_count, from_payloads, packed_blocks, squee
 #: Distinct words whose result a worker remembers; when full, the memory starts anew (only speed depends on it).
 CACHE_WORDS = 1_000_000
 #: Code points of a block of the encoding; larger blocks repeat fewer words among them.
-ENCODE_CHARS = 12_000_000
+ENCODE_CHARS = 9_000_000
 
 
 def merge_symbols(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
