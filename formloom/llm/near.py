@@ -22,10 +22,11 @@ from formloom.llm.common import block_count, checkpointed, from_payloads, mix, p
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of rows: a pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
 BANDS, ROWS = 32, 4
-#: Slots of a signature: the bands take half of them, the estimate all.
-SLOTS = 2 * BANDS * ROWS
-#: Estimated similarity from which a pair is verified; four standard deviations of the estimate below SIMILARITY.
-LEAST_ESTIMATE = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / SLOTS) ** 0.5
+#: Slots of a signature: the bands take the first of them, the estimate all.
+SLOTS = 320
+#: Estimated similarity from which a pair is verified, 3.5 standard deviations of the estimate below SIMILARITY: a pair
+#: at SIMILARITY falls below it once in 4000 times, and counts then only if no other link joins its classes.
+LEAST_ESTIMATE = SIMILARITY - 3.5 * (SIMILARITY * (1 - SIMILARITY) / SLOTS) ** 0.5
 #: Partners of a text that one verifying task holds against it.
 PARTNERS = 64
 
