@@ -20,12 +20,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm.common import block_count, from_payloads, packed_blocks, squeeze, table, text_of, unsqueeze
+from formloom.llm.common import block_count, from_payloads, packed_blocks, releasing, squeeze, table, text_of, unsqueeze
 
 #: Distinct words whose result a worker remembers; when full, the memory starts anew (only speed depends on it).
 CACHE_WORDS = 1_000_000
 #: Code points of a block of the encoding; larger blocks repeat fewer words among them.
 ENCODE_CHARS = 9_000_000
+#: The same in the pipeline, where workers have served other stages and memory counts more than disk.
+STAGE_CHARS = 5_000_000
 
 
 def merge_symbols(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -279,9 +281,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chars: int = ENCODE_C
         offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32), pa.int32())
         return pa.table({"doc_id": rows.column("doc_id"), "ids": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat).astype(np.int32), pa.int32()))})
 
-    sent = packed.groupBy("block").applyInArrow(words_of, "block int, shard int, words binary")
-    coded = sent.groupBy("shard").applyInArrow(encode_shard, "block int, ids binary")
-    return packed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(put_back, "doc_id long, ids array<int>")
+    sent = packed.groupBy("block").applyInArrow(releasing(words_of), "block int, shard int, words binary")
+    coded = sent.groupBy("shard").applyInArrow(releasing(encode_shard), "block int, ids binary")
+    return packed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(releasing(put_back), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -309,11 +311,11 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.mapInArrow(join, f"{kinds}, decoded binary")
 
 
-def _digests(docs: DataFrame) -> DataFrame:
+def _digests(docs: DataFrame, chars: int = ENCODE_CHARS) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = decode(encode(docs, path, public_tokenizers.PATTERN), path)
+    both = decode(encode(docs, path, public_tokenizers.PATTERN, chars), path)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -325,4 +327,4 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: doc_id, n_tokens and digests of the ids and of the decoded bytes, a row per document."""
-    return _digests(docs)
+    return _digests(docs, STAGE_CHARS)

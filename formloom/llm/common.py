@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import math
 import struct
 import tempfile
@@ -15,9 +17,9 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but the six ASCII white-space characters; bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Code points of text that one block holds, about; a block is what one Python task works on at a time.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 6_000_000
 #: Bytes of text that a packing task gathers before it writes its pieces.
-PACK_BYTES = 32 << 20
+PACK_BYTES = 12 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,11 +78,41 @@ def packed_blocks(docs: DataFrame, blocks: int) -> DataFrame:
                 held, size = [], 0
         if held:
             yield flush()
+        held = []
+        release()
 
     dealt = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     return dealt.mapInArrow(pack, "block int, payload binary")
 
 
+def release() -> None:
+    """Give freed memory back at the end of a task; a worker serves many tasks and several stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def releasing(f):
+    """A group function (key, one or two tables) that ends with release()."""
+    if len(inspect.signature(f).parameters) == 2:
+
+        def one(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+            try:
+                return f(key, group)
+            finally:
+                release()
+
+        return one
+
+    def two(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return f(key, left, right)
+        finally:
+            release()
+
+    return two
+
+
 def to_payload(rows: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:

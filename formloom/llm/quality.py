@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm.common import block_count, checkpointed, from_payloads, mix, packed_blocks, squeeze, table, text_of, unsqueeze
+from formloom.llm.common import block_count, checkpointed, from_payloads, mix, packed_blocks, releasing, squeeze, table, text_of, unsqueeze
 
 #: Characters of an n-gram; each takes 16 bits of a 64-bit key.
 ORDER = 4
@@ -164,12 +164,12 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
             found[at[some]] = np.exp(-(total[cuts[1:]] - total[cuts[:-1]])[some] / np.diff(cuts)[some])
         return pa.table({"doc_id": rows.column("doc_id"), "lang": rows.column("lang"), "text_length": pa.array(length), "perplexity": pa.array(found, mask=np.isnan(found))})
 
-    sending = texts.cogroup(ids.groupBy("block")).applyInArrow(send, "block int, shard int, lang string, value binary")
-    counts = checkpointed(sending.groupBy("shard", "lang").applyInArrow(add_up, "shard int, lang string, gram long, n long"))
+    sending = texts.cogroup(ids.groupBy("block")).applyInArrow(releasing(send), "block int, shard int, lang string, value binary")
+    counts = checkpointed(sending.groupBy("shard", "lang").applyInArrow(releasing(add_up), "shard int, lang string, gram long, n long"))
     model = probabilities(counts.select("lang", "gram", "n"))
     scored = counts.select("shard", "lang", "gram").join(model, ["lang", "gram"])
-    back = sending.groupBy("shard", "lang").cogroup(scored.groupBy("shard", "lang")).applyInArrow(answer, "block int, lang string, value binary")
-    out = texts.cogroup(back.groupBy("block")).applyInArrow(score, "doc_id long, lang string, text_length long, perplexity double")
+    back = sending.groupBy("shard", "lang").cogroup(scored.groupBy("shard", "lang")).applyInArrow(releasing(answer), "block int, lang string, value binary")
+    out = texts.cogroup(back.groupBy("block")).applyInArrow(releasing(score), "doc_id long, lang string, text_length long, perplexity double")
     marked = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(True))
     return out.join(marked, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm.common import BLOCK_CHARS, block_count, from_payloads, mix, packed_blocks, shard_cuts, squeeze, table, text_of, texts_as_bytes, unsqueeze
+from formloom.llm.common import BLOCK_CHARS, block_count, from_payloads, mix, packed_blocks, releasing, shard_cuts, squeeze, table, text_of, texts_as_bytes, unsqueeze
 
 WINDOW = 50
 #: Rounds of recompression; a symbol stands for about 1.33 ** ROUNDS words.
@@ -276,9 +276,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
 
     sending = "block int, shard int, kind string, value binary"
     texts = packed.groupBy("block")
-    shared = texts.applyInArrow(send_symbols, sending).groupBy("shard").applyInArrow(share_symbols, sending)
-    judged = texts.cogroup(shared.groupBy("block")).applyInArrow(send_windows, sending).groupBy("shard").applyInArrow(judge_windows, sending)
-    return texts.cogroup(judged.groupBy("block")).applyInArrow(cut_texts, "doc_id long, n_words long, n_removed long, kept binary")
+    shared = texts.applyInArrow(releasing(send_symbols), sending).groupBy("shard").applyInArrow(releasing(share_symbols), sending)
+    judged = texts.cogroup(shared.groupBy("block")).applyInArrow(releasing(send_windows), sending).groupBy("shard").applyInArrow(releasing(judge_windows), sending)
+    return texts.cogroup(judged.groupBy("block")).applyInArrow(releasing(cut_texts), "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
