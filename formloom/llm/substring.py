@@ -146,7 +146,7 @@ def window_names(names: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
                 start = start + size
             rest >>= 1
             if rest:
-                pad = np.zeros(size, np.uint64)
+                pad = np.zeros(min(size, len(level)), np.uint64)
                 level, size = mix(level, np.r_[level[size:], pad]), size * 2
         out.append(whole)
     return np.stack(out, 1) if len(at) else np.zeros((0, 2), np.uint64)
