@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from formloom.plans import grid_queries, review_queries  # noqa: F401  (they register their queries)
 from formloom.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
