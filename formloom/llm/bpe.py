@@ -286,38 +286,66 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chars: int = ENCODE_C
     return packed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(releasing(put_back), "doc_id long, ids array<int>")
 
 
+def token_bytes(ranks_path: str) -> list[bytes]:
+    """The token-byte table as a list by id."""
+    ranks = read_ranks(ranks_path)
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
+def id_lists(ids: pa.ListArray) -> Iterator[list[int]]:
+    offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy()
+    for a, b in zip(offsets, offsets[1:]):
+        yield values[a:b].tolist()
+
+
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """encoded (with ids array<int>) with the bytes that the ids stand for, as column `decoded`.
 
     Each batch of ids is joined to the token-byte table by id, an array look-up; the table is fixed by the vocabulary
     and goes to every task. Ids outside the table fail; empty and null arrays give empty bytes.
     """
-    ranks = read_ranks(ranks_path)
-    tokens = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        tokens[rank] = token
-    shared = encoded.sparkSession.sparkContext.broadcast(tokens)
+    shared = encoded.sparkSession.sparkContext.broadcast(token_bytes(ranks_path))
     names = encoded.columns
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = shared.value.__getitem__
         for batch in batches:
-            ids = batch.column(names.index("ids"))
-            offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy()
-            out = [b"".join(map(token, values[a:b].tolist())) for a, b in zip(offsets, offsets[1:])]
+            out = [b"".join(map(token, ids)) for ids in id_lists(batch.column(names.index("ids")))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, "decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(join, f"{kinds}, decoded binary")
 
 
+def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded (doc_id, ids).
+
+    Ids are decoded as decode() does it, and both are hashed beside that, so neither goes back as a column.
+    """
+    shared = encoded.sparkSession.sparkContext.broadcast(token_bytes(ranks_path))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = shared.value.__getitem__
+        shown = [str(i) for i in range(len(shared.value))].__getitem__
+        for batch in batches:
+            n, of_ids, of_bytes = [], [], []
+            for ids in id_lists(batch.column(1)):
+                n.append(len(ids))
+                of_ids.append(hashlib.sha256(" ".join(map(shown, ids)).encode()).hexdigest())
+                of_bytes.append(hashlib.sha256(b"".join(map(token, ids))).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(hashed, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def _digests(docs: DataFrame, chars: int = ENCODE_CHARS) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = decode(encode(docs, path, public_tokenizers.PATTERN, chars), path)
-    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return digests(encode(docs, path, public_tokenizers.PATTERN, chars), path)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

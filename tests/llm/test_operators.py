@@ -43,6 +43,9 @@ def test_bpe(odd):
     texts = {i: t or "" for i, t in enumerate(ODD)} | {None: "no id"}
     for r in bpe.decode(bpe.encode(odd, path, public_tokenizers.PATTERN), path).collect():
         assert r.ids == own.encode_ordinary(texts[r.doc_id]) and r.decoded.decode() == texts[r.doc_id]
+    for r in bpe.digests(bpe.encode(odd, path, public_tokenizers.PATTERN), path).collect():
+        ids, sha = own.encode_ordinary(texts[r.doc_id]), lambda x: hashlib.sha256(x.encode()).hexdigest()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(texts[r.doc_id]))
     words = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for r in bpe.count_tokens(odd, public_tokenizers.path("word_bpe_49k.json")).collect():
         assert r.n_tokens == len(words.encode(texts[r.doc_id], add_special_tokens=False).ids)
