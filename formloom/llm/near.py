@@ -131,14 +131,31 @@ def _overlap(name_a, weight_a, name_b, weight_b) -> float:
     return both / (int(weights.sum()) - both)
 
 
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b) with `salt`: runs of at most PARTNERS partners of one a, within ranges of the sorted pairs, share one."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, first, size = None, 0, 0
+        for x in batches:
+            salts = []
+            for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist()):
+                if a != last or size == PARTNERS:
+                    last, first, size = a, b, 0
+                size += 1
+                salts.append(first)
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(salts, pa.int64())], ["a", "b", "salt"])
+
+    ranged = pairs.select("a", "b").repartitionByRange("a", "b").sortWithinPartitions("a", "b")
+    return ranged.mapInArrow(runs, "a long, b long, salt long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (a, b), those of similarity SIMILARITY or more. texts: (doc_id, text), compressed pieces of texts.
 
-    The partners of a text are dealt to groups of about PARTNERS, so a text with a third of all as partners is worked
+    The partners of a text are dealt to groups of at most PARTNERS, so a text with a third of all as partners is worked
     on by many tasks.
     """
-    n = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    dealt = pairs.join(n, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PARTNERS))).select("a", "b", "salt")
+    dealt = checkpointed(_dealt(pairs))
     side_b = dealt.join(texts, dealt.b == texts.doc_id).select("a", "salt", "b", "text")
     heads = dealt.select("a", "salt").distinct()
     side_a = heads.join(texts, heads.a == texts.doc_id).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
@@ -204,8 +221,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     aren't read; an empty table gives an empty result.
 
     Copies are joined first, so a group of equal texts is one entry. Each entry that shares a band with others is held
-    against the smallest of them (links inside a class that others imply need no check). Then members of a band
-    that are still in different classes are held against each other, all of them, so no cap and no missed link remains
+    against the most central of them, which joins most of a class at once (links that others imply need no check). Then
+    members of a band that are still in different classes are held against each other, all of them, so no cap and no missed link remains
     among entries that share a band.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), text_of().alias("text"))
@@ -214,16 +231,20 @@ def near_classes(docs: DataFrame) -> DataFrame:
     reps = checkpointed(features.groupBy("text_hash").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("bands").alias("bands")))
 
     members = reps.select(F.explode("bands").alias("band"), "rep")
-    hubs = members.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = checkpointed(members.join(hubs, "band"))
-    stars = shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    counts = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = checkpointed(members.join(counts, "band"))
+    # The text that meets most others, over all its bands, is the likeliest to be near to those it shares a band with.
+    central = shared.groupBy("rep").agg(F.sum("n").alias("met"))
+    ranked = shared.join(central, "rep").select("band", F.struct("met", F.bitwise_not("rep").alias("back"), "rep").alias("rank"))
+    hubs = ranked.groupBy("band").agg(F.max("rank")["rep"].alias("hub"))
+    stars = shared.select("band", "rep").join(hubs, "band").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     likely = checkpointed(_estimated(stars, reps).select("a", "b"))
     # Texts that may have to be verified: all that share a band and whose band-mates are not ruled out by the estimate.
     texts = checkpointed(_texts_of(rows, shared.select("rep").distinct()))
 
     links = checkpointed(verified(likely, texts))
     classes = components(links)
-    left = checkpointed(_pairs_in_bands(shared, classes, reps).join(likely, ["a", "b"], "left_anti"))
+    left = checkpointed(_pairs_in_bands(shared, classes, reps).join(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if left.head(1):
         links = links.unionByName(checkpointed(verified(left, texts)))
         classes = components(links)

@@ -67,6 +67,22 @@ def test_near(odd, spark):
     assert [got[200 + i] for i in range(4)] == [200] * 4 and got[5] == 4 and got[3] == 3
 
 
+def test_near_star(spark):
+    """Edited copies of a text whose pairs are mostly below the bound are one class through it; a null id takes part."""
+    base = [f"w{i}" for i in range(200)]
+    edits = [" ".join(base[:k] + ["x"] + base[k + 1 : k + 60] + ["y"] + base[k + 61 :]) for k in range(3, 130, 9)]
+    rows = [*enumerate(edits), (None, " ".join(base)), (900, "alone " * 9)]
+    got = near.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and len({r.class_id for r in got if r.doc_id != 900}) == 1
+
+
+def test_near_partners(spark):
+    """Partners of one text fall into groups of a bounded size, each pair once."""
+    pairs = spark.range(1000).selectExpr("id % 2 AS a", "id AS b")
+    got = near._dealt(pairs).groupBy("a", "salt").count().collect()
+    assert sum(r["count"] for r in got) == 1000 and max(r["count"] for r in got) <= near.PARTNERS
+
+
 def test_quality(odd, spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 10, 2)], "doc_id long, quality int, toxic int")
     got = quality.classified(odd, labels).collect()
