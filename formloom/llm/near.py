@@ -275,26 +275,33 @@ def _texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _pairs_in_bands(shared: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of band-mates in different classes whose estimate is high enough; both orders of a pair are one."""
+    """Pairs of band-mates in different classes whose estimate is high enough, each once, as (smaller, larger).
+
+    A pair that shares several bands is compared and sent on in the first of them alone. Where that band has no other
+    members, the pair has been held against each other already, as hub and member.
+    """
     known = shared.join(classes, F.col("rep") == F.col("id"), "left").select("band", "rep", F.coalesce("class_id", "rep").alias("class_id"))
     mixed = known.groupBy("band").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most and n > 2")
-    with_sig = known.join(mixed.select("band"), "band").join(reps.select("rep", "signature"), "rep").select("band", "rep", "class_id", "signature")
+    with_sig = known.join(mixed.select("band"), "band").join(reps.select("rep", "signature", "bands"), "rep").select("band", "rep", "class_id", "signature", "bands")
 
     def compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         rep, of = group.column("rep").to_numpy(), group.column("class_id").to_numpy()
         sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(-1, SLOTS)
+        bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        this = int(np.flatnonzero(bands[0] == key[0].as_py())[0])
         largest = np.unique(of, return_counts=True)
         largest = largest[0][np.argmax(largest[1])]
         a, b = [], []
         for i in np.flatnonzero(of != largest):  # the members of the largest class need no check among themselves
             near = np.flatnonzero((of != of[i]) & ((of == largest) | (rep > rep[i])))
+            near = near[~(bands[near, :this] == bands[i, :this]).any(1)]
             near = near[estimate(sig[near], sig[i]) >= LEAST_ESTIMATE]
             a.append(np.minimum(rep[near], rep[i]))
             b.append(np.maximum(rep[near], rep[i]))
         none = [np.zeros(0, np.int64)]
         return pa.table({"a": pa.array(np.concatenate(a or none), pa.int64()), "b": pa.array(np.concatenate(b or none), pa.int64())})
 
-    return with_sig.groupBy("band").applyInArrow(compare, "a long, b long").distinct()
+    return with_sig.groupBy("band").applyInArrow(compare, "a long, b long")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
