@@ -28,6 +28,9 @@ CACHE_WORDS = 1_000_000
 ENCODE_CHARS = 9_000_000
 #: The same in the pipeline, where workers have served other stages and memory counts more than disk.
 STAGE_CHARS = 5_000_000
+#: Bytes up to which a word is merged by seeking the lowest rank anew; longer ones are merged by the heap.
+SHORT_WORD = 64
+NO_RANK = 1 << 62
 
 
 def merge_symbols(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -59,6 +62,20 @@ def merge_symbols(symbols: list[int], merges: dict[tuple[int, int], tuple[int, i
     return [x for x in symbols if x >= 0]
 
 
+def merge_word(symbols: list[int], ranks: dict[tuple[int, int], int]) -> list[int]:
+    """merge_symbols() for a short word whose symbols are their ranks: the lowest rank is sought anew at each step."""
+    left = [ranks.get(pair, NO_RANK) for pair in zip(symbols, symbols[1:])]
+    while left and (rank := min(left)) != NO_RANK:
+        i = left.index(rank)
+        symbols[i] = rank
+        del symbols[i + 1], left[i]
+        if i < len(left):
+            left[i] = ranks.get((rank, symbols[i + 1]), NO_RANK)
+        if i:
+            left[i - 1] = ranks.get((symbols[i - 1], rank), NO_RANK)
+    return symbols
+
+
 # Token counts ------------------------------------------------------------------------------------------------------
 
 
@@ -174,6 +191,9 @@ def _cut(data: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     return [raw[a:b] for a, b in zip(starts, ends)]
 
 
+#: The alternative for words in a pattern, and the letters of Latin-1.
+WORDS, LATIN = r"| ?\p{L}+|", "A-Za-zªµºÀ-ÖØ-öø-ÿ"
+
 _finders: dict = {}
 
 
@@ -193,12 +213,15 @@ def _finder(pattern: str):
     """findall of a pattern whose classes are letters, numbers and white space, as the libraries mean them.
 
     Python's own engine is faster than one that knows \\p: its \\w is letters, numbers and the underscore, so letters
-    are \\w less all numbers. A pattern that says more is left to the other engine.
+    are \\w less all numbers. A pattern that says more is left to the other engine. Words of Latin-1 letters alone, which
+    end before a character of Latin-1, come first where only words with an apostrophe in front come before words.
     """
     if not (found := _finders.get(pattern)):
         spaced = pattern.replace(r"(?!\S)", f"(?![^{SPACES}])")
         numbers = _ranges([c for c in range(0x110000) if unicodedata.category(chr(c)) in ("Nl", "No")])
         plain = spaced.replace(r"[^\s\p{L}\p{N}]", f"(?:[^\\w{SPACES}]|_)").replace(r"\p{L}", rf"[^\W\d_{numbers}]").replace(r"\p{N}", rf"[\d{numbers}]").replace(r"\s", f"[{SPACES}]")
+        if all(x.startswith("'") for x in pattern.partition(WORDS)[0].split("|")) and WORDS in pattern:
+            plain = rf" ?[{LATIN}]++(?![^\x00-\xff])|{plain}"
         found = re.compile(plain) if r"\p" not in plain else regex.compile(spaced.replace(r"[^\s", "[^" + SPACES).replace(r"\s", f"[{SPACES}]"))
         _finders[pattern] = found
     return found.findall
@@ -227,8 +250,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chars: int = ENCODE_C
     empty texts have no ids; a frequent word is one entry for each block, so it can't make a hot shard.
     """
     ranks = read_ranks(ranks_path)
+    merges = merge_table(ranks)
     kind = "u2" if max(ranks.values()) < 1 << 16 else "i4"
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, merge_table(ranks)))  # fixed by the vocabulary, a few MB
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, merges, {pair: rank for pair, (rank, _) in merges.items()}))  # fixed by the vocabulary, a few MB
     blocks = block_count(docs, chars=chars)
     shards = max(4, math.ceil(blocks * 1.5))
     packed = packed_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), blocks)
@@ -243,7 +267,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chars: int = ENCODE_C
         return pa.table({"block": pa.array([key[0].as_py()] * len(used), pa.int32()), "shard": pa.array(used, pa.int32()), "words": pa.array(values, pa.binary())})
 
     def encode_shard(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        ranks, merges = shared.value
+        ranks, merges, pairs = shared.value
+        byte = [ranks.get(bytes([b])) for b in range(256)]
         known: dict[bytes, list[int]] = {}
         out = []
         for value in group.column("words"):
@@ -252,7 +277,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chars: int = ENCODE_C
             for w in _cut(*unsqueeze(value.as_py(), "u1", "i4")):
                 if (got := known.get(w)) is None:
                     whole = ranks.get(w)
-                    known[w] = got = [whole] if whole is not None else merge_symbols([ranks[w[i : i + 1]] for i in range(len(w))], merges)
+                    symbols = [byte[b] for b in w]
+                    known[w] = got = [whole] if whole is not None else merge_word(symbols, pairs) if len(w) <= SHORT_WORD else merge_symbols(symbols, merges)
                 ids += got
                 lengths.append(len(got))
             out.append(squeeze(*unsqueeze(value.as_py(), "u1", "i4"), np.array(ids, kind), np.array(lengths, np.int32)))

@@ -51,6 +51,28 @@ def test_bpe(odd):
         assert r.n_tokens == len(words.encode(texts[r.doc_id], add_special_tokens=False).ids)
 
 
+def test_word_pattern():
+    """The fast pattern cuts every assigned character as the other engine does, beside letters, spaces and others of its kind."""
+    import unicodedata
+
+    import regex
+
+    chars = [chr(i) for i in range(0x110000) if unicodedata.category(chr(i)) not in ("Cn", "Cs")]  # assigned in both
+    spaced = public_tokenizers.PATTERN.replace(r"(?!\S)", f"(?![^{bpe.SPACES}])").replace(r"[^\s", "[^" + bpe.SPACES).replace(r"\s", f"[{bpe.SPACES}]")
+    for text in ("".join(chars), " ".join(chars), "".join(c + "a" for c in chars), "".join(" é" + c for c in chars), "it's  'tis we'Ll aªb ñµ"):
+        assert bpe._finder(public_tokenizers.PATTERN)(text) == regex.findall(spaced, text)
+
+
+def test_merge_word():
+    """Short words merge alike by either way."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    merges = bpe.merge_table(ranks)
+    pairs = {p: r for p, (r, _) in merges.items()}
+    for word in (b"", b"a", b"aaaaaaaaaaa", b"tiontiontion", " überraschend".encode(), b" thestherethan", bytes(range(64))):
+        symbols = [ranks[bytes([b])] for b in word]
+        assert bpe.merge_word(list(symbols), pairs) == bpe.merge_symbols(list(symbols), merges)
+
+
 def test_substring(odd, spark):
     more = spark.createDataFrame([(100 + i, f"start{i} " + " ".join(f"w{k}" for k in range(i, 115)) + f" end{i}") for i in range(6)], "doc_id long, text string")
     docs = odd.select("doc_id", "text").where("doc_id IS NOT NULL").distinct().union(more)
