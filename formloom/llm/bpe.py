@@ -31,6 +31,8 @@ STAGE_CHARS = 5_000_000
 #: Bytes up to which a word is merged by seeking the lowest rank anew; longer ones are merged by the heap.
 SHORT_WORD = 64
 NO_RANK = 1 << 62
+#: Compression level of the texts that are shuffled.
+PACK_LEVEL = 6
 
 
 def merge_symbols(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -255,7 +257,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chars: int = ENCODE_C
     shared = docs.sparkSession.sparkContext.broadcast((ranks, merges, {pair: rank for pair, (rank, _) in merges.items()}))  # fixed by the vocabulary, a few MB
     blocks = block_count(docs, chars=chars)
     shards = max(4, math.ceil(blocks * 1.5))
-    packed = packed_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), blocks)
+    packed = packed_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), blocks, PACK_LEVEL)
 
     def words_of(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         words = _distinct(from_payloads(group.column("payload")), _finder(pattern))

@@ -49,9 +49,11 @@ def block_count(docs: DataFrame, text: str = "text", chars: int = BLOCK_CHARS) -
     return max(1, math.ceil(total / chars))
 
 
-def packed_blocks(docs: DataFrame, blocks: int) -> DataFrame:
+def packed_blocks(docs: DataFrame, blocks: int, level: int = 1) -> DataFrame:
     """(block int, payload binary): rows dealt by a hash of doc_id and packed, compressed, for one exchange.
 
+    level: of the compression; a higher one takes more time and less disk.
+
     A payload is an Arrow stream of docs' columns. A row's block depends on its doc_id alone, so equal ids meet
     and a task that runs again gives the same pieces.
     """
@@ -66,7 +68,7 @@ def packed_blocks(docs: DataFrame, blocks: int) -> DataFrame:
             order = np.argsort(block, kind="stable")
             rows, block = rows.select(cols).take(pa.array(order)), block[order]
             cuts = [*np.flatnonzero(np.r_[True, block[1:] != block[:-1]]), len(block)]
-            out = [to_payload(rows.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])]
+            out = [to_payload(rows.slice(a, b - a), level) for a, b in zip(cuts, cuts[1:])]
             return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]], pa.int32()), pa.array(out, pa.binary())], ["block", "payload"])
 
         for batch in batches:
@@ -113,9 +115,9 @@ def releasing(f):
     return two
 
 
-def to_payload(rows: pa.Table) -> bytes:
+def to_payload(rows: pa.Table, level: int = 1) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))) as out:
         out.write_table(rows)
     return sink.getvalue().to_pybytes()
 
