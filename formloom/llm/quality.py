@@ -2,24 +2,28 @@
 
 Counts of the highest order come from all trusted documents; the lower orders are continuation counts. Every distinct
 n-gram of the corpus gets its probability by joins of sharded count tables, and a document's perplexity, held against
-quantiles of the trusted documents of its language, decides.
+quantiles of the trusted documents of its language, decides. Trusted documents are scored by models of the others.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm.common import block_count, checkpointed, from_payloads, mix, packed_blocks, releasing, squeeze, table, text_of, unsqueeze
+from formloom.llm.common import block_count, checkpointed, from_payloads, mix, packed_blocks, releasing, squeeze, table, text_of, texts_as_bytes, unsqueeze
 
 #: Characters of an n-gram; each takes 16 bits of a 64-bit key.
 ORDER = 4
-#: Documents above this quantile of their language's trusted perplexities, times SLACK, are rejected.
-QUANTILE, SLACK = 0.99, 1.25
+#: Documents above this quantile of their language's trusted perplexities are rejected; README gives what it catches.
+QUANTILE = 0.98
+#: Trusted documents are dealt to so many folds by a hash of their text (copies share one); a model without a fold scores it.
+FOLDS = 4
 #: Symbol before a text's first character.
 BEGIN = 2
 
@@ -103,88 +107,120 @@ def probabilities(counts: DataFrame) -> DataFrame:
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(doc_id, lang, text_length, trusted, perplexity), one row per row of docs (doc_id, lang, text).
+    """(doc_id, lang, text_hash, text_length, trusted, perplexity), one row per row of docs (doc_id, lang, text).
 
-    trusted: the doc_ids whose text trains the model. Perplexity is per character; null for empty and null texts and
-    for languages (null is one of its own) without trusted text. Repeated rows count as often as they stand there.
+    trusted: the doc_ids whose text trains the model. Their own perplexity comes from the trusted text outside their fold;
+    others are scored by all of it. Perplexity is per character; null for empty and null texts, for languages (null is
+    one of its own) without trusted text, and for trusted documents without any outside their fold. Repeated rows count
+    as often as they stand there. text_hash is the first half of the text's SHA-256.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text_of().alias("text"))
     blocks = block_count(rows)
     shards = max(4, math.ceil(blocks / 2))
-    texts = packed_blocks(rows, blocks).groupBy("block")
-    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    texts = packed_blocks(rows, blocks, level=6).groupBy("block")
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+
+    def models_of(rows: pa.Table, good: set[int]) -> np.ndarray:
+        """The fold of each row's text, FOLDS (the model of all trusted text) for rows that aren't trusted."""
+        pairs = zip(rows.column("doc_id").to_pylist(), texts_as_bytes(rows.column("text")))
+        return np.fromiter((xxhash.xxh3_64_intdigest(t) % FOLDS if i in good else FOLDS for i, t in pairs), np.int64, rows.num_rows)
+
+    def shard_of(unique: np.ndarray) -> np.ndarray:
+        return (mix(unique, np.zeros(1, np.uint64)) % np.uint64(shards)).astype(np.int64)
 
     def send(key: tuple[pa.Scalar, ...], group: pa.Table, trusted: pa.Table) -> pa.Table:
-        rows, good = from_payloads(group.column("payload")), set(trusted.column("doc_id").to_pylist())
-        flag = np.fromiter((i in good for i in rows.column("doc_id").to_pylist()), bool, rows.num_rows)
+        rows = from_payloads(group.column("payload"))
+        model = models_of(rows, set(trusted.column("doc_id").to_pylist()))
         out: dict[str, list] = {"block": [], "shard": [], "lang": [], "value": []}
         for lang, at, keys, cuts in _grams_by_language(rows):
-            trains = np.repeat(flag[at], np.diff(cuts))
+            of = np.repeat(model[at], np.diff(cuts))
             unique = np.unique(keys)
-            known, n = np.unique(keys[trains], return_counts=True)
-            counts = np.zeros(len(unique), np.int64)
-            counts[np.searchsorted(unique, known)] = n
-            shard = (mix(unique, np.zeros(1, np.uint64)) % np.uint64(shards)).astype(np.int64)
+            counts = np.zeros((FOLDS, len(unique)), np.uint32)
+            for m in range(FOLDS):
+                known, n = np.unique(keys[of == m], return_counts=True)
+                counts[m, np.searchsorted(unique, known)] = n
+            shard = shard_of(unique)
             for s in np.unique(shard).tolist():
                 own = shard == s
                 out["block"].append(key[0].as_py()), out["shard"].append(s), out["lang"].append(lang)
-                out["value"].append(squeeze(unique[own], counts[own]))
+                out["value"].append(squeeze(unique[own], counts[:, own]))
         return pa.table({"block": pa.array(out["block"], pa.int32()), "shard": pa.array(out["shard"], pa.int32()), "lang": pa.array(out["lang"], pa.string()), "value": pa.array(out["value"], pa.binary())})
 
     def add_up(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        got = [unsqueeze(v.as_py(), "u8", "i8") for v in group.column("value")]
+        got = [unsqueeze(v.as_py(), "u8", "u4") for v in group.column("value")]
         gram, which = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-        n = np.bincount(which, np.concatenate([g[1] for g in got])).astype(np.int64)
-        return pa.table({"shard": pa.array(np.full(len(gram), key[0].as_py()), pa.int32()), "lang": pa.array([key[1].as_py()] * len(gram), pa.string()), "gram": pa.array(gram.view(np.int64)), "n": pa.array(n)})
+        by_fold = np.concatenate([g[1].reshape(FOLDS, -1) for g in got], 1)
+        counts = np.stack([np.bincount(which, n, len(gram)) for n in by_fold]).astype(np.int64)
+        total = counts.sum(0)
+        some = np.flatnonzero(total)  # what trusted documents hold; a fold's model isn't asked for more
+        model = np.repeat(np.arange(FOLDS + 1), [*[len(some)] * FOLDS, len(gram)])
+        n = np.r_[(total - counts)[:, some].reshape(-1), total]
+        return pa.table({"shard": pa.array(np.full(len(n), key[0].as_py()), pa.int32()), "lang": pa.array([key[1].as_py()] * len(n), pa.string()), "model": pa.array(model, pa.int32()), "gram": pa.array(np.r_[np.tile(gram[some], FOLDS), gram].view(np.int64)), "n": pa.array(n)})
 
     def answer(key: tuple[pa.Scalar, ...], asked: pa.Table, known: pa.Table) -> pa.Table:
-        gram = known.column("gram").to_numpy().view(np.uint64)
-        order = np.argsort(gram)
-        gram, score = gram[order], np.log(known.column("p").to_numpy()[order]).astype(np.float32)
+        model, gram, p = known.column("model").to_numpy(), known.column("gram").to_numpy().view(np.uint64), known.column("p").to_numpy()
+        tables = []
+        for m in range(FOLDS + 1):
+            own = np.flatnonzero(model == m)
+            own = own[np.argsort(gram[own])]
+            tables.append((gram[own], np.log(p[own]).astype(np.float32)))
         values = []
         for v in asked.column("value"):
-            keys = unsqueeze(v.as_py(), "u8", "i8")[0]
-            values.append(squeeze(keys, score[np.searchsorted(gram, keys)] if len(gram) else np.zeros(0, np.float32)))
-        return pa.table({"block": asked.column("block"), "lang": asked.column("lang"), "value": pa.array(values, pa.binary())})
+            keys, counts = unsqueeze(v.as_py(), "u8", "u4")
+            score = np.full((FOLDS + 1, len(keys)), np.nan, np.float32)
+            for m, (known_keys, logs) in enumerate(tables):
+                wanted = counts.reshape(FOLDS, -1)[m] > 0 if m < FOLDS else np.ones(len(keys), bool)
+                if len(known_keys):
+                    score[m, wanted] = logs[np.searchsorted(known_keys, keys[wanted])]
+            values.append(squeeze(score))
+        return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "lang": asked.column("lang"), "value": pa.array(values, pa.binary())})
 
     def score(key: tuple[pa.Scalar, ...], group: pa.Table, scores: pa.Table) -> pa.Table:
         rows = from_payloads(group.column("payload"))
-        parts: dict[str, list] = {}
-        for lang, value in zip(scores.column("lang").to_pylist(), scores.column("value")):
-            parts.setdefault(lang, []).append(unsqueeze(value.as_py(), "u8", "f4"))
+        parts, good = {}, set()
+        for shard, lang, value in zip(scores.column("shard").to_pylist(), scores.column("lang").to_pylist(), scores.column("value")):
+            if shard < 0:
+                good.add(int(value.as_py()))
+            else:
+                parts[lang, shard] = unsqueeze(value.as_py(), "f4")[0].reshape(FOLDS + 1, -1)
+        model = models_of(rows, good)
         length, found = np.zeros(rows.num_rows, np.int64), np.full(rows.num_rows, np.nan)
         for lang, at, keys, cuts in _grams_by_language(rows):
-            length[at] = np.diff(cuts)
-            if not (mine := parts.get(lang)) or not len(mine[0][1]):
-                continue
-            known, logs = np.concatenate([p[0] for p in mine]), np.concatenate([p[1] for p in mine]).astype(np.float64)
-            order = np.argsort(known)
-            total = np.r_[0.0, np.cumsum(logs[order][np.searchsorted(known[order], keys)])]
-            some = np.diff(cuts) > 0
-            found[at[some]] = np.exp(-(total[cuts[1:]] - total[cuts[:-1]])[some] / np.diff(cuts)[some])
-        return pa.table({"doc_id": rows.column("doc_id"), "lang": rows.column("lang"), "text_length": pa.array(length), "perplexity": pa.array(found, mask=np.isnan(found))})
+            length[at] = size = np.diff(cuts)
+            unique = np.unique(keys)
+            shard = shard_of(unique)
+            logs = np.empty((FOLDS + 1, len(unique)), np.float32)
+            for s in np.unique(shard).tolist():  # in the order in which send put them
+                logs[:, shard == s] = parts[lang, s]
+            each = logs[np.repeat(model[at], size), np.searchsorted(unique, keys)]
+            total = np.bincount(np.repeat(np.arange(len(at)), size), each, len(at))
+            some = size > 0
+            found[at[some]] = np.exp(-total[some] / size[some])
+        hashes = [hashlib.sha256(t).digest()[:16] for t in texts_as_bytes(rows.column("text"))]
+        return pa.table({"doc_id": rows.column("doc_id"), "lang": rows.column("lang"), "text_hash": pa.array(hashes, pa.binary()), "text_length": pa.array(length), "trusted": pa.array(model < FOLDS), "perplexity": pa.array(found, mask=np.isnan(found))})
 
     sending = texts.cogroup(ids.groupBy("block")).applyInArrow(releasing(send), "block int, shard int, lang string, value binary")
-    counts = checkpointed(sending.groupBy("shard", "lang").applyInArrow(releasing(add_up), "shard int, lang string, gram long, n long"))
-    model = probabilities(counts.select("lang", "gram", "n"))
-    scored = counts.select("shard", "lang", "gram").join(model, ["lang", "gram"])
-    back = sending.groupBy("shard", "lang").cogroup(scored.groupBy("shard", "lang")).applyInArrow(releasing(answer), "block int, lang string, value binary")
-    out = texts.cogroup(back.groupBy("block")).applyInArrow(releasing(score), "doc_id long, lang string, text_length long, perplexity double")
-    marked = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(True))
-    return out.join(marked, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    counts = checkpointed(sending.groupBy("shard", "lang").applyInArrow(releasing(add_up), "shard int, lang string, model int, gram long, n long"))
+    # Each model of each language is a language of its own to probabilities().
+    keyed = counts.withColumn("key", F.concat_ws(":", "model", "lang"))
+    model = probabilities(keyed.select(F.col("key").alias("lang"), "gram", "n")).withColumnRenamed("lang", "key")
+    scored = keyed.select("shard", "lang", "model", "key", "gram").join(model, ["key", "gram"]).select("shard", "lang", "model", "gram", "p")
+    back = sending.groupBy("shard", "lang").cogroup(scored.groupBy("shard", "lang")).applyInArrow(releasing(answer), "block int, shard int, lang string, value binary")
+    marks = ids.select("block", F.lit(-1).alias("shard"), F.lit("").alias("lang"), F.encode(F.col("doc_id").cast("string"), "UTF-8").alias("value"))
+    return texts.cogroup(back.unionByName(marks).groupBy("block")).applyInArrow(releasing(score), "doc_id long, lang string, text_hash binary, text_length long, trusted boolean, perplexity double")
 
 
-def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """(doc_id, lang, text_length, trusted, perplexity, threshold, kept), one row per row of docs.
+def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """(doc_id, lang, text_hash, text_length, trusted, perplexity, threshold, kept), one row per row of docs.
 
     Trusted text is that labelled quality 1 and not toxic. A document is rejected if its perplexity is above its
-    language's threshold: the quantile of the trusted documents' perplexities, times slack. Where there is no perplexity
-    or no threshold (empty text, language without trusted text) it is kept. All labels train, so what is counted grows
+    language's threshold: the quantile of the trusted documents' perplexities, each from a model without it. Where there is
+    no perplexity or no threshold (empty text, language without trusted text in two folds) it is kept. All labels train, so what is counted grows
     with the corpus.
     """
     trusted = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id").distinct()
     scored = checkpointed(perplexities(docs, trusted))
-    limits = scored.where("trusted AND perplexity IS NOT NULL").groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10000) * slack).alias("threshold"))
+    limits = scored.where("trusted AND perplexity IS NOT NULL").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("threshold"))
     out = scored.join(F.broadcast(limits), "lang", "left")
     return out.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
 

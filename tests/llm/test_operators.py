@@ -113,6 +113,19 @@ def test_quality(odd, spark):
     assert 0.5 < sum(r.p for r in model.collect()) < 1.0001
 
 
+def test_quality_held_out(spark):
+    """A trusted text is scored as if it and its fold were not trusted, so a text that is unlike all others stands out."""
+    texts = [f"the {a} of the {b} is near the {c} and far" for a, b, c in zip("mill road lake tree house gate wall bird".split(), "town river sea field hill wood farm sky".split(), "bridge church inn barn well pond yard fence".split())]
+    texts.append("qzx jvk wqp xxz kjq vvz qqj zxk pqw")
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.perplexities(docs, docs.select("doc_id")).collect()}
+    fold = [quality.xxhash.xxh3_64_intdigest(t.encode()) % quality.FOLDS for t in texts]
+    others = docs.where(docs.doc_id.isin([i for i, f in enumerate(fold) if f != fold[8]]))
+    alone = {r.doc_id: r.perplexity for r in quality.perplexities(docs, others.select("doc_id")).collect()}
+    assert all(r.trusted for r in got.values()) and got[8].perplexity == pytest.approx(alone[8], rel=1e-5)
+    assert got[8].perplexity > 2 * max(got[i].perplexity for i in range(8))
+
+
 def test_fingerprint(odd):
     got = fingerprint.fingerprints(odd).collect()
     assert len(got) == 12 and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
