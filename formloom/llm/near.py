@@ -213,14 +213,12 @@ def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return joined.mapInArrow(score, "a long, b long, estimate double")
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, rep_id, class_id), one row per input row: classes are the components of links of SIMILARITY or more.
-
-    rep_id is the smallest doc_id with the same text, class_id the smallest of the class. Null and empty texts are one
-    class; rows that share a doc_id count as one document, null ids as one of id -2**63 (returned as null); other columns
-    aren't read; an empty table gives an empty result.
+def text_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, rep_id, class_id, class_hash), one row per input row: near_classes() with the text's own hash
+    and that of the class's first text, the one whose (doc_id, hash) is the smallest. Hashes are 128 bits of SHA-256.
 
-    Copies are joined first, so a group of equal texts is one entry. Each entry that shares a band with others is held
+    Copies are joined first, so a group of equal texts is one entry. Entries are named by numbers of their text hashes, so
+    texts that share a doc_id, or have none, are entries of their own. Each entry that shares a band with others is held
     against the most central of them, which joins most of a class at once (links that others imply need no check). Then
     members of a band that are still in different classes are held against each other, all of them, so no cap and no missed link remains
     among entries that share a band.
@@ -228,7 +226,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), text_of().alias("text"))
     hashed = rows.withColumn("text_hash", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     features = hashed.select("doc_id", "text", "text_hash").mapInArrow(_features, "doc_id long, text_hash binary, signature binary, bands array<long>")
-    reps = checkpointed(features.groupBy("text_hash").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("bands").alias("bands")))
+    entries = features.groupBy("text_hash").agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    reps = checkpointed(entries.withColumn("rep", F.monotonically_increasing_id()))  # fixed by the checkpoint
 
     members = reps.select(F.explode("bands").alias("band"), "rep")
     counts = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -240,7 +239,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     stars = shared.select("band", "rep").join(hubs, "band").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     likely = checkpointed(_estimated(stars, reps).select("a", "b"))
     # Texts that may have to be verified: all that share a band and whose band-mates are not ruled out by the estimate.
-    texts = checkpointed(_texts_of(rows, shared.select("rep").distinct()))
+    texts = checkpointed(_texts_of(hashed, reps.join(shared.select("rep").distinct(), "rep").select("rep", "first_id", "text_hash")))
 
     links = checkpointed(verified(likely, texts))
     classes = components(links)
@@ -249,29 +248,46 @@ def near_classes(docs: DataFrame) -> DataFrame:
         links = links.unionByName(checkpointed(verified(left, texts)))
         classes = components(links)
 
-    found = reps.select("text_hash", "rep").join(classes, F.col("rep") == F.col("id"), "left").select("text_hash", "rep", F.coalesce("class_id", "rep").alias("class_id"))
-    real = lambda c: F.when(F.col(c) != -(1 << 63), F.col(c)).alias(c)
-    return hashed.select("doc_id", "text_hash").join(found, "text_hash").select(real("doc_id"), F.col("rep").alias("rep_id"), "class_id").select("doc_id", real("rep_id"), real("class_id"))
+    first = F.struct(F.col("first_id").alias("class_id"), F.col("text_hash").alias("class_hash"))
+    linked = reps.join(classes, F.col("rep") == F.col("id")).select("id", F.col("class_id").alias("class"), first.alias("first"))
+    of_class = linked.groupBy("class").agg(F.min("first").alias("first"))
+    heads = linked.select("id", "class").join(of_class, "class").select("id", F.col("first").alias("head"))
+    found = reps.select("text_hash", "first_id", "rep", first.alias("own")).join(heads, F.col("rep") == F.col("id"), "left").select("text_hash", "first_id", F.coalesce("head", "own").alias("head"))
+    real = lambda c, name: F.when(F.col(c) != -(1 << 63), F.col(c)).alias(name)
+    return hashed.select("doc_id", "text_hash").join(found, "text_hash").select(real("doc_id", "doc_id"), "text_hash", real("first_id", "rep_id"), real("head.class_id", "class_id"), "head.class_hash")
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, rep_id, class_id, class_hash), one row per input row: classes are the components of links of SIMILARITY or
+    more.
+
+    rep_id is the smallest doc_id with the same text, class_id the smallest of the class. Null and empty texts are one
+    class; null ids are smallest. Rows that share a doc_id, or have none, are documents of their own if their texts differ:
+    where two classes so come to the same class_id, class_hash (hexadecimal, of the class's first text) tells them apart.
+    Other columns aren't read; an empty table gives an empty result.
+    """
+    return text_classes(docs).select("doc_id", "rep_id", "class_id", F.lower(F.hex("class_hash")).alias("class_hash"))
 
 
-def _texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the ids; texts are compressed one by one before they are shuffled."""
-    blocks = block_count(rows)
-    packed = packed_blocks(rows.select("doc_id", "text"), blocks)
-    wanted = ids.select(F.pmod(F.xxhash64(F.col("rep")), F.lit(blocks)).cast("int").alias("block"), "rep")
+def _texts_of(hashed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text) of the wanted entries (rep, first_id, text_hash), doc_id being rep; texts are compressed one by one
+    before they are shuffled. Rows are dealt by id and text, so neither null ids nor copies meet in one block."""
+    blocks = block_count(hashed)
+    packed = packed_blocks(hashed.select(F.xxhash64("doc_id", "text_hash").alias("doc_id"), "text_hash", "text"), blocks)
+    dealt = F.xxhash64(F.xxhash64(F.col("first_id"), F.col("text_hash")))
+    asked = wanted.select(F.pmod(dealt, F.lit(blocks)).cast("int").alias("block"), "rep", "text_hash")
 
     def pick(key: tuple[pa.Scalar, ...], group: pa.Table, want: pa.Table) -> pa.Table:
-        keep, ids, out = set(want.column("rep").to_pylist()), [], []
+        keep, ids, out = dict(zip(want.column("text_hash").to_pylist(), want.column("rep").to_pylist())), [], []
         if keep:
             rows = from_payloads(group.column("payload"))
-            for i, t in zip(rows.column("doc_id").to_pylist(), texts_as_bytes(rows.column("text"))):
-                if i in keep:
-                    keep.discard(i)  # a repeated row counts once
-                    ids.append(i)
+            for h, t in zip(rows.column("text_hash").to_pylist(), texts_as_bytes(rows.column("text"))):
+                if h in keep:
+                    ids.append(keep.pop(h))  # a repeated text counts once
                     out.append(to_payload(pa.table({"text": pa.array([t], pa.binary())})))
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(out, pa.binary())})
 
-    return packed.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(pick, "doc_id long, text binary")
+    return packed.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(pick, "doc_id long, text binary")
 
 
 def _pairs_in_bands(shared: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
@@ -310,8 +326,11 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the document with the smallest doc_id goes on; repeated rows go on once."""
-    keep = near_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    staying = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0)))
-    return staying.withColumn("_copy", first).where("_copy = 1").select(*docs.columns)
+    """Pipeline stage: of each class the text with the smallest (doc_id, hash) goes on; rows repeated in both id and text
+    go on once."""
+    first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash"))
+    keep = text_classes(docs).where(first).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    hashed = docs.withColumn("_text_hash", F.unhex(F.substring(F.sha2(text_of(), 256), 1, 32)))
+    staying = hashed.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    copy = F.row_number().over(Window.partitionBy("doc_id", "_text_hash").orderBy(F.lit(0)))
+    return staying.withColumn("_copy", copy).where("_copy = 1").select(*docs.columns)

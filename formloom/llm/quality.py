@@ -231,6 +231,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier rejects go; a doc_id goes if any row of it is rejected."""
-    rejected = classified(docs, table(spark, sf_dir, "labels")).where("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(rejected, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
+    """Pipeline stage: rows that the classifier rejects go; rows that share an id, or have none, are judged by their own
+    language and text."""
+    rejected = classified(docs, table(spark, sf_dir, "labels")).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("text_hash").alias("_hash")).distinct()
+    hashed = docs.withColumn("_text_hash", F.unhex(F.substring(F.sha2(text_of(), 256), 1, 32)))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.coalesce(F.col("lang").cast("string"), F.lit("")) == F.col("_lang")) & (F.col("_text_hash") == F.col("_hash"))
+    return hashed.join(rejected, same, "left_anti").select(*docs.columns)

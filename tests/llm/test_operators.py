@@ -98,6 +98,27 @@ def test_near_star(spark):
     assert len(got) == len(rows) and len({r.class_id for r in got if r.doc_id != 900}) == 1
 
 
+def test_near_shared_ids(spark):
+    """Different texts without an id, or with the same one, all stay; near copies of each of them go."""
+    text = lambda k, new="": " ".join(f"{k}w{i}" for i in range(200)) + new
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (7, text("c")), (7, text("d")), (8, text("b", " x")), (9, text("d", " x")), (9, text("e"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near.stage_near_dedup(spark, docs, "").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[i] for i in (0, 1, 3, 4, 7)], key=str)
+    got = near.near_classes(docs).collect()
+    assert len(got) == len(rows) and len({r.class_hash for r in got}) == 5
+
+
+def test_quality_stage_shared_ids(spark, tmp_path):
+    """A rejected row takes no other row without an id, or with the same id, along."""
+    good = [f"the {a} of the {b} is near the {c}" for a in ("mill", "road", "lake") for b in ("town", "river", "sea") for c in ("inn", "barn", "well")]
+    spark.createDataFrame([(i, 1, 0) for i in range(len(good))], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    more = [(None, "zq#j x%v kk~ qqw"), (None, "the road of the town"), (50, "qx$z vvk} jjq[ zwx"), (50, "the lake of the river")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in [*enumerate(good), *more]], "doc_id long, text string, lang string")
+    kept = {r.text for r in quality.stage_quality(spark, docs, str(tmp_path)).collect()}
+    assert {t for _, t in more} & kept == {"the road of the town", "the lake of the river"}
+
+
 def test_near_partners(spark):
     """Partners of one text fall into groups of a bounded size, each pair once."""
     pairs = spark.range(1000).selectExpr("id % 2 AS a", "id AS b")
