@@ -105,6 +105,10 @@ ORDINARY = [
 KEYWORDS = r"(?i)licen[cs]e|copyright|permission|redistribut|public domain|creative commons|\bmpl\b"
 #: Least share of a paragraph's word pairs that a template of the family must have.
 CONFIRMED = 0.4
+#: Least share of a template's word pairs that a piece of a paragraph must have.
+CONTAINED = 0.6
+#: Words of the windows that longer sentences are read in; each begins half a window after the one before.
+WINDOWS = (16, 48)
 #: Largest share of held-out ordinary sentences that may pass for a notice.
 FALSE_ALARMS = 0.02
 
@@ -169,28 +173,55 @@ def _pairs(text: Column) -> Column:
     return F.array_distinct(F.get(bound, F.lit(0)))
 
 
-def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
-    """(doc_id, paragraph, family, score, overlap, confirmed): a row for each paragraph that the model gives a family.
+def _pieces(line: Column) -> Column:
+    """array<struct<whole, piece>>: the line, its sentences, and windows of sentences that are longer than a window."""
+    sentences = F.filter(F.split(line, r"(?<=[.;!?])\s+"), lambda x: x != "")
+
+    def windows(sentence: Column, size: int) -> Column:
+        def cut(w: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.size(w) - size // 2, F.lit(1)), F.lit(size // 2))
+            return F.when(F.size(w) > size, F.transform(starts, lambda i: F.array_join(F.slice(w, i, size), " "))).otherwise(F.array().cast("array<string>"))
+
+        return F.get(F.transform(F.array(F.split(sentence, r"\s+")), cut), F.lit(0))
 
-    Paragraphs are the lines of a text, numbered from 0. The unknown class takes paragraphs whose best family scores below
-    the model's threshold. overlap is the share of the paragraph's word pairs that the family's templates have; from
-    CONFIRMED the prediction is confirmed. Null and empty texts have no paragraphs; repeated rows repeat their results.
+    parts = F.flatten(F.transform(sentences, lambda x: F.concat(F.array(x), *(windows(x, n) for n in WINDOWS))))
+    hits = F.filter(F.array_distinct(parts), lambda x: x.rlike(KEYWORDS) & (x != line))
+    marked = lambda whole: lambda x: F.struct(F.lit(whole).alias("whole"), x.alias("piece"))
+    return F.concat(F.transform(F.array(line), marked(True)), F.transform(hits, marked(False)))
+
+
+def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
+    """(doc_id, paragraph, family, score, overlap, contained, confirmed): a row for each paragraph and family that the model
+    gives it or a piece of it.
+
+    Paragraphs are the lines of a text, numbered from 0; pieces are their sentences and windows of long ones, so that a
+    notice is found whatever stands beside it. The unknown class takes pieces whose best family scores below the model's
+    threshold. overlap is the share of the paragraph's word pairs that the family's templates have (0 where only a piece has
+    the family), contained the largest share of a template's word pairs that the paragraph's pieces have; from CONFIRMED or
+    CONTAINED the prediction is confirmed. score is the best one of the pieces. Null and empty texts have no paragraphs;
+    repeated rows repeat their results.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split(text_of(), "\n")).alias("paragraph", "line")).where(F.col("line").rlike(KEYWORDS))
-    scored = model.scores(lines, "line")
+    rows = docs.select("doc_id", text_of().alias("text")).where(F.col("text").rlike(KEYWORDS)).withColumn("row", F.monotonically_increasing_id())
+    lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(F.col("line").rlike(KEYWORDS))
+    scored = model.scores(lines.select("row", "doc_id", "paragraph", F.inline(_pieces(F.col("line")))), "piece")
     known = F.slice("scores", 2, len(model.families))
     best = F.array_max(known)
     family = F.element_at(F.array(*(F.lit(f) for f in model.families[1:])), F.array_position(known, best).cast("int"))
     found = scored.withColumn("score", best).withColumn("family", family).where((F.col("score") >= model.threshold) & (F.get("scores", F.lit(0)) < F.col("score")))
-    pairs = {f: sorted({f"{a} {b}" for t in ts for a, b in zip(_words(t), _words(t)[1:])}) for f, ts in TEMPLATES.items()}
-    own = F.element_at(F.create_map(*(x for f, ps in pairs.items() for x in (F.lit(f), F.array(*(F.lit(p) for p in ps))))), F.col("family"))
-    found = found.withColumn("pairs", _pairs(F.col("line")))
-    overlap = F.size(F.array_intersect("pairs", own)) / F.greatest(F.size("pairs"), F.lit(1))
-    return found.withColumn("overlap", overlap).select("doc_id", "paragraph", "family", "score", "overlap", (F.col("overlap") >= CONFIRMED).alias("confirmed"))
+    pairs = {f: [sorted({f"{a} {b}" for a, b in zip(_words(t), _words(t)[1:])}) for t in ts] for f, ts in TEMPLATES.items()}
+    templates = F.element_at(F.create_map(*(x for f, ts in pairs.items() for x in (F.lit(f), F.array(*(F.array(*(F.lit(p) for p in ps)) for ps in ts))))), F.col("family"))
+    found = found.withColumn("pairs", _pairs(F.col("piece"))).withColumn("templates", templates)
+    overlap = F.size(F.array_intersect("pairs", F.flatten("templates"))) / F.greatest(F.size("pairs"), F.lit(1))
+    contained = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(F.col("pairs"), t)) / F.size(t)))
+    # Pairs scattered over a long line are no notice: beyond the largest window, containment is that of the windows.
+    near = F.size(F.split("piece", r"\s+")) <= max(WINDOWS)
+    held = found.select("row", "doc_id", "paragraph", "family", "score", F.when(F.col("whole"), overlap).otherwise(0.0).alias("overlap"), F.when(near, contained).otherwise(0.0).alias("contained"))
+    each = held.groupBy("row", "doc_id", "paragraph", "family").agg(*(F.max(c).alias(c) for c in ("score", "overlap", "contained")))
+    return each.select("doc_id", "paragraph", "family", "score", "overlap", "contained", ((F.col("overlap") >= CONFIRMED) | (F.col("contained") >= CONTAINED)).alias("confirmed"))
 
 
 def licences(docs: DataFrame, model: LicenceModel) -> DataFrame:
-    """One row per doc_id: n_notices, families (distinct confirmed ones, sorted, joined by commas; empty if none)."""
+    """One row per doc_id: n_notices (confirmed paragraphs, once for each family), families (distinct confirmed ones, sorted, joined by commas; empty if none)."""
     found = scan(docs, model).where("confirmed")
     by_doc = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("f"))
     ids = docs.select("doc_id").distinct()

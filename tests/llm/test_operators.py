@@ -164,6 +164,17 @@ def test_licence(spark):
     assert {r.doc_id: r.families for r in licence.licences(docs, licence.train(spark)).collect()} == {1: "mit", 2: "", 3: ""}
 
 
+def test_licence_in_prose(spark):
+    """A notice is found whatever shares its line; prose about licences is not one."""
+    prose = "The tool reads a folder of files and writes a table of their sizes beside them."
+    mit = " ".join(licence.TEMPLATES["mit"][2:4]) + ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.'
+    bare = prose.rstrip(".").lower()
+    texts = {1: f"{prose} Released under the MIT License.", 2: f"{prose * 300} Licensed under the GPL version 3. {prose * 300}", 3: mit, 4: f"{bare} {bare} Distributed under the BSD 3-Clause License {bare} {bare}", 5: f"{prose} His driving license was renewed in May. {prose}", 6: f"Released under the MIT License. {prose} Licensed under CC BY 4.0."}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.families for r in licence.licences(docs, licence.train(spark)).collect()}
+    assert got == {1: "mit", 2: "gpl-3.0", 3: "mit", 4: "bsd", 5: "", 6: "cc-by-4.0,mit"}
+
+
 def test_empty(odd):
     none = odd.where("1 = 0")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
