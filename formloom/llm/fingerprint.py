@@ -1,8 +1,9 @@
 """Document fingerprints from closed syncmers, with DataFrame functions alone.
 
 A k-mer of tokens is a closed syncmer if the smallest of its inner s-mers stands at one of its two edges. That depends on
-the k-mer alone, so an edit changes only the anchors that it touches. Anchors carry their position; a fingerprint keeps
-the anchors with the smallest hashes.
+the k-mer alone, so an edit changes only the anchors that it touches. A fingerprint has all anchors of a text with their
+positions. Two texts are held against each other by anchors and by links: two anchors that follow one another at the same
+distance, wherever they stand, so what an insertion moves still matches.
 """
 
 from __future__ import annotations
@@ -12,81 +13,62 @@ from pyspark.sql import functions as F
 
 from formloom.llm.common import table, text_of
 
-#: Tokens of a k-mer and of an inner s-mer.
-K, S = 5, 2
-#: Anchors that a fingerprint keeps.
-KEPT = 96
-#: Texts below LONG code points are also read letter by letter, texts of SHORT or more word by word.
-LONG, SHORT = 300, 150
-#: A word, cut after 16 letters; in scripts that are written without spaces, one letter.
-TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]{1,16}"
+#: Tokens of a k-mer and of an inner s-mer; a third of all k-mers are closed syncmers.
+K, S = 8, 3
+#: A piece of a word, of four letters at most; in scripts that are written without spaces, one letter. Texts of every
+#: length are read in these.
+TOKEN = r"[!-~\u00a1-\u024f]{1,4}+|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|[^\s!-~\u00a1-\u024f\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]{1,4}+"
 #: Documents of one range of doc_ids, about.
 ROWS_PER_RANGE = 2000
 
 
-def _anchors_of(tokens: Column, kind: str) -> Column:
-    """array<struct<hash, pos>> of the closed syncmers of an array of tokens; empty below K tokens."""
+def anchors(text: Column) -> Column:
+    """array<struct<hash, pos>>: the closed syncmers of a text's tokens in order, at the position of their first token.
+
+    K - 1 marks stand before the first token, so every text with a token has k-mers (with positions below 0). A text
+    without anchors has one, of the whole text.
+    """
     # One-element arrays bind what is looked up by position, so that it is computed once for a text.
-    inner = lambda t: F.transform(t, lambda x, i: F.xxhash64(F.lit(kind), x, F.get(t, i + 1)))  # noqa: E731  S = 2
-    bound = F.transform(F.array(tokens), lambda t: F.struct(inner(t).alias("inner"), t.alias("tokens")))
     edge = K - S
+    bind = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    names = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda x: F.hash(x))
+    padded = F.concat(F.array_repeat(F.lit(0), K - 1), names)
+    inner = bind(padded, lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - S), lambda i: F.hash(F.get(t, i), F.get(t, i + 1), F.get(t, i + 2))))
 
-    def pick(b: Column) -> Column:
-        at = lambda i, d: F.get(b["inner"], i + d)
+    def pick(h: Column) -> Column:
+        at = lambda i, d: F.get(h, i + d)
         closed = lambda i: F.least(at(i, 0), at(i, edge)) <= F.least(*(at(i, d) for d in range(1, edge)))
-        last = F.size(b["tokens"]) - K
-        starts = F.filter(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), closed)
-        return F.transform(starts, lambda i: F.struct(F.xxhash64(at(i, 0), at(i, S), F.get(b["tokens"], i + K - 1)).alias("hash"), i.alias("pos")))
+        starts = F.filter(F.sequence(F.lit(0), F.size(h) - edge - 1), closed)
+        return F.transform(starts, lambda i: F.struct(F.hash(at(i, 0), at(i, S), at(i, edge)).alias("hash"), (i - (K - 1)).alias("pos")))
 
-    return F.get(F.transform(bound, pick), F.lit(0))
+    whole = F.array(F.struct(F.hash(F.lit("whole"), text).alias("hash"), F.lit(0).alias("pos")))
+    found = bind(inner, lambda h: F.when(F.size(h) > edge, pick(h)))
+    return bind(found, lambda a: F.when(F.size(a) > 0, a).otherwise(whole))
 
 
-def anchors(text: Column) -> Column:
-    """All anchors of a text: of its words and, if it is short, of its letters (whose positions count letters)."""
-    n = F.length(text)
-    none = F.array().cast("array<string>")
-    words = F.when(n >= SHORT, F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).otherwise(none)
-    letters = F.when((n > 0) & (n < LONG), F.split(text, "")).otherwise(none)
-    return F.concat(_anchors_of(words, "word"), _anchors_of(letters, "letter"))
+def fingerprint(found: Column) -> Column:
+    """The anchors as text: hash in hexadecimal, colon, position, joined by blanks."""
+    return F.array_join(F.transform(found, lambda x: F.concat(F.lower(F.hex(x["hash"])), F.lit(":"), x["pos"].cast("string"))), " ")
 
 
-def sketch(text: Column) -> Column:
-    """array<struct<hash, pos>>: the KEPT smallest hashes of the text's anchors, each with its first position; a text
-    too short for anchors has one, of the whole text."""
-    found = F.transform(F.array(F.array_sort(anchors(text))), lambda a: F.filter(a, lambda x, i: (i == 0) | (x["hash"] != F.get(a, F.greatest(i - 1, F.lit(0)))["hash"])))
-    kept = F.slice(F.get(found, F.lit(0)), 1, KEPT)
-    whole = F.array(F.struct(F.xxhash64(F.lit("whole"), text).alias("hash"), F.lit(0).alias("pos")))
-    bound = F.transform(F.array(kept), lambda k: F.when(F.size(k) > 0, k).otherwise(whole))
-    return F.get(bound, F.lit(0))
+def marks(found: Column) -> Column:
+    """The distinct hashes of the anchors and of their links (an anchor, the one after it, their distance)."""
 
+    def both(a: Column) -> Column:
+        hashes = F.transform(a, lambda x: x["hash"].cast("long"))
+        links = F.transform(F.slice(a, 2, F.size(a)), lambda x, i: F.xxhash64(F.get(a, i)["hash"], x["hash"], x["pos"] - F.get(a, i)["pos"]))
+        return F.array_distinct(F.concat(hashes, links))
 
-def fingerprint(sketched: Column) -> Column:
-    """The sketch as text: hash in hexadecimal, colon, position, joined by blanks."""
-    return F.array_join(F.transform(sketched, lambda x: F.concat(F.lower(F.hex(x["hash"])), F.lit(":"), x["pos"].cast("string"))), " ")
+    return F.get(F.transform(F.array(found), both), F.lit(0))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of two texts' anchors that they have in common (Dice), from their sketches: exact if both are whole,
-    else estimated from the KEPT smallest hashes of their union."""
-    hashes = lambda s: F.transform(s, lambda x: x["hash"])
-    both = F.array(F.struct(hashes(a).alias("a"), hashes(b).alias("b")))
-
-    def score(x: Column) -> Column:
-        union = F.slice(F.array_sort(F.array_union(x["a"], x["b"])), 1, KEPT)
-        common = F.size(F.array_intersect(union, F.array_intersect(x["a"], x["b"])))
-        jaccard = common / F.size(union)
-        return 2 * jaccard / (1 + jaccard)
-
-    return F.get(F.transform(both, score), F.lit(0))
-
-
-def aligned(a: Column, b: Column) -> Column:
-    """The number of anchors that two sketches have at the same positions."""
-    return F.size(F.array_intersect(a, b)).cast("long")
+    """Share of two texts' marks that they have in common (Dice), from 0 to 1."""
+    return 2 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, sketch, next_text, next_sketch): each document beside the one with the next larger doc_id.
+    """(doc_id, text, anchors, marks, next_text, next_marks): each document beside the one with the next larger doc_id.
 
     After the largest id the smallest follows. Rows that repeat an id follow one another by text; null ids stand first.
     Ranges of ids, cut at quantiles (ids that occur, so few rows mark the cuts), are sorted on their own; the first
@@ -109,11 +91,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("range").orderBy("late", "key", "text")
     return (
         sent.repartition(F.col("range"))
-        .withColumn("sketch", sketch(F.col("text")))
+        .withColumn("anchors", anchors(F.col("text")))
+        .withColumn("marks", marks(F.col("anchors")))
         .withColumn("next_text", F.lead("text").over(order))
-        .withColumn("next_sketch", F.lead("sketch").over(order))
+        .withColumn("next_marks", F.lead("marks").over(order))
         .where("late = 0")
-        .select("doc_id", "text", "sketch", "next_text", "next_sketch")
+        .select("doc_id", "text", "anchors", "marks", "next_text", "next_marks")
     )
 
 
@@ -125,27 +108,27 @@ def _halve(s: Column, bounds: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Per input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
-    aligned_edited, next and edited text's sketches aside.
+    """Per input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_anchors.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the next
     document. Null texts count as empty; an empty text has a fingerprint of its own, the same for all. Of rows that repeat
-    an id the smaller text comes first. A table of one row is its own next. Other columns aren't read.
+    an id the smaller text comes first. A table of one row is its own next; an empty table gives an empty result. Other
+    columns aren't read.
     """
     pairs = with_next(docs)
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
-    rows = pairs.withColumn("n_chars", n.cast("long")).withColumn("edited", edited).drop("text", "next_text").withColumn("edited_sketch", sketch(F.col("edited")))
+    rows = pairs.withColumn("n_chars", n.cast("long")).withColumn("edited", edited).drop("text", "next_text").withColumn("edited_anchors", anchors(F.col("edited")))
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("sketch")).alias("fingerprint"),
-        fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
-        aligned(F.col("sketch"), F.col("edited_sketch")).alias("aligned_edited"),
+        fingerprint(F.col("anchors")).alias("fingerprint"),
+        fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"),
+        likeness(F.col("marks"), marks(F.col("edited_anchors"))).alias("near_edited"),
+        likeness(F.col("marks"), F.col("next_marks")).alias("near_next"),
+        F.size("anchors").cast("long").alias("n_anchors"),
     )
 
 
