@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but the six ASCII white-space characters; bytes.split() cuts at the same six.
@@ -32,9 +32,13 @@ def text_of(name: str = "text") -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's spark.checkpoint.dir; only where it is unset (tests, local runs) set a temporary one."""
-    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="formloom-checkpoint-"))
+    """Keep the cluster's spark.checkpoint.dir; only a local session without one (tests) gets a temporary folder."""
+    context = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir() is not None:
+        return
+    if not context.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="formloom-checkpoint-"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -43,6 +47,37 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def text_hash(text: str = "text") -> Column:
+    """128 bits of the SHA-256 of a text; null counts as empty."""
+    return F.unhex(F.substring(F.sha2(text_of(text), 256), 1, 32))
+
+
+def row_key(doc_id: Column, hashed: Column) -> Column:
+    """One non-null name for a row's id and text hash, so that one exchange serves the joins and the windows on both."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.hex(hashed))))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def staying_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose row_key() is in kept (key), once each: of rows that repeat both id and text the one whose
+    other columns come first as JSON. docs is shuffled once; copies are thinned out before that.
+    """
+    key, copy = fresh(docs, "row_key"), fresh(docs, "copy")
+    rest = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*(F.col(f"`{c}`") for c in rest))) if rest else F.lit("")
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), text_hash()))
+    first = keyed.withColumn(copy, F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col(copy) == 1)
+    wanted = kept.select(F.col("key").alias(key)).distinct()
+    return first.join(wanted, key, "left_semi").select(*(f"`{c}`" for c in docs.columns))
+
+
 def block_count(docs: DataFrame, text: str = "text", chars: int = BLOCK_CHARS) -> int:
     """Blocks needed so that each holds about `chars` code points, however large the input."""
     total = docs.agg(F.sum(F.length(F.col(text)))).first()[0] or 0
@@ -55,7 +90,8 @@ def packed_blocks(docs: DataFrame, blocks: int, level: int = 1) -> DataFrame:
     level: of the compression; a higher one takes more time and less disk.
 
     A payload is an Arrow stream of docs' columns. A row's block depends on its doc_id alone, so equal ids meet
-    and a task that runs again gives the same pieces.
+    and a task that runs again gives the same pieces. Rows without an id are dealt by their text, so that they don't
+    all fall into one block.
     """
     cols = docs.columns
 
@@ -83,7 +119,8 @@ def packed_blocks(docs: DataFrame, blocks: int, level: int = 1) -> DataFrame:
         held = []
         release()
 
-    dealt = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    named = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text"))
+    dealt = docs.withColumn("_block", F.pmod(named, F.lit(blocks)).cast("int"))
     return dealt.mapInArrow(pack, "block int, payload binary")
 
 
