@@ -14,21 +14,27 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm.common import block_count, checkpointed, from_payloads, mix, packed_blocks, table, text_of, texts_as_bytes, to_payload
+from formloom.llm.common import block_count, checkpointed, from_payloads, mix, packed_blocks, row_key, staying_rows, table, text_hash, text_of, texts_as_bytes, to_payload
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of rows: a pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
 BANDS, ROWS = 32, 4
 #: Slots of a signature: the bands take the first of them, the estimate all.
 SLOTS = 320
-#: Estimated similarity from which a pair is verified, 3.5 standard deviations of the estimate below SIMILARITY: a pair
-#: at SIMILARITY falls below it once in 4000 times, and counts then only if no other link joins its classes.
-LEAST_ESTIMATE = SIMILARITY - 3.5 * (SIMILARITY * (1 - SIMILARITY) / SLOTS) ** 0.5
+#: A pair is verified whose estimated similarity is at most so many standard deviations of the estimate below SIMILARITY:
+#: a pair at SIMILARITY falls below that once in 4000 times. None verifies every pair that shares a band.
+DEVIATIONS = 3.5
 #: Partners of a text that one verifying task holds against it.
 PARTNERS = 64
+#: Members of a band that one comparing task takes from either side.
+PIECE = 512
+
+
+def least_estimate(deviations: float | None) -> float:
+    return -1.0 if deviations is None else SIMILARITY - deviations * (SIMILARITY * (1 - SIMILARITY) / SLOTS) ** 0.5
 
 
 def shingle_names(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +204,7 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def _estimated(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """pairs (a, b) with their estimated similarity, where it is high enough to verify them."""
     sig_a, sig_b = (reps.select(F.col("rep").alias(s), F.col("signature").alias(f"sig_{s}")) for s in "ab")
 
@@ -206,25 +212,26 @@ def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
         for x in batches:
             a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, SLOTS) for c in (x.column(2), x.column(3)))
             got = estimate(a, b)
-            on = pa.array(np.flatnonzero(got >= LEAST_ESTIMATE))
+            on = pa.array(np.flatnonzero(got >= least))
             yield pa.RecordBatch.from_arrays([x.column(0).take(on), x.column(1).take(on), pa.array(got).take(on)], ["a", "b", "estimate"])
 
     joined = pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b")
     return joined.mapInArrow(score, "a long, b long, estimate double")
 
 
-def text_classes(docs: DataFrame) -> DataFrame:
+def text_classes(docs: DataFrame, deviations: float | None = DEVIATIONS) -> DataFrame:
     """(doc_id, text_hash, rep_id, class_id, class_hash), one row per input row: near_classes() with the text's own hash
     and that of the class's first text, the one whose (doc_id, hash) is the smallest. Hashes are 128 bits of SHA-256.
 
     Copies are joined first, so a group of equal texts is one entry. Entries are named by numbers of their text hashes, so
     texts that share a doc_id, or have none, are entries of their own. Each entry that shares a band with others is held
     against the most central of them, which joins most of a class at once (links that others imply need no check). Then
-    members of a band that are still in different classes are held against each other, all of them, so no cap and no missed link remains
-    among entries that share a band.
+    members of a band that are still in different classes are held against each other, all of them: among entries that
+    share a band no cap remains, and with deviations None no estimate either.
     """
+    least = least_estimate(deviations)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), text_of().alias("text"))
-    hashed = rows.withColumn("text_hash", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
+    hashed = rows.withColumn("text_hash", text_hash())
     features = hashed.select("doc_id", "text", "text_hash").mapInArrow(_features, "doc_id long, text_hash binary, signature binary, bands array<long>")
     entries = features.groupBy("text_hash").agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     reps = checkpointed(entries.withColumn("rep", F.monotonically_increasing_id()))  # fixed by the checkpoint
@@ -237,13 +244,13 @@ def text_classes(docs: DataFrame) -> DataFrame:
     ranked = shared.join(central, "rep").select("band", F.struct("met", F.bitwise_not("rep").alias("back"), "rep").alias("rank"))
     hubs = ranked.groupBy("band").agg(F.max("rank")["rep"].alias("hub"))
     stars = shared.select("band", "rep").join(hubs, "band").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    likely = checkpointed(_estimated(stars, reps).select("a", "b"))
+    likely = checkpointed(_estimated(stars, reps, least).select("a", "b"))
     # Texts that may have to be verified: all that share a band and whose band-mates are not ruled out by the estimate.
     texts = checkpointed(_texts_of(hashed, reps.join(shared.select("rep").distinct(), "rep").select("rep", "first_id", "text_hash")))
 
     links = checkpointed(verified(likely, texts))
     classes = components(links)
-    left = checkpointed(_pairs_in_bands(shared, classes, reps).join(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    left = checkpointed(_pairs_in_bands(shared, classes, reps, least).join(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if left.head(1):
         links = links.unionByName(checkpointed(verified(left, texts)))
         classes = components(links)
@@ -290,34 +297,48 @@ def _texts_of(hashed: DataFrame, wanted: DataFrame) -> DataFrame:
     return packed.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(pick, "doc_id long, text binary")
 
 
-def _pairs_in_bands(shared: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
+def _pairs_in_bands(shared: DataFrame, classes: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """Pairs of band-mates in different classes whose estimate is high enough, each once, as (smaller, larger).
 
-    A pair that shares several bands is compared and sent on in the first of them alone. Where that band has no other
-    members, the pair has been held against each other already, as hub and member.
+    The members of a band's largest class need no check among themselves; all others are held against them and against
+    each other. Both sides are cut in pieces of about PIECE members, and each task takes one piece of either, so a band of
+    a third of all texts is many tasks. A pair that shares several bands is sent on in the first of them alone. Where that
+    band has no other members, the pair has been held against each other already, as hub and member.
     """
     known = shared.join(classes, F.col("rep") == F.col("id"), "left").select("band", "rep", F.coalesce("class_id", "rep").alias("class_id"))
-    mixed = known.groupBy("band").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most and n > 2")
-    with_sig = known.join(mixed.select("band"), "band").join(reps.select("rep", "signature", "bands"), "rep").select("band", "rep", "class_id", "signature", "bands")
+    sizes = known.groupBy("band", "class_id").agg(F.count(F.lit(1)).alias("size"))
+    mixed = sizes.groupBy("band").agg(F.max(F.struct("size", "class_id")).alias("top"), F.sum("size").alias("n"), F.count(F.lit(1)).alias("classes")).where("classes > 1 and n > 2")
+    pieces = lambda n: F.ceil(n / F.lit(PIECE)).cast("int")
+    mixed = mixed.select("band", F.col("top.class_id").alias("top_class"), pieces(F.col("top.size")).alias("tops"), pieces(F.col("n") - F.col("top.size")).alias("others"))
+    placed = known.join(mixed, "band").withColumn("is_top", F.col("class_id") == F.col("top_class"))
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("others"))).cast("int")
+    placed = placed.withColumn("own", own)
+    # A task is (left, right): -1 - i is piece i of the largest class, i piece i of the others; right is one of the others.
+    others = F.sequence(F.lit(0), F.col("others") - 1)
+    with_tops = F.transform(F.sequence(F.lit(1), F.col("tops")), lambda i: F.struct((-i).alias("left"), F.col("own").alias("right")))
+    with_others = F.transform(others, lambda i: F.struct(F.least(i, F.col("own")).alias("left"), F.greatest(i, F.col("own")).alias("right")))
+    tasks = F.when(F.col("is_top"), F.transform(others, lambda i: F.struct((-1 - F.col("own")).alias("left"), i.alias("right")))).otherwise(F.concat(with_tops, with_others))
+    dealt = placed.select("band", "rep", "class_id", "is_top", "own", F.inline(tasks))
+    with_sig = dealt.join(reps.select("rep", "signature", "bands"), "rep")
 
     def compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        rep, of = group.column("rep").to_numpy(), group.column("class_id").to_numpy()
+        band, left, right = (k.as_py() for k in key)
+        rep, of, own = (group.column(c).to_numpy() for c in ("rep", "class_id", "own"))
+        top = np.array(group.column("is_top").to_pylist(), bool)
         sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(-1, SLOTS)
         bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        this = int(np.flatnonzero(bands[0] == key[0].as_py())[0])
-        largest = np.unique(of, return_counts=True)
-        largest = largest[0][np.argmax(largest[1])]
-        a, b = [], []
-        for i in np.flatnonzero(of != largest):  # the members of the largest class need no check among themselves
-            near = np.flatnonzero((of != of[i]) & ((of == largest) | (rep > rep[i])))
+        this = int(np.flatnonzero(bands[0] == band)[0])
+        on_left, on_right = top if left < 0 else ~top & (own == left), ~top & (own == right)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(on_right):
+            near = np.flatnonzero(on_left & (of != of[i]) & ((rep > rep[i]) if left == right else True))
             near = near[~(bands[near, :this] == bands[i, :this]).any(1)]
-            near = near[estimate(sig[near], sig[i]) >= LEAST_ESTIMATE]
+            near = near[estimate(sig[near], sig[i]) >= least]
             a.append(np.minimum(rep[near], rep[i]))
             b.append(np.maximum(rep[near], rep[i]))
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"a": pa.array(np.concatenate(a or none), pa.int64()), "b": pa.array(np.concatenate(b or none), pa.int64())})
+        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
 
-    return with_sig.groupBy("band").applyInArrow(compare, "a long, b long")
+    return with_sig.groupBy("band", "left", "right").applyInArrow(compare, "a long, b long")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,11 +347,11 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the text with the smallest (doc_id, hash) goes on; rows repeated in both id and text
-    go on once."""
+    """Pipeline stage: of each class the text with the smallest (doc_id, hash) goes on.
+
+    Rows are told apart by id and text, so different texts of one id, or of none, are documents of their own. Rows repeated
+    in both go on once, as staying_rows() says. An empty table stays empty; any other columns go along under their own
+    names.
+    """
     first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash"))
-    keep = text_classes(docs).where(first).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    hashed = docs.withColumn("_text_hash", F.unhex(F.substring(F.sha2(text_of(), 256), 1, 32)))
-    staying = hashed.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
-    copy = F.row_number().over(Window.partitionBy("doc_id", "_text_hash").orderBy(F.lit(0)))
-    return staying.withColumn("_copy", copy).where("_copy = 1").select(*docs.columns)
+    return staying_rows(docs, text_classes(docs).where(first).select(row_key(F.col("doc_id"), F.col("text_hash")).alias("key")))
