@@ -13,12 +13,12 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formloom.llm.common import block_count, checkpointed, from_payloads, mix, packed_blocks, releasing, squeeze, table, text_of, texts_as_bytes, unsqueeze
+from formloom.llm.common import block_count, checkpointed, fresh, from_payloads, mix, packed_blocks, releasing, row_key, squeeze, table, text_hash, text_of, texts_as_bytes, unsqueeze
 
-#: Characters of an n-gram; each takes 16 bits of a 64-bit key.
+#: Characters of an n-gram: UTF-16 code units, so that each takes 16 bits of a 64-bit key and none is folded into another.
 ORDER = 4
 #: Documents above this quantile of their language's trusted perplexities are rejected; README gives what it catches.
 QUANTILE = 0.98
@@ -26,12 +26,13 @@ QUANTILE = 0.98
 FOLDS = 4
 #: Symbol before a text's first character.
 BEGIN = 2
+#: Thresholds are read from counts of perplexities in steps of this much of their logarithm.
+STEP = 1e-4
 
 
 def grams(text: str) -> np.ndarray:
-    """The key of each character with the three before it. Characters outside the basic plane share 6400 keys."""
-    code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    code = np.where(code > 0xFFFF, 0xE000 + code % 6400, code).astype(np.uint64)
+    """The key of each UTF-16 code unit with the three before it."""
+    code = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.uint64)
     code = np.r_[np.full(ORDER - 1, BEGIN, np.uint64), code]
     key = code[ORDER - 1 :].copy()
     for back in range(1, ORDER):
@@ -112,7 +113,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     trusted: the doc_ids whose text trains the model. Their own perplexity comes from the trusted text outside their fold;
     others are scored by all of it. Perplexity is per character; null for empty and null texts, for languages (null is
     one of its own) without trusted text, and for trusted documents without any outside their fold. Repeated rows count
-    as often as they stand there. text_hash is the first half of the text's SHA-256.
+    as often as they stand there. text_length counts UTF-16 code units, text_hash is the first half of the text's SHA-256.
+    Other columns of docs aren't read; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text_of().alias("text"))
     blocks = block_count(rows)
@@ -120,6 +122,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     texts = packed_blocks(rows, blocks, level=6).groupBy("block")
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
 
+    scored = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text_hash", pa.binary()), ("text_length", pa.int64()), ("trusted", pa.bool_()), ("perplexity", pa.float64())])
+
     def models_of(rows: pa.Table, good: set[int]) -> np.ndarray:
         """The fold of each row's text, FOLDS (the model of all trusted text) for rows that aren't trusted."""
         pairs = zip(rows.column("doc_id").to_pylist(), texts_as_bytes(rows.column("text")))
@@ -129,10 +133,10 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         return (mix(unique, np.zeros(1, np.uint64)) % np.uint64(shards)).astype(np.int64)
 
     def send(key: tuple[pa.Scalar, ...], group: pa.Table, trusted: pa.Table) -> pa.Table:
-        rows = from_payloads(group.column("payload"))
-        model = models_of(rows, set(trusted.column("doc_id").to_pylist()))
         out: dict[str, list] = {"block": [], "shard": [], "lang": [], "value": []}
-        for lang, at, keys, cuts in _grams_by_language(rows):
+        rows = from_payloads(group.column("payload")) if group.num_rows else None  # a block may have labels alone
+        model = models_of(rows, set(trusted.column("doc_id").to_pylist())) if rows else None
+        for lang, at, keys, cuts in _grams_by_language(rows) if rows else []:
             of = np.repeat(model[at], np.diff(cuts))
             unique = np.unique(keys)
             counts = np.zeros((FOLDS, len(unique)), np.uint32)
@@ -176,6 +180,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "lang": asked.column("lang"), "value": pa.array(values, pa.binary())})
 
     def score(key: tuple[pa.Scalar, ...], group: pa.Table, scores: pa.Table) -> pa.Table:
+        if not group.num_rows:
+            return scored.empty_table()
         rows = from_payloads(group.column("payload"))
         parts, good = {}, set()
         for shard, lang, value in zip(scores.column("shard").to_pylist(), scores.column("lang").to_pylist(), scores.column("value")):
@@ -197,31 +203,44 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
             some = size > 0
             found[at[some]] = np.exp(-total[some] / size[some])
         hashes = [hashlib.sha256(t).digest()[:16] for t in texts_as_bytes(rows.column("text"))]
-        return pa.table({"doc_id": rows.column("doc_id"), "lang": rows.column("lang"), "text_hash": pa.array(hashes, pa.binary()), "text_length": pa.array(length), "trusted": pa.array(model < FOLDS), "perplexity": pa.array(found, mask=np.isnan(found))})
+        columns = [rows.column("doc_id"), rows.column("lang"), pa.array(hashes, pa.binary()), pa.array(length), pa.array(model < FOLDS), pa.array(found, mask=np.isnan(found))]
+        return pa.table(columns, schema=scored)
 
-    sending = texts.cogroup(ids.groupBy("block")).applyInArrow(releasing(send), "block int, shard int, lang string, value binary")
+    sending = checkpointed(texts.cogroup(ids.groupBy("block")).applyInArrow(releasing(send), "block int, shard int, lang string, value binary"))
     counts = checkpointed(sending.groupBy("shard", "lang").applyInArrow(releasing(add_up), "shard int, lang string, model int, gram long, n long"))
     # Each model of each language is a language of its own to probabilities().
     keyed = counts.withColumn("key", F.concat_ws(":", "model", "lang"))
     model = probabilities(keyed.select(F.col("key").alias("lang"), "gram", "n")).withColumnRenamed("lang", "key")
-    scored = keyed.select("shard", "lang", "model", "key", "gram").join(model, ["key", "gram"]).select("shard", "lang", "model", "gram", "p")
-    back = sending.groupBy("shard", "lang").cogroup(scored.groupBy("shard", "lang")).applyInArrow(releasing(answer), "block int, shard int, lang string, value binary")
+    known = keyed.select("shard", "lang", "model", "key", "gram").join(model, ["key", "gram"]).select("shard", "lang", "model", "gram", "p")
+    back = sending.groupBy("shard", "lang").cogroup(known.groupBy("shard", "lang")).applyInArrow(releasing(answer), "block int, shard int, lang string, value binary")
     marks = ids.select("block", F.lit(-1).alias("shard"), F.lit("").alias("lang"), F.encode(F.col("doc_id").cast("string"), "UTF-8").alias("value"))
     return texts.cogroup(back.unionByName(marks).groupBy("block")).applyInArrow(releasing(score), "doc_id long, lang string, text_hash binary, text_length long, trusted boolean, perplexity double")
 
 
+def quantiles(values: DataFrame, quantile: float) -> DataFrame:
+    """(lang, threshold) of values (lang, value > 0): the upper edge of the step, STEP of the logarithm wide, in which the
+    smallest value with that share of the language's values at or below it lies. Reruns agree, and a language's steps,
+    unlike its values, are bounded in number."""
+    step = F.floor(F.log("value") / STEP)
+    counts = values.groupBy("lang", step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    language = Window.partitionBy("lang")
+    upto = counts.withColumn("upto", F.sum("n").over(language.orderBy("step"))).withColumn("all", F.sum("n").over(language))
+    reached = upto.where(F.col("upto") >= quantile * F.col("all")).groupBy("lang").agg(F.min("step").alias("step"))
+    return reached.select("lang", F.exp((F.col("step") + 1) * STEP).alias("threshold"))
+
+
 def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, text_hash, text_length, trusted, perplexity, threshold, kept), one row per row of docs.
 
     Trusted text is that labelled quality 1 and not toxic. A document is rejected if its perplexity is above its
     language's threshold: the quantile of the trusted documents' perplexities, each from a model without it. Where there is
-    no perplexity or no threshold (empty text, language without trusted text in two folds) it is kept. All labels train, so what is counted grows
-    with the corpus.
+    no perplexity or no threshold (empty text, language without trusted text in two folds) it is kept. All labels train,
+    so what is counted grows with the corpus. Other columns aren't read; an empty table gives an empty result.
     """
     trusted = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id").distinct()
     scored = checkpointed(perplexities(docs, trusted))
-    limits = scored.where("trusted AND perplexity IS NOT NULL").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("threshold"))
-    out = scored.join(F.broadcast(limits), "lang", "left")
+    limits = quantiles(scored.where("trusted AND perplexity IS NOT NULL").select("lang", F.col("perplexity").alias("value")), quantile)
+    out = scored.join(F.broadcast(limits), "lang", "left")  # a row for each language
     return out.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
 
 
@@ -232,8 +251,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rows that the classifier rejects go; rows that share an id, or have none, are judged by their own
-    language and text."""
-    rejected = classified(docs, table(spark, sf_dir, "labels")).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("text_hash").alias("_hash")).distinct()
-    hashed = docs.withColumn("_text_hash", F.unhex(F.substring(F.sha2(text_of(), 256), 1, 32)))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.coalesce(F.col("lang").cast("string"), F.lit("")) == F.col("_lang")) & (F.col("_text_hash") == F.col("_hash"))
-    return hashed.join(rejected, same, "left_anti").select(*docs.columns)
+    language and text.
+
+    Null and empty texts are kept, and so are repeated rows. An empty table stays empty; any other columns go along under
+    their own names.
+    """
+    language = lambda c: F.concat(F.hex(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("/"))
+    rejected = classified(docs, table(spark, sf_dir, "labels")).where("NOT kept")
+    key = fresh(docs, "row_key")
+    named = lambda hashed: row_key(F.concat(language("lang"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), hashed)
+    gone = rejected.select(named(F.col("text_hash")).alias(key)).distinct()
+    return docs.withColumn(key, named(text_hash())).join(gone, key, "left_anti").select(*(f"`{c}`" for c in docs.columns))
