@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formloom.llm.common import WORD, checkpointed, table, text_of
+from formloom.llm.common import WORD, checkpointed, fresh, table, text_of
 
 #: Sources in order take these weights in turn; no target is above CAP times its source's size.
 WEIGHTS, CAP = (1, 2, 3), 3
 SEED = "mix-1"
-#: Rows that share a range of random keys, about, and the bounds on the number of ranges of a source.
-ROWS_PER_RANGE, MIN_RANGES, MAX_RANGES = 500, 16, 8192
+#: Rows of all sources that share a range of random keys, about, and the least number of ranges of a source.
+ROWS_PER_RANGE, MIN_RANGES = 500, 16
 
 
 def word_count(text: Column) -> Column:
@@ -59,13 +59,19 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, s
     """
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     sizes = checkpointed(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text_of()).alias("size")).withColumn("key", key))
-    ranges = min(MAX_RANGES, max(MIN_RANGES, 1 << (sizes.count() // ROWS_PER_RANGE).bit_length()))
+    ranges = max(MIN_RANGES, 1 << (sizes.count() // ROWS_PER_RANGE).bit_length())
     targets = with_targets(ranked_sources(sizes), weights, cap).select("source", "source_size", "target")
-    # Hex digits are random, so equal ranges of their first four hold about equally many documents of any source.
-    spread = sizes.withColumn("range", F.shiftright(F.conv(F.substring("key", 1, 4), 16, 10).cast("int") * F.lit(ranges), 16))
+    # Hex digits are random, so equal ranges of their first eight hold about equally many documents of any source.
+    spread = sizes.withColumn("range", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(ranges), 32))
     sums = spread.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    ahead = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.withColumn("ahead", ahead).join(targets, sums.source.eqNullSafe(targets.source)).select(sums.source.alias("_source"), F.col("range").alias("_range"), "ahead", "source_size", "target")
+    # Prefix sums in two steps: within groups of ranges, and over the groups' sums, so no task sees all ranges of a source.
+    group = F.floor(F.col("range") / F.lit(1 << ((ranges.bit_length() - 1) // 2)))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    grouped = checkpointed(sums.withColumn("group", group))
+    of_groups = grouped.groupBy("source", "group").agg(F.sum("words").alias("of_group")).withColumn("ahead_group", before("of_group", Window.partitionBy("source").orderBy("group")))
+    led = of_groups.join(targets, of_groups.source.eqNullSafe(targets.source)).select(of_groups.source.alias("_source"), F.col("group").alias("_group"), "ahead_group", "source_size", "target")
+    inner = grouped.withColumn("ahead", before("words", Window.partitionBy("source", "group").orderBy("range")))
+    starts = inner.join(led, inner.source.eqNullSafe(F.col("_source")) & (F.col("group") == F.col("_group"))).select("_source", F.col("range").alias("_range"), (F.col("ahead") + F.col("ahead_group")).alias("ahead"), "source_size", "target")
     inside = Window.partitionBy("source", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = spread.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     budget = F.floor(F.col("target") + 0.5)
@@ -103,16 +109,21 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Pipeline stage: each document goes on as often as the mix takes it, whole.
 
     A document that the budget ends inside goes on whole if the mix takes at least half of its words, so a source
-    misses its target by half a document at most. Documents without words are taken with the epochs alone.
+    misses its target by half a document at most. Documents without words (null and empty texts) are taken with the epochs
+    alone. Rows that repeat id, source and size share what their group takes: the first ones, by text and then the other
+    columns as JSON, go on once more where it can't be shared evenly. An empty table stays empty; any other columns go
+    along under their own names.
     """
     mix = mixed(docs)
     part = F.col("taken") - F.col("epochs") * F.col("size")
-    times = mix.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), (F.col("epochs") + F.when((part > 0) & (2 * part >= F.col("size")), 1).otherwise(0)).cast("int").alias("_times"))
-    # Rows that repeat id, source and size share what their group takes.
-    times = times.groupBy("_id", "_source", "_size").agg(F.sum("_times").alias("_all"), F.count(F.lit(1)).alias("_rows"))
-    sized = docs.withColumn("_words", word_count(text_of()))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "_words").orderBy(F.lit(0)))
-    share = F.floor(F.col("_all") / F.col("_rows")) + F.when(F.col("_nth") <= F.col("_all") % F.col("_rows"), 1).otherwise(0)
-    rows = sized.join(times, same).withColumn("_nth", nth).withColumn("_share", share.cast("int")).where("_share > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_share"))).select(*docs.columns)
+    times = F.col("epochs") + F.when((part > 0) & (2 * part >= F.col("size")), 1).otherwise(0)
+    named = lambda source, size: F.unhex(F.md5(F.to_json(F.struct(F.col("doc_id").cast("string").alias("i"), source.cast("string").alias("s"), size.alias("n")))))
+    key, copies, rows, nth, share, copy = (fresh(docs, c) for c in ("mix_key", "mix_copies", "mix_rows", "mix_nth", "mix_share", "mix_copy"))
+    taken = mix.select(named(F.col("source"), F.col("size")).alias(key), times.cast("int").alias("times")).groupBy(key).agg(F.sum("times").alias(copies), F.count(F.lit(1)).alias(rows))
+    keyed = docs.withColumn(key, named(F.col("source"), word_count(text_of()))).join(taken, key)
+    rest = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != "text")))
+    # Only rows that stand beside others of the same id, source and size are numbered.
+    order = Window.partitionBy(key).orderBy(F.when(F.col(rows) > 1, text_of()), F.when(F.col(rows) > 1, rest))
+    even = F.floor(F.col(copies) / F.col(rows)) + F.when(F.col(nth) <= F.col(copies) % F.col(rows), 1).otherwise(0)
+    numbered = keyed.withColumn(nth, F.row_number().over(order)).withColumn(share, even.cast("int")).where(F.col(share) > 0)
+    return numbered.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(share)))).select(*(f"`{c}`" for c in docs.columns))
