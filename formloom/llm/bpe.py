@@ -1,6 +1,6 @@
 """Byte-pair encoding: counting tokens by heap merging, and byte-level encoding of globally distinct words.
 
-merge_symbols() is the only merging code; encode() and count_tokens() are Spark jobs around it.
+merge_all() merges by heap and linked list; encode() and count_tokens() are Spark jobs around it.
 """
 
 from __future__ import annotations
@@ -35,25 +35,24 @@ NO_RANK = 1 << 62
 PACK_LEVEL = 6
 
 
-def merge_symbols(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Merge adjacent pairs, lowest rank first and leftmost among equals, until none has a rank.
+def merge_all(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> int:
+    """Merge adjacent pairs in place, lowest rank first and leftmost among equals, until none has a rank; the number of
+    merges. A symbol that was merged into the one before it is left as -1.
 
     merges: pair of symbols -> (rank, merged symbol). A heap holds the pairs, a linked list the symbols that are left,
     so a text of n symbols takes O(n log n) steps however long it is.
     """
-    n = len(symbols)
-    if n < 2:
-        return symbols
+    n, done = len(symbols), 0
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(found[0], i, found[1], symbols[i], symbols[i + 1]) for i in range(n - 1) if (found := merges.get((symbols[i], symbols[i + 1])))]
     heapq.heapify(heap)
-    symbols = [*symbols, -1]
     while heap:
         _, i, new, left, right = heapq.heappop(heap)
         j = after[i]
         if symbols[i] != left or j >= n or symbols[j] != right:
             continue  # one of the two has been merged meanwhile
         symbols[i], symbols[j] = new, -1
+        done += 1
         k = after[i] = after[j]
         if k < n:
             before[k] = i
@@ -61,6 +60,13 @@ def merge_symbols(symbols: list[int], merges: dict[tuple[int, int], tuple[int, i
                 heapq.heappush(heap, (found[0], i, found[1], new, symbols[k]))
         if (h := before[i]) >= 0 and (found := merges.get((symbols[h], new))):
             heapq.heappush(heap, (found[0], h, found[1], symbols[h], new))
+    return done
+
+
+def merge_symbols(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """The symbols that merge_all() leaves."""
+    symbols = [*symbols]
+    merge_all(symbols, merges)
     return [x for x in symbols if x >= 0]
 
 
@@ -82,36 +88,37 @@ def merge_word(symbols: list[int], ranks: dict[tuple[int, int], int]) -> list[in
 
 
 class WordCounter(dict):
-    """word -> number of tokens: initial symbols less merges. No token identifier is looked up or emitted."""
+    """word -> number of tokens: initial symbols less merges. No token identifier is looked up or emitted; symbols have
+    numbers of their own, by which pairs are found."""
 
     def __init__(self, vocabulary: str):
         super().__init__()
         made = json.loads(vocabulary)
         model = made["model"]
         self.end = model["end_of_word_suffix"] or ""
-        self.ids: dict[str, int] = {}
+        self.names: dict[str, int] = {}
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[self._id(a), self._id(b)] = (rank, self._id(a + b))
+            self.merges[self._name(a), self._name(b)] = (rank, self._name(a + b))
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         hidden = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(shown))}
         self.byte = [chr(hidden.get(b, b)) for b in range(256)]
         split = made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.find = regex.compile(split.replace(r"[^\s", "[^" + SPACES)).findall
+        self.find = _finder(split.replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}"))
         special = [t["content"] for t in made["added_tokens"] if t["special"]]
         self.special = regex.compile("|".join(map(regex.escape, special)))
         self.marks = tuple(special)
 
-    def _id(self, symbol: str) -> int:
-        return self.ids.setdefault(symbol, len(self.ids))
+    def _name(self, symbol: str) -> int:
+        return self.names.setdefault(symbol, len(self.names))
 
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
         symbols = [self.byte[b] for b in word.encode()]
         symbols[-1] += self.end
-        self[word] = n = len(merge_symbols([self._id(s) for s in symbols], self.merges))
+        self[word] = n = len(symbols) - merge_all([self._name(s) for s in symbols], self.merges)
         return n
 
     def count(self, text: str) -> int:
@@ -123,7 +130,10 @@ class WordCounter(dict):
 
     def _plain(self, text: str) -> int:
         # Letter by letter, as the library does: no word-final form of sigma.
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        text = unicodedata.normalize("NFC", text)
+        if not text.isascii():
+            text = (text.translate(NEW_LOWER) if _is_new(text) else text).replace("Σ", "σ")
+        text = text.lower()
         return sum(map(self.__getitem__, self.find(text)))
 
 
@@ -196,19 +206,37 @@ def _cut(data: np.ndarray, lengths: np.ndarray) -> list[bytes]:
 #: The alternative for words in a pattern, and the letters of Latin-1.
 WORDS, LATIN = r"| ?\p{L}+|", "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 
+#: Fixed values, first and last code points: letters and numbers of Unicode 16 that Python's tables (15.1) don't have yet.
+NEW_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+#: First and last capital and the first small letter, where the library's tables have a pair that Python's don't.
+NEW_PAIRS = [
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+]
+NEW_LOWER = {a + i: low + i for a, b, low in NEW_PAIRS for i in range(b - a + 1)}
+
+
+def _inside(ranges: Iterable[tuple[int, int]]) -> str:
+    """First and last code points as the inside of a character class."""
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+#: Finds a character that needs one of the tables above.
+_is_new = re.compile(f"[{_inside([*NEW_LETTERS, *NEW_NUMBERS, *((a, b) for a, b, _ in NEW_PAIRS)])}]").search
+
 _finders: dict = {}
 
 
 def _ranges(codes: list[int]) -> str:
-    """Code points as the inside of a character class."""
-    out, i = [], 0
-    while i < len(codes):
-        j = i
-        while j + 1 < len(codes) and codes[j + 1] == codes[j] + 1:
-            j += 1
-        out.append(f"\\U{codes[i]:08x}-\\U{codes[j]:08x}")
-        i = j + 1
-    return "".join(out)
+    """Sorted code points as the inside of a character class."""
+    firsts = [c for i, c in enumerate(codes) if not i or codes[i - 1] != c - 1]
+    lasts = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
+    return _inside(zip(firsts, lasts))
 
 
 def _finder(pattern: str):
@@ -219,14 +247,24 @@ def _finder(pattern: str):
     end before a character of Latin-1, come first where only words with an apostrophe in front come before words.
     """
     if not (found := _finders.get(pattern)):
-        spaced = pattern.replace(r"(?!\S)", f"(?![^{SPACES}])")
         numbers = _ranges([c for c in range(0x110000) if unicodedata.category(chr(c)) in ("Nl", "No")])
-        plain = spaced.replace(r"[^\s\p{L}\p{N}]", f"(?:[^\\w{SPACES}]|_)").replace(r"\p{L}", rf"[^\W\d_{numbers}]").replace(r"\p{N}", rf"[\d{numbers}]").replace(r"\s", f"[{SPACES}]")
-        if all(x.startswith("'") for x in pattern.partition(WORDS)[0].split("|")) and WORDS in pattern:
-            plain = rf" ?[{LATIN}]++(?![^\x00-\xff])|{plain}"
-        found = re.compile(plain) if r"\p" not in plain else regex.compile(spaced.replace(r"[^\s", "[^" + SPACES).replace(r"\s", f"[{SPACES}]"))
-        _finders[pattern] = found
-    return found.findall
+        letter, number = rf"[^\W\d_{numbers}]", rf"[\d{numbers}]"
+        spaced = pattern.replace(r"(?!\S)", f"(?![^{SPACES}])")
+        sign = rf"[^\s\p{{L}}\p{{N}}]"
+
+        def written(letter: str, number: str, other: str) -> str:
+            return spaced.replace(sign, other).replace(r"\p{L}", letter).replace(r"\p{N}", number).replace(r"\s", f"[{SPACES}]")
+
+        plain = written(letter, number, f"(?:[^\\w{SPACES}]|_)")
+        if r"\p" in plain:
+            slow = fast = regex.compile(spaced.replace(r"[^\s", "[^" + SPACES).replace(r"\s", f"[{SPACES}]")).findall
+        else:
+            more = written(f"(?:{letter}|[{_inside(NEW_LETTERS)}])", f"(?:{number}|[{_inside(NEW_NUMBERS)}])", f"(?:[^\\w{SPACES}{_inside(NEW_LETTERS + NEW_NUMBERS)}]|_)")
+            if all(x.startswith("'") for x in pattern.partition(WORDS)[0].split("|")) and WORDS in pattern:
+                plain = rf" ?[{LATIN}]++(?![^\x00-\xff])|{plain}"
+            fast, slow = re.compile(plain).findall, re.compile(more).findall
+        found = _finders[pattern] = lambda text: (slow if not text.isascii() and _is_new(text) else fast)(text)
+    return found
 
 
 def _distinct(rows: pa.Table, find) -> list[bytes]:
