@@ -1,17 +1,20 @@
-"""Licence scans: a logistic regression over word n-grams names each paragraph's licence family; templates confirm it.
+"""Licence scans: a logistic regression over word n-grams names each passage's licence family; templates confirm it.
 
-The classifier is trained on the templates below and on ordinary sentences (the unknown class). Training and scoring use
-DataFrames and pyspark.ml; no Python runs on the executors.
+Every paragraph of every text is read, in its sentences and in windows of long ones; nothing is sorted out beforehand. The
+classifier is trained on the templates below, on notices built from names and phrases, and on ordinary sentences (the
+unknown class); its scores are calibrated on notices and sentences held out. Training and scoring use DataFrames and
+pyspark.ml; no Python runs on the executors.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import re
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,147 +22,183 @@ from pyspark.sql import functions as F
 from formloom.llm.common import table, text_of
 
 UNKNOWN = "unknown"
-#: Notices and sentences by which public licences are known.
+#: What public licences and their notices say.
 TEMPLATES: dict[str, list[str]] = {
     "apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-        "This project is released under the Apache License 2.0.",
-        "SPDX-License-Identifier: Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
     ],
     "mit": [
-        "Released under the MIT License.",
-        "This project is licensed under the terms of the MIT license.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-        "SPDX-License-Identifier: MIT",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.",
     ],
-    "gpl-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
+    "gpl": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-        "You should have received a copy of the GNU General Public License along with this program.",
-        "Licensed under the GPL version 3.",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ],
+    "lgpl": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation.",
     ],
     "bsd": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software.",
-        "Distributed under the BSD 3-Clause License.",
-        "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.",
     ],
     "mpl-2.0": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-        "Released under the Mozilla Public License, version 2.0.",
-        "SPDX-License-Identifier: MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "This Source Code Form is \"Incompatible With Secondary Licenses\", as defined by the Mozilla Public License, v. 2.0.",
+    ],
+    "cc-by": [
+        "This work is licensed under a Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/",
+        "You are free to share, copy and redistribute the material in any medium or format and to adapt, remix, transform, and build upon the material for any purpose, even commercially. You must give appropriate credit.",
     ],
-    "cc-by-nc-4.0": [
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-        "Released under CC BY-NC 4.0 for noncommercial use only.",
-        "SPDX-License-Identifier: CC-BY-NC-4.0",
+    "cc-by-sa": [
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0/",
+        "If you remix, transform, or build upon the material, you must distribute your contributions under the same license as the original.",
     ],
-    "cc-by-4.0": [
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-        "You are free to share and adapt the material under the Creative Commons Attribution license.",
-        "SPDX-License-Identifier: CC-BY-4.0",
+    "cc-by-nc": [
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-nc/4.0/",
+        "You may not use the material for commercial purposes under the terms of the Creative Commons NonCommercial license.",
     ],
-    "cc0-1.0": [
+    "public-domain": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, for any purpose and by any means.",
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
-        "Dedicated to the public domain under CC0 1.0 Universal.",
-        "This is free and unencumbered software released into the public domain.",
-        "SPDX-License-Identifier: CC0-1.0",
     ],
 }
+#: Names by which notices call the families.
+NAMES: dict[str, list[str]] = {
+    "apache-2.0": ["the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2.0 license", "Apache-2.0", "the Apache Software License", "version 2.0 of the Apache License"],
+    "mit": ["the MIT License", "the MIT license", "the MIT licence", "MIT", "the Expat License", "an MIT-style license", "the terms of the MIT license", "the X11 MIT License"],
+    "gpl": ["the GNU General Public License", "the GNU General Public License, version 3", "the GNU General Public License v2", "the GPL version 3", "the GPL", "GPLv3", "GPLv2", "GPL-3.0-or-later", "GPL-2.0-only", "the GNU GPL", "the GNU GPL v3"],
+    "lgpl": ["the GNU Lesser General Public License", "the GNU Lesser General Public License, version 2.1", "the LGPL", "LGPLv3", "LGPL-2.1-or-later", "the GNU LGPL"],
+    "bsd": ["the BSD License", "the 3-Clause BSD License", "the BSD 3-Clause License", "BSD-3-Clause", "the 2-clause BSD license", "the simplified BSD license", "the new BSD license", "BSD-2-Clause"],
+    "mpl-2.0": ["the Mozilla Public License", "the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0", "MPL-2.0", "the MPL 2.0", "the MPL"],
+    "cc-by": ["CC BY 4.0", "CC-BY-4.0", "a Creative Commons Attribution 4.0 International License", "the Creative Commons Attribution license", "CC BY 3.0", "Creative Commons Attribution 4.0"],
+    "cc-by-sa": ["CC BY-SA 4.0", "CC-BY-SA-4.0", "a Creative Commons Attribution-ShareAlike 4.0 License", "the Creative Commons Attribution-ShareAlike license", "CC BY-SA 3.0"],
+    "cc-by-nc": ["CC BY-NC 4.0", "CC-BY-NC-4.0", "a Creative Commons Attribution-NonCommercial 4.0 License", "the Creative Commons Attribution-NonCommercial license", "CC BY-NC 3.0"],
+    "public-domain": ["CC0", "CC0-1.0", "CC0 1.0 Universal", "the Unlicense", "the CC0 public domain dedication"],
+}
+#: Phrases that notices are built of, and those by which ordinary sentences speak of the same names.
+PHRASES = [
+    "Licensed under {}.", "Released under {}.", "Distributed under {}.", "This project is licensed under {}.", "This work is licensed under {}.", "The code is available under {}.", "This software is released under the terms of {}.",
+    "All files in this repository are covered by {}.", "Published under {}, see the file LICENSE.", "SPDX-License-Identifier: {}", "License: {}", "You may use this package under {}.", "Made available under {} by its authors.", "Dual licensed under {}.",
+    "Lizenziert unter {}.", "Veröffentlicht unter {}.", "Sous licence {}.", "Publié sous {}.", "Publicado bajo {}.", "Con licencia {}.",
+]
+ORDINARY_PHRASES = ["We compared {} with other choices in the meeting.", "The history of {} is told in chapter two.", "She wrote an essay about {} last year.", "Questions about {} came up in court."]
 #: Sentences of the unknown class: they share words with notices but grant nothing.
 ORDINARY = [
-    "The driver renewed the license of the car before the end of the year.",
-    "A fishing license is required at the lake from May to October.",
-    "The court heard a case about copyright and the price of a song.",
-    "All rights reserved by the hotel management for late arrivals.",
-    "She asked for permission to use the library after hours.",
-    "The general public was free to enter the work site in version of the plan.",
-    "He released the bird under the old bridge and the terms of the bet were met.",
-    "The foundation published a list of its contributors and their work.",
-    "The software team met the conditions and retained the source of the error.",
-    "The commons are open; creative people share the material there.",
-    "Free copies of the map are distributed at the station, with or without charge.",
-    "The warranty of the pump covers parts for two years from purchase.",
-    "Copyright law was changed by the parliament in the spring.",
-    "Her driving license was issued in version two of the form.",
-    "Public domain films are shown in the hall on Sundays.",
-    "The apache helicopter landed at the base under heavy rain.",
-    "Students at MIT released a study of the wind.",
-    "The weather in the north was cold and the roads were closed.",
-    "In this chapter the author describes the work of the mill.",
-    "Bread is made from flour, water, salt and time.",
-    "The modified plan was used in the second year of the program.",
-    "Licensed premises must close at midnight in this town.",
-    "The version of events that the witness gave was not the same.",
-    "Any person who received a letter should return it to the office.",
-]
-#: A paragraph without any of these can't be a notice: every template has one.
-KEYWORDS = r"(?i)licen[cs]e|copyright|permission|redistribut|public domain|creative commons|\bmpl\b"
-#: Least share of a paragraph's word pairs that a template of the family must have.
-CONFIRMED = 0.4
-#: Least share of a template's word pairs that a piece of a paragraph must have.
-CONTAINED = 0.6
-#: Words of the windows that longer sentences are read in; each begins half a window after the one before.
-WINDOWS = (16, 48)
-#: Largest share of held-out ordinary sentences that may pass for a notice.
-FALSE_ALARMS = 0.02
+    "The driver renewed the license of the car before the end of the year.", "A fishing license is required at the lake from May to October.", "The court heard a case about copyright and the price of a song.",
+    "All rights reserved by the hotel management for late arrivals.", "She asked for permission to use the library after hours.", "The general public was free to enter the work site in version of the plan.",
+    "He released the bird under the old bridge and the terms of the bet were met.", "The foundation published a list of its contributors and their work.", "The software team met the conditions and retained the source of the error.",
+    "The commons are open; creative people share the material there.", "Free copies of the map are distributed at the station, with or without charge.", "The warranty of the pump covers parts for two years from purchase.",
+    "Copyright law was changed by the parliament in the spring.", "Her driving license was issued in version two of the form.", "Public domain films are shown in the hall on Sundays.", "The apache helicopter landed at the base under heavy rain.",
+    "Students at MIT released a study of the wind.", "The weather in the north was cold and the roads were closed.", "In this chapter the author describes the work of the mill.", "Bread is made from flour, water, salt and time.",
+    "The modified plan was used in the second year of the program.", "Licensed premises must close at midnight in this town.", "The version of events that the witness gave was not the same.", "Any person who received a letter should return it to the office.",
+    "This is the file that you may use to see the other work.", "You should have received the parcel along with this letter.", "The following conditions are found at the coast in winter.", "To view a copy of the painting, visit the museum.",
+    "Der Vertrag wurde unter den Bedingungen des Gerichts geschlossen.", "Die Lizenz der Brauerei wurde im Mai erneuert.", "La licence du bar a été retirée par la ville.", "Le livre a été publié sous un autre nom.", "La licencia de pesca se renueva cada año.", "El libro fue publicado bajo otro nombre.",
+]
+#: Words of the windows that longer sentences are cut into; each begins half a window after the one before.
+WINDOW = 32
+#: Share of the smaller one's word pairs, of passage and template, that both must have to confirm a prediction.
+CONFIRMED = 0.5
+#: A calibrated score from which a passage is believed to be a notice.
+BELIEVED = 0.5
 
 
 def _words(text: str) -> list[str]:
     return [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
 
 
+def _filled(phrases: list[str], family: str) -> list[str]:
+    return [p.format(n) for p in phrases for n in NAMES[family]]
+
+
+def _templates(family: str) -> list[str]:
+    """What confirms a family: its templates' sentences and its names with the shortest phrase."""
+    sentences = [s for t in TEMPLATES[family] for s in re.split(r"(?<=[.!?])\s+", t)]
+    return [s for s in [*sentences, *TEMPLATES[family], *_filled(PHRASES[:3], family)] if len(_words(s)) >= 3]
+
+
 def training_rows() -> list[tuple[str, str, bool]]:
-    """(text, family, held out): templates whole, without their ends, and inside other words; ordinary sentences cut too."""
-    rows = []
-    for family, texts in [*TEMPLATES.items(), (UNKNOWN, ORDINARY)]:
-        for n, text in enumerate(texts):
+    """(text, family, held out): sentences and halves of templates, notices built of phrases and names, ordinary sentences,
+    and words of notices backwards, which are unknown. A quarter of the phrases and ordinary sentences is held out."""
+    rows: set[tuple[str, str, bool]] = set()
+    for family in TEMPLATES:
+        for n, text in enumerate(_templates(family)):
             words = text.split()
-            forms = {text, text.upper(), " ".join(words[: max(4, len(words) * 3 // 4)]), " ".join(words[len(words) // 4 :]) if len(words) > 8 else text}
-            if family == UNKNOWN:
-                forms |= {" ".join(words[: len(words) // 2]), " ".join(reversed(words))}
-            rows += [(form, family, family == UNKNOWN and n % 4 == 0) for form in sorted(forms)]
-    return rows
+            rows |= {(text, family, False), (" ".join(words[: len(words) * 2 // 3]), family, False), (" ".join(words[len(words) // 3 :]), family, False)} if len(words) > 8 else {(text, family, False)}
+            rows.add((" ".join(reversed(words)), UNKNOWN, n % 4 == 3))
+        for n, phrase in enumerate(PHRASES):
+            rows |= {(phrase.format(name), family, n % 4 == 3) for name in NAMES[family]}
+        for n, phrase in enumerate(ORDINARY_PHRASES):
+            rows |= {(phrase.format(name), UNKNOWN, n == 3) for name in NAMES[family]}
+    for n, text in enumerate(ORDINARY):
+        words = text.split()
+        rows |= {(form, UNKNOWN, n % 4 == 3) for form in (text, " ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2 :]))}
+    return sorted(rows)
 
 
 class LicenceModel:
-    """Trained stages, family names by label, and the probability from which a family is believed."""
+    """Trained stages, family names by label, and the calibration of the margin between notice and unknown."""
+
+    def __init__(self, stages: PipelineModel, families: list[str], slope: float, shift: float):
+        self.stages, self.families, self.slope, self.shift = stages, families, slope, shift
+
+    def scores(self, passages: DataFrame, text: str, least: float = 0.0) -> DataFrame:
+        """passages with `family` (the likeliest one but unknown) and `score`, the calibrated probability that the passage
+        is a notice, where that is `least` or more. Working columns begin with ml_; passages must not have them."""
+        scored = self.stages.transform(passages.withColumn("ml_grams", _grams(F.col(text))))
+        # The bound stands as a probability before calibration: what is filtered by refers to the classifier once.
+        found = scored.where(F.get(vector_to_array("ml_probability"), F.lit(0)) <= self._most_unknown(least)).withColumn("ml_p", vector_to_array("ml_probability"))
+        known = F.slice("ml_p", 2, len(self.families))
+        family = F.element_at(F.array(*(F.lit(f) for f in self.families[1:])), F.array_position(known, F.array_max(known)).cast("int"))
+        score = 1 / (1 + F.exp(-(self.slope * _margin(F.get("ml_p", F.lit(0))) + self.shift)))
+        return found.withColumn("family", family).withColumn("score", score).drop("ml_grams", "ml_counts", "ml_raw", "ml_probability", "ml_label", "ml_p")
 
-    def __init__(self, stages: PipelineModel, families: list[str], threshold: float):
-        self.stages, self.families, self.threshold = stages, families, threshold
+    def _most_unknown(self, score: float) -> float:
+        """The probability of the unknown class at which the calibrated score is `score`."""
+        if not 0 < score < 1 or self.slope <= 0:
+            return 1.0
+        return 1 / (1 + math.exp((math.log(score / (1 - score)) - self.shift) / self.slope))
 
-    def scores(self, paragraphs: DataFrame, text: str) -> DataFrame:
-        """paragraphs with array<double> `scores`, one for each family."""
-        scored = self.stages.transform(paragraphs.withColumn("_text", F.col(text)))
-        return scored.withColumn("scores", vector_to_array("_scores")).drop("_text", "_words", "_pairs", "_word_counts", "_pair_counts", "_features", "_scores", "_raw", "_label")
+
+def _margin(unknown: Column) -> Column:
+    """Log odds of being a notice."""
+    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), unknown))
+    return F.log((1 - p) / p)
+
+
+def _bigrams(words: Column) -> Column:
+    return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _grams(text: Column) -> Column:
+    """The words of a text (letters and digits of ASCII, lower case) and its pairs of neighbours."""
+    words = F.split(F.lower(text), "[^a-z0-9]++")
+    return F.get(F.transform(F.array(words), lambda w: F.concat(w, _bigrams(w))), F.lit(0))
 
 
 def train(spark: SparkSession) -> LicenceModel:
-    """Fits on the templates (a few hundred rows, the only rows it sees) and sets the threshold on held-out sentences."""
+    """Fits on the rows that aren't held out and calibrates on those that are: some 2100 rows, the only ones it
+    sees. A Platt scaling takes the log odds of being a notice to the probability that the family is right."""
     families = [UNKNOWN, *TEMPLATES]
-    values = [F.struct(F.lit(t).alias("_text"), F.lit(float(families.index(f))).alias("label"), F.lit(h).alias("held"), F.lit(3.0 if f == UNKNOWN else 1.0).alias("weight")) for t, f, h in training_rows()]
-    rows = spark.range(1, numPartitions=1).select(F.inline(F.array(*values)))
+    values = [(t, float(families.index(f)), f, h, 3.0 if f == UNKNOWN else 1.0) for t, f, h in training_rows()]
+    rows = spark.createDataFrame(values, "piece string, label double, truth string, held boolean, weight double").coalesce(1).withColumn("ml_grams", _grams(F.col("piece")))
     stages = Pipeline(stages=[
-        RegexTokenizer(inputCol="_text", outputCol="_words", pattern="[^a-z0-9]+"),
-        NGram(n=2, inputCol="_words", outputCol="_pairs"),
-        CountVectorizer(inputCol="_words", outputCol="_word_counts", binary=True),
-        CountVectorizer(inputCol="_pairs", outputCol="_pair_counts", binary=True),
-        VectorAssembler(inputCols=["_word_counts", "_pair_counts"], outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol="label", weightCol="weight", family="multinomial", regParam=0.01, probabilityCol="_scores", rawPredictionCol="_raw", predictionCol="_label", maxIter=60),
+        CountVectorizer(inputCol="ml_grams", outputCol="ml_counts", binary=True),
+        LogisticRegression(featuresCol="ml_counts", labelCol="label", weightCol="weight", family="multinomial", regParam=0.001, probabilityCol="ml_probability", rawPredictionCol="ml_raw", predictionCol="ml_label", maxIter=80),
     ]).fit(rows.where("NOT held"))
-    model = LicenceModel(stages, families, 0.5)
-    best = F.array_max(F.slice("scores", 2, len(families)))
-    limit = model.scores(rows.where("held"), "_text").agg(F.percentile(best, 1 - FALSE_ALARMS)).first()[0]
-    model.threshold = min(0.9, max(0.5, limit))
-    return model
+    raw = LicenceModel(stages, families, 1.0, 0.0)
+    held = raw.scores(rows.where("held").select("piece", "truth"), "piece").select((F.col("truth") == F.col("family")).cast("double").alias("right"), F.log(F.col("score") / (1 - F.col("score"))).alias("margin"))
+    platt = LogisticRegression(featuresCol="x", labelCol="right", regParam=0.001, maxIter=50).fit(VectorAssembler(inputCols=["margin"], outputCol="x").transform(held))
+    return LicenceModel(stages, families, float(platt.coefficients[0]), float(platt.intercept))
 
 
 @functools.lru_cache(maxsize=4)
@@ -167,66 +206,51 @@ def _trained(app: str) -> LicenceModel:
     return train(SparkSession.getActiveSession())
 
 
-def _pairs(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
-    bound = F.transform(F.array(words), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i))))
-    return F.array_distinct(F.get(bound, F.lit(0)))
-
-
-def _pieces(line: Column) -> Column:
-    """array<struct<whole, piece>>: the line, its sentences, and windows of sentences that are longer than a window."""
-    sentences = F.filter(F.split(line, r"(?<=[.;!?])\s+"), lambda x: x != "")
-
-    def windows(sentence: Column, size: int) -> Column:
-        def cut(w: Column) -> Column:
-            starts = F.sequence(F.lit(1), F.greatest(F.size(w) - size // 2, F.lit(1)), F.lit(size // 2))
-            return F.when(F.size(w) > size, F.transform(starts, lambda i: F.array_join(F.slice(w, i, size), " "))).otherwise(F.array().cast("array<string>"))
+def _passages(paragraph: Column) -> Column:
+    """Sentences of a paragraph, wherever its lines break; those of more than WINDOW words as windows that overlap by half."""
 
-        return F.get(F.transform(F.array(F.split(sentence, r"\s+")), cut), F.lit(0))
+    def cut(sentence: Column) -> Column:
+        words = F.split(sentence, r"\s+")
+        starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - WINDOW // 2, F.lit(1)), F.lit(WINDOW // 2))
+        windows = F.transform(F.array(words), lambda w: F.transform(starts(w), lambda i: F.array_join(F.slice(w, i, WINDOW), " ")))
+        return F.when(F.regexp_count(sentence, F.lit(r"\s+")) < WINDOW, F.array(sentence)).otherwise(F.get(windows, F.lit(0)))
 
-    parts = F.flatten(F.transform(sentences, lambda x: F.concat(F.array(x), *(windows(x, n) for n in WINDOWS))))
-    hits = F.filter(F.array_distinct(parts), lambda x: x.rlike(KEYWORDS) & (x != line))
-    marked = lambda whole: lambda x: F.struct(F.lit(whole).alias("whole"), x.alias("piece"))
-    return F.concat(F.transform(F.array(line), marked(True)), F.transform(hits, marked(False)))
+    return F.flatten(F.transform(F.split(paragraph, r"(?<=[.;!?])\s+"), cut))
 
 
 def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
-    """(doc_id, paragraph, family, score, overlap, contained, confirmed): a row for each paragraph and family that the model
-    gives it or a piece of it.
-
-    Paragraphs are the lines of a text, numbered from 0; pieces are their sentences and windows of long ones, so that a
-    notice is found whatever stands beside it. The unknown class takes pieces whose best family scores below the model's
-    threshold. overlap is the share of the paragraph's word pairs that the family's templates have (0 where only a piece has
-    the family), contained the largest share of a template's word pairs that the paragraph's pieces have; from CONFIRMED or
-    CONTAINED the prediction is confirmed. score is the best one of the pieces. Null and empty texts have no paragraphs;
-    repeated rows repeat their results.
+    """(doc_id, paragraph, family, score, overlap, confirmed): a row for each paragraph and family that the model finds in
+    one of its passages.
+
+    Paragraphs are what blank lines part, numbered from 0; passages are their sentences, and windows of long ones, so that
+    a notice is found whatever stands beside it and however its lines break. Every passage is scored; where the calibrated
+    score is below BELIEVED it belongs to the unknown class and has no row. overlap is the largest share of word pairs that
+    a passage and a template of the family have in common, of the smaller one's; from CONFIRMED the prediction is
+    confirmed. Null and empty texts have no notices; repeated rows repeat their results; an empty table gives an empty
+    result. Only doc_id and text are read, so other columns can't clash.
     """
-    rows = docs.select("doc_id", text_of().alias("text")).where(F.col("text").rlike(KEYWORDS)).withColumn("row", F.monotonically_increasing_id())
-    lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(F.col("line").rlike(KEYWORDS))
-    scored = model.scores(lines.select("row", "doc_id", "paragraph", F.inline(_pieces(F.col("line")))), "piece")
-    known = F.slice("scores", 2, len(model.families))
-    best = F.array_max(known)
-    family = F.element_at(F.array(*(F.lit(f) for f in model.families[1:])), F.array_position(known, best).cast("int"))
-    found = scored.withColumn("score", best).withColumn("family", family).where((F.col("score") >= model.threshold) & (F.get("scores", F.lit(0)) < F.col("score")))
-    pairs = {f: [sorted({f"{a} {b}" for a, b in zip(_words(t), _words(t)[1:])}) for t in ts] for f, ts in TEMPLATES.items()}
+    rows = docs.select("doc_id", text_of().alias("text")).withColumn("row", F.monotonically_increasing_id())
+    paragraphs = rows.select("row", "doc_id", F.posexplode(F.split("text", r"\n[^\S\n]*\n")).alias("paragraph", "body"))
+    found = model.scores(paragraphs.select("row", "doc_id", "paragraph", F.explode(_passages(F.col("body"))).alias("piece")), "piece", BELIEVED)
+    pairs = {f: sorted({tuple(sorted({f"{a} {b}" for a, b in zip(_words(t), _words(t)[1:])})) for t in _templates(f)}) for f in TEMPLATES}
     templates = F.element_at(F.create_map(*(x for f, ts in pairs.items() for x in (F.lit(f), F.array(*(F.array(*(F.lit(p) for p in ps)) for ps in ts))))), F.col("family"))
-    found = found.withColumn("pairs", _pairs(F.col("piece"))).withColumn("templates", templates)
-    overlap = F.size(F.array_intersect("pairs", F.flatten("templates"))) / F.greatest(F.size("pairs"), F.lit(1))
-    contained = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(F.col("pairs"), t)) / F.size(t)))
-    # Pairs scattered over a long line are no notice: beyond the largest window, containment is that of the windows.
-    near = F.size(F.split("piece", r"\s+")) <= max(WINDOWS)
-    held = found.select("row", "doc_id", "paragraph", "family", "score", F.when(F.col("whole"), overlap).otherwise(0.0).alias("overlap"), F.when(near, contained).otherwise(0.0).alias("contained"))
-    each = held.groupBy("row", "doc_id", "paragraph", "family").agg(*(F.max(c).alias(c) for c in ("score", "overlap", "contained")))
-    return each.select("doc_id", "paragraph", "family", "score", "overlap", "contained", ((F.col("overlap") >= CONFIRMED) | (F.col("contained") >= CONTAINED)).alias("confirmed"))
+    own = F.array_distinct(_bigrams(F.regexp_extract_all(F.lower("piece"), F.lit("[a-z0-9]+"), F.lit(0))))
+    found = found.withColumn("pairs", own).withColumn("templates", templates)
+    overlap = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(F.col("pairs"), t)) / F.greatest(F.least(F.size(t), F.size("pairs")), F.lit(2))))
+    each = found.select("row", "doc_id", "paragraph", "family", "score", overlap.alias("overlap")).groupBy("row", "doc_id", "paragraph", "family").agg(F.max("score").alias("score"), F.max("overlap").alias("overlap"))
+    return each.select("doc_id", "paragraph", "family", "score", "overlap", (F.col("overlap") >= CONFIRMED).alias("confirmed"))
 
 
 def licences(docs: DataFrame, model: LicenceModel) -> DataFrame:
-    """One row per doc_id: n_notices (confirmed paragraphs, once for each family), families (distinct confirmed ones, sorted, joined by commas; empty if none)."""
-    found = scan(docs, model).where("confirmed")
-    by_doc = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("f"))
-    ids = docs.select("doc_id").distinct()
-    other = by_doc.withColumnRenamed("doc_id", "_id")
-    return ids.join(other, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("f", F.lit("")).alias("families"))
+    """One row per doc_id: n_notices (confirmed paragraphs, once for each family), families (distinct confirmed ones,
+    sorted, joined by commas; empty if none), n_unconfirmed. Null ids are one id; an empty table gives an empty result;
+    other columns aren't read."""
+    by_doc = scan(docs, model).groupBy("doc_id").agg(
+        F.count(F.when(F.col("confirmed"), 1)).alias("n"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("f"), F.count(F.when(~F.col("confirmed"), 1)).alias("u")
+    )
+    other = by_doc.withColumnRenamed("doc_id", "found_id")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return docs.select("doc_id").distinct().join(other, F.col("doc_id").eqNullSafe(F.col("found_id")), "left").select("doc_id", zero("n").alias("n_notices"), F.coalesce("f", F.lit("")).alias("families"), zero("u").alias("n_unconfirmed"))
 
 
 def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
