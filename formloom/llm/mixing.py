@@ -58,7 +58,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, s
     empty texts and repeated rows are rows like any other; empty input gives no rows. Reruns agree.
     """
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sizes = checkpointed(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text_of()).alias("size")).withColumn("key", key))
+    sizes = checkpointed(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text_of()).alias("size")).withColumn("key", key), 50_000)
     ranges = max(MIN_RANGES, 1 << (sizes.count() // ROWS_PER_RANGE).bit_length())
     targets = with_targets(ranked_sources(sizes), weights, cap).select("source", "source_size", "target")
     # Hex digits are random, so equal ranges of their first eight hold about equally many documents of any source.

@@ -13,11 +13,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm.common import block_count, checkpointed, from_payloads, mix, packed_blocks, row_key, staying_rows, table, text_hash, text_of, texts_as_bytes, to_payload
+from formloom.llm.common import block_count, checkpointed, from_payloads, mix, packed_blocks, release, releasing, row_key, staying_rows, table, text_hash, text_of, texts_as_bytes, to_payload
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of rows: a pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
@@ -29,6 +30,10 @@ SLOTS = 320
 DEVIATIONS = 3.5
 #: Partners of a text that one verifying task holds against it.
 PARTNERS = 64
+#: Bytes of text whose signatures are made at once.
+SIGNED_BYTES = 1 << 20
+#: Rows of ids or of signatures that a task reads from a checkpoint, about.
+ID_ROWS, REP_ROWS = 50_000, 10_000
 #: Members of a band that one comparing task takes from either side.
 PIECE = 512
 
@@ -97,7 +102,10 @@ def bag_signatures(texts: list[bytes], slots: int = SLOTS) -> np.ndarray:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in (whole.slice(i, 2000) for i in range(0, whole.num_rows, 2000)):
+        ends = np.cumsum(pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        piece = ends // SIGNED_BYTES
+        cuts = [*np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]][: len(piece)]).tolist(), whole.num_rows]
+        for batch in (whole.slice(a, b - a) for a, b in zip(cuts, cuts[1:])):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             sig = bag_signatures(texts)
             bands = np.empty((len(texts), BANDS), np.uint64)
@@ -112,6 +120,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch.column(0), batch.column(2), pa.array([s.tobytes() for s in short], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(bands.reshape(-1).view(np.int64)))],
                 ["doc_id", "text_hash", "signature", "bands"],
             )
+    release()
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -161,7 +170,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     The partners of a text are dealt to groups of at most PARTNERS, so a text with a third of all as partners is worked
     on by many tasks.
     """
-    dealt = checkpointed(_dealt(pairs))
+    dealt = checkpointed(_dealt(pairs), ID_ROWS)
     side_b = dealt.join(texts, dealt.b == texts.doc_id).select("a", "salt", "b", "text")
     heads = dealt.select("a", "salt").distinct()
     side_a = heads.join(texts, heads.a == texts.doc_id).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
@@ -177,7 +186,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         good = [b for i, b in enumerate(others) if i != head and _overlap(name[of[head]], weight[of[head]], name[of[i]], weight[of[i]]) >= SIMILARITY]
         return pa.table({"a": pa.array([key[0].as_py()] * len(good), pa.int64()), "b": pa.array(good, pa.int64())})
 
-    return side_b.unionByName(side_a).groupBy("a", "salt").applyInArrow(compare, "a long, b long")
+    return side_b.unionByName(side_a).groupBy("a", "salt").applyInArrow(releasing(compare), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -186,7 +195,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round every id hooks on to its smallest neighbour and links are renamed; what is left are links between
     different classes. The number of rounds grows with the logarithm of the longest chain; nothing is collected.
     """
-    edges = checkpointed(links.select("a", "b").where("a <> b").distinct())
+    edges = checkpointed(links.select("a", "b").where("a <> b").distinct(), ID_ROWS)
     labels = None
     while edges.head(1):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -198,7 +207,7 @@ def components(links: DataFrame) -> DataFrame:
         labels = checkpointed(labels)
         to_b = hook.select(F.col("a").alias("b"), F.col("to").alias("to_b"))
         edges = edges.join(hook, "a").join(to_b, "b").where("to <> to_b").select(F.least("to", "to_b").alias("a"), F.greatest("to", "to_b").alias("b")).distinct()
-        edges = checkpointed(edges)
+        edges = checkpointed(edges, ID_ROWS)
     if labels is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("class_id"))
     return labels
@@ -234,26 +243,30 @@ def text_classes(docs: DataFrame, deviations: float | None = DEVIATIONS) -> Data
     hashed = rows.withColumn("text_hash", text_hash())
     features = hashed.select("doc_id", "text", "text_hash").mapInArrow(_features, "doc_id long, text_hash binary, signature binary, bands array<long>")
     entries = features.groupBy("text_hash").agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
-    reps = checkpointed(entries.withColumn("rep", F.monotonically_increasing_id()))  # fixed by the checkpoint
+    reps = checkpointed(entries.withColumn("rep", F.monotonically_increasing_id()), REP_ROWS)  # fixed by the checkpoint
 
     members = reps.select(F.explode("bands").alias("band"), "rep")
     counts = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = checkpointed(members.join(counts, "band"))
+    shared = checkpointed(members.join(counts, "band"), ID_ROWS)
     # The text that meets most others, over all its bands, is the likeliest to be near to those it shares a band with.
     central = shared.groupBy("rep").agg(F.sum("n").alias("met"))
     ranked = shared.join(central, "rep").select("band", F.struct("met", F.bitwise_not("rep").alias("back"), "rep").alias("rank"))
     hubs = ranked.groupBy("band").agg(F.max("rank")["rep"].alias("hub"))
     stars = shared.select("band", "rep").join(hubs, "band").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    likely = checkpointed(_estimated(stars, reps, least).select("a", "b"))
+    likely = checkpointed(_estimated(stars, reps, least).select("a", "b"), ID_ROWS)
     # Texts that may have to be verified: all that share a band and whose band-mates are not ruled out by the estimate.
     texts = checkpointed(_texts_of(hashed, reps.join(shared.select("rep").distinct(), "rep").select("rep", "first_id", "text_hash")))
 
-    links = checkpointed(verified(likely, texts))
-    classes = components(links)
-    left = checkpointed(_pairs_in_bands(shared, classes, reps, least).join(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    classes = components(verified(likely, texts))
+    left = checkpointed(_pairs_in_bands(shared, classes, reps, least).join(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), ID_ROWS)
     if left.head(1):
-        links = links.unionByName(checkpointed(verified(left, texts)))
-        classes = components(links)
+        # Links between classes join them: components of the classes, and what a text's class then belongs to.
+        named = lambda c: classes.select(F.col("id").alias(c), F.col("class_id").alias(f"of_{c}"))
+        between = verified(left, texts).join(named("a"), "a", "left").join(named("b"), "b", "left")
+        joined = components(between.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+        outer = joined.select(F.col("id").alias("of"), F.col("class_id").alias("whole"))
+        every = classes.unionByName(joined.join(classes, "id", "left_anti").select("id", F.col("id").alias("class_id")))
+        classes = checkpointed(every.join(outer, every.class_id == outer["of"], "left").select("id", F.coalesce("whole", "class_id").alias("class_id")))
 
     first = F.struct(F.col("first_id").alias("class_id"), F.col("text_hash").alias("class_hash"))
     linked = reps.join(classes, F.col("rep") == F.col("id")).select("id", F.col("class_id").alias("class"), first.alias("first"))
@@ -294,7 +307,7 @@ def _texts_of(hashed: DataFrame, wanted: DataFrame) -> DataFrame:
                     out.append(to_payload(pa.table({"text": pa.array([t], pa.binary())})))
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(out, pa.binary())})
 
-    return packed.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(pick, "doc_id long, text binary")
+    return packed.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(releasing(pick), "doc_id long, text binary")
 
 
 def _pairs_in_bands(shared: DataFrame, classes: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -338,7 +351,7 @@ def _pairs_in_bands(shared: DataFrame, classes: DataFrame, reps: DataFrame, leas
             b.append(np.maximum(rep[near], rep[i]))
         return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
 
-    return with_sig.groupBy("band", "left", "right").applyInArrow(compare, "a long, b long")
+    return with_sig.groupBy("band", "left", "right").applyInArrow(releasing(compare), "a long, b long")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,7 +118,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text_of().alias("text"))
     blocks = block_count(rows)
-    shards = max(4, math.ceil(blocks / 2))
+    shards = max(16, math.ceil(blocks / 2))
     texts = packed_blocks(rows, blocks, level=6).groupBy("block")
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
 
@@ -238,7 +238,7 @@ def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -
     so what is counted grows with the corpus. Other columns aren't read; an empty table gives an empty result.
     """
     trusted = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id").distinct()
-    scored = checkpointed(perplexities(docs, trusted))
+    scored = checkpointed(perplexities(docs, trusted), 50_000)
     limits = quantiles(scored.where("trusted AND perplexity IS NOT NULL").select("lang", F.col("perplexity").alias("value")), quantile)
     out = scored.join(F.broadcast(limits), "lang", "left")  # a row for each language
     return out.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
