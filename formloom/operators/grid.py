@@ -35,7 +35,8 @@ def sections(rows: DataFrame, by: list[str], order: list[Column], start: Column)
 
 
 def best_box(points: DataFrame, centres: DataFrame, key: str, reach: int) -> DataFrame:
-    """(key, cell, ambiguous): the nearest centre within reach of a point on both axes, the smaller key among equals.
+    """(key, cell, ambiguous): the nearest centre within reach of a point on both axes, the smaller key among equals; never
+    the point itself.
 
     The plane is cut into buckets of side `reach`; a centre stands in its bucket and its eight neighbours, so a point
     meets only those near it, once each.
@@ -44,6 +45,6 @@ def best_box(points: DataFrame, centres: DataFrame, key: str, reach: int) -> Dat
     around = F.explode(F.array(*(F.struct((bucket("x") + i).alias("bx"), (bucket("y") + j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     near = centres.select(F.col(key).alias("cell"), F.col("x").alias("cx"), F.col("y").alias("cy"), around.alias("b")).select("cell", "cx", "cy", "b.bx", "b.by")
     met = points.withColumn("bx", bucket("x")).withColumn("by", bucket("y")).join(near, ["bx", "by"])
-    inside = met.where((F.abs(F.col("x") - F.col("cx")) <= reach) & (F.abs(F.col("y") - F.col("cy")) <= reach))
+    inside = met.where((F.col("cell") != F.col(key)) & (F.abs(F.col("x") - F.col("cx")) <= reach) & (F.abs(F.col("y") - F.col("cy")) <= reach))
     far = (F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2
     return inside.groupBy(key).agg(F.min_by("cell", F.struct(far, "cell")).alias("cell"), (F.count(F.lit(1)) > 1).alias("ambiguous"))

@@ -6,11 +6,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[Column], bucket: Column, name: str) -> DataFrame:
+    """rows with their number, from 1, in the order of their group.
+
+    bucket: a whole number that never falls along the order. Rows are numbered inside their bucket, and the rows of the
+    buckets before are added from counts, so a large group is many tasks and only its counts meet in one.
+    """
+    b, n, ahead = (fresh(rows, c) for c in ("bucket", "bucket_rows", "rows_ahead"))
+    placed = rows.withColumn(b, bucket)
+    counts = placed.groupBy(*by, b).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn(ahead, F.coalesce(F.sum(n).over(before), F.lit(0))).drop(n)
+    inside = placed.withColumn(name, F.row_number().over(Window.partitionBy(*by, b).orderBy(*order)))
+    keys = [*by, b]
+    side = starts.select(*(F.col(k).alias(f"{k}__of") for k in keys), ahead)
+    same = [inside[k].eqNullSafe(side[f"{k}__of"]) for k in keys]
+    return inside.join(side, same).withColumn(name, F.col(name) + F.col(ahead)).select(*rows.columns, name)
+
+
 def latest_wins(base: DataFrame, changes: DataFrame, keys: list[str], version: str) -> DataFrame:
     """base with changes put in by key: of rows with one key the largest version stays."""
-    rows = base.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
-    top = Window.partitionBy(*keys).orderBy(F.col(version).desc(), F.col("_new").desc())
-    return rows.withColumn("_n", F.row_number().over(top)).where("_n = 1").drop("_n", "_new")
+    new, n = fresh(base, "is_new"), fresh(base, "nth")
+    rows = base.withColumn(new, F.lit(0)).unionByName(changes.withColumn(new, F.lit(1)))
+    top = Window.partitionBy(*keys).orderBy(F.col(version).desc(), F.col(new).desc())
+    return rows.withColumn(n, F.row_number().over(top)).where(F.col(n) == 1).drop(n, new)
 
 
 def insert_ignore(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,9 +57,10 @@ def work_list(items: DataFrame, done: DataFrame, key: str, shard: int, shards: i
 
 def promoted(base: DataFrame, staged: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """base with the columns of staged where it has the key; a staged null overwrites."""
-    side = staged.select(key, *(F.col(c).alias(f"_{c}") for c in columns)).withColumn("_there", F.lit(True))
+    new, there = {c: fresh(base, f"new_{c}") for c in columns}, fresh(base, "is_staged")
+    side = staged.select(key, *(F.col(c).alias(new[c]) for c in columns)).withColumn(there, F.lit(True))
     joined = base.join(side, key, "left")
-    return joined.select(*(F.when(F.col("_there"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in base.columns))
+    return joined.select(*(F.when(F.col(there), F.col(new[c])).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in base.columns))
 
 
 def as_of(rows: DataFrame, by: list[str], order: list[Column], mark: Column, value: Column, name: str) -> DataFrame:
@@ -51,15 +79,17 @@ def islands(rows: DataFrame, by: list[str], position: str) -> DataFrame:
     """(by, first, last, n): runs of consecutive whole-number positions; repeated positions count once."""
     once = rows.select(*by, position).distinct()
     run = F.col(position) - F.row_number().over(Window.partitionBy(*by).orderBy(position))
-    return once.withColumn("_run", run).groupBy(*by, "_run").agg(F.min(position).alias("first"), F.max(position).alias("last"), F.count(F.lit(1)).alias("n")).drop("_run")
+    name = fresh(once, "run")
+    return once.withColumn(name, run).groupBy(*by, name).agg(F.min(position).alias("first"), F.max(position).alias("last"), F.count(F.lit(1)).alias("n")).drop(name)
 
 
 def runs(rows: DataFrame, by: list[str], order: list[Column], value: str) -> DataFrame:
     """(by, value, n): lengths of the runs of equal values in the order of each group."""
     w = Window.partitionBy(*by).orderBy(*order)
     changed = F.when(F.col(value).eqNullSafe(F.lag(value).over(w)), 0).otherwise(1)
-    marked = rows.withColumn("_new", changed).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*by, "_run", value).agg(F.count(F.lit(1)).alias("n"))
+    new, run = fresh(rows, "is_new"), fresh(rows, "run")
+    marked = rows.withColumn(new, changed).withColumn(run, F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(*by, run, value).agg(F.count(F.lit(1)).alias("n")).select(*by, value, "n")
 
 
 def overlapping(rows: DataFrame, by: list[str], order: list[Column], start: str, end: str) -> DataFrame:
@@ -78,11 +108,11 @@ def first_of_pair(rows: DataFrame, by: list[str], order: list[Column]) -> DataFr
     return top_rows(rows, by, order, 1).drop("place")
 
 
-def set_overlap(items: DataFrame, item: str, token: str, query: list[str], least: float) -> DataFrame:
-    """(item, common, jaccard) of items whose distinct tokens overlap the query's enough."""
+def set_overlap(items: DataFrame, item: str, tokens: Column, query: list[str], least: float) -> DataFrame:
+    """(item, common, jaccard) of items whose distinct tokens (an array) overlap the query's enough; no shuffle."""
     wanted = sorted(set(query))
-    once = items.select(item, token).distinct()
-    by_item = once.groupBy(item).agg(F.count(F.lit(1)).alias("tokens"), F.count(F.when(F.col(token).isin(wanted), 1)).alias("common")).where("common > 0")
+    sets = items.select(item, F.array_distinct(tokens).alias("tokens"))
+    by_item = sets.select(item, F.size("tokens").alias("tokens"), F.size(F.array_intersect("tokens", F.array(*(F.lit(w) for w in wanted)))).cast("long").alias("common")).where("common > 0")
     jaccard = F.col("common") / (F.col("tokens") + len(wanted) - F.col("common"))
     return by_item.withColumn("jaccard", F.round(jaccard, 6)).where(F.col("jaccard") >= least).select(item, "common", "jaccard")
 

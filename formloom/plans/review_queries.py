@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from formloom.functions.text import collapse, matched_labels, ordered_rules
+from formloom.operators import relational as R
 from formloom.operators import review as V
 from formloom.plans.queries import query, t
 
@@ -40,8 +41,8 @@ def evidence_match(spark, d):
 def resolve_target(spark, d):
     """A target is resolved where exactly one candidate has the key. The asked keys are nations by segments, both fixed lists."""
     customer = t(spark, d, "customer")
-    segments = customer.agg(F.sort_array(F.collect_set("c_mktsegment")).alias("s"))  # a handful of values
-    asked = t(spark, d, "nation").select("n_nationkey").join(F.broadcast(segments)).select("n_nationkey", F.explode("s").alias("c_mktsegment"))
+    segments = customer.select("c_mktsegment").distinct().withColumn("one", F.lit(1))
+    asked = t(spark, d, "nation").select("n_nationkey", F.lit(1).alias("one")).join(segments, "one").drop("one")
     candidates = customer.where("c_acctbal > 5000").select(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment", "c_custkey")
     return V.resolved(asked, candidates, ["n_nationkey", "c_mktsegment"], "c_custkey")
 
@@ -123,11 +124,15 @@ def risk_histogram(spark, d):
 
 
 @query("""WITH h AS (SELECT p_partkey, (contains(p_name, 'red'))::INT + (contains(p_name, 'ring'))::INT + (contains(p_name, 'blue'))::INT AS hits FROM part)
-  SELECT p_partkey, hits, dense_rank() OVER (PARTITION BY p_partkey % 16 ORDER BY hits DESC) AS rank FROM h WHERE hits > 0""")
+  SELECT p_partkey, hits, round(hits / 3, 4) AS score, (SELECT count(*) FROM h g WHERE g.hits > h.hits) + 1 AS rank FROM h WHERE hits > 0""")
 def keyword_union_search(spark, d):
+    """All hits with their score and the place among all, equal ones sharing the first; places come from counts by score."""
     hits = sum((F.contains("p_name", F.lit(w)).cast("int") for w in ("red", "ring", "blue")), F.lit(0))
     found = t(spark, d, "part").select("p_partkey", hits.alias("hits")).where("hits > 0")
-    return found.withColumn("rank", F.dense_rank().over(Window.partitionBy(F.col("p_partkey") % 16).orderBy(F.col("hits").desc())))
+    counts = found.groupBy("hits").agg(F.count(F.lit(1)).alias("n"))  # a row for each number of keywords
+    before = Window.orderBy(F.col("hits").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    places = counts.withColumn("rank", F.coalesce(F.sum("n").over(before), F.lit(0)) + 1).drop("n")
+    return found.join(F.broadcast(places), "hits").select("p_partkey", "hits", F.round(F.col("hits") / 3, 4).alias("score"), "rank")
 
 
 @query("""WITH h AS (SELECT p_partkey, (contains(p_name, 'red'))::INT + (contains(p_name, 'ring'))::INT + (contains(p_name, 'blue'))::INT AS hits FROM part)
@@ -149,13 +154,13 @@ def keyword_union_ranking(spark, d):
   SELECT doc_id, lang, CASE WHEN place <= 2 THEN 'largest' WHEN place = n THEN 'smallest' ELSE 'median' END AS reason FROM r WHERE place <= 2 OR place = n // 2 + 1 OR place = n""")
 def stratified_sample(spark, d):
     """Two largest, the median and the smallest of each language: the sample is the feature."""
-    return V.stratified(t(spark, d, "documents"), "lang", [F.col("n_chars").desc(), F.col("doc_id")], 2).select("doc_id", "lang", "reason")
+    return V.stratified(t(spark, d, "documents"), "lang", [F.col("n_chars").desc(), F.col("doc_id")], -F.floor(F.col("n_chars") / 64), 2).select("doc_id", "lang", "reason")
 
 
 @query("""SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents) WHERE place % 7 = 1""")
 def systematic_sample(spark, d):
     """Every seventh document of a language: the sample is the feature."""
-    return t(spark, d, "documents").withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).where("place % 7 = 1").select("doc_id")
+    return R.numbered(t(spark, d, "documents"), ["lang"], [F.col("doc_id")], F.floor(F.col("doc_id") / 4096), "place").where("place % 7 = 1").select("doc_id")
 
 
 @query("SELECT doc_id FROM documents ORDER BY md5('11:' || doc_id::VARCHAR), doc_id LIMIT 25")

@@ -4,33 +4,45 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a member beyond which its body isn't unpacked.
+MOST_BYTES = 256 << 20
+BROKEN = (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, ValueError)
+
 
 def inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(path, length, sha256, empty, copies, first_copy): files under a folder; copies share their content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     hashed = files.select("path", "length", F.sha2("content", 256).alias("sha256"))
-    same = Window.partitionBy("sha256")
-    return hashed.withColumn("empty", F.col("length") == 0).withColumn("copies", F.count(F.lit(1)).over(same)).withColumn("first_copy", F.min("path").over(same) == F.col("path"))
+    groups = hashed.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"), F.min("path").alias("first_path"))  # counted before it is shuffled
+    return hashed.join(groups, "sha256").select("path", "length", "sha256", (F.col("length") == 0).alias("empty"), "copies", (F.col("first_path") == F.col("path")).alias("first_copy"))
 
 
 def members(files: DataFrame) -> DataFrame:
-    """(path, ok, member, size, body): each member of each zipped file (path, content); a broken one gives one row."""
+    """(path, ok, member, size, body): each member of each zipped file (path, content); a broken file gives one row, and so
+    does a broken member. Members of more than MOST_BYTES are listed without their body."""
 
     def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["path", "ok", "member", "size", "body"]
         kinds = [pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.binary()]
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = []
                 try:
                     with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
-                        rows = [(path, True, i.filename, i.file_size, z.read(i)) for i in z.infolist()] or [(path, True, None, None, None)]
-                except (zipfile.BadZipFile, RuntimeError, NotImplementedError):
+                        for i in z.infolist():
+                            try:
+                                rows.append((path, True, i.filename, i.file_size, z.read(i) if i.file_size <= MOST_BYTES else None))
+                            except (*BROKEN, EOFError):
+                                rows.append((path, False, i.filename, i.file_size, None))
+                    rows = rows or [(path, True, None, None, None)]
+                except BROKEN:
                     rows = [(path, False, None, None, None)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
