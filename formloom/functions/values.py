@@ -71,9 +71,9 @@ def is_blank(text: Column) -> Column:
 
 
 def is_label(text: Column, most: int = 30) -> Column:
-    """A short text with a letter that is neither number, date, blank nor sentence."""
+    """A short text with a letter that is neither number, number with a unit, date, blank nor sentence."""
     t = F.trim(text)
-    return ~is_blank(t) & (F.length(t) <= most) & t.rlike(r"\p{L}") & ~is_number(t) & ~is_date(t) & ~t.rlike(r"[.!?。]\s*$")
+    return ~is_blank(t) & (F.length(t) <= most) & t.rlike(r"\p{L}") & ~is_number(t) & ~t.rlike(r"^[0-9][0-9,.]*\s*[^0-9\s]{1,3}$") & ~is_date(t) & ~t.rlike(r"[.!?。]\s*$")
 
 
 def yes_no(text: Column) -> Column:

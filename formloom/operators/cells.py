@@ -43,7 +43,7 @@ def layouts(features: DataFrame) -> DataFrame:
     """features with layout, its score and whether a second comes near: the largest of scores made of the features."""
     c = F.col
     scores = {
-        "schedule": c("axis") * 1.5 + c("left_label") * 0.2,
+        "schedule": F.when(F.round(c("axis") * c("n")) >= 2, 1.2).otherwise(0.0) + c("left_label") * 0.2,
         "form": F.when(c("n_cols") <= 4, 0.2).otherwise(0.0) + c("blank") * 0.8 + c("left_label") * 0.4,
         "data": c("top_label") * 0.6 + c("number") * 0.6,
         "list": F.when(c("n_cols") == 1, 0.7).otherwise(0.0),

@@ -33,7 +33,7 @@ def cell_features(spark, d):
     return C.table_features(cells(spark, d), BY).drop("date")
 
 
-LAYOUTS = f"""SELECT *, axis * 1.5 + left_label * 0.2 AS s1, CASE WHEN n_cols <= 4 THEN 0.2 ELSE 0.0 END + blank * 0.8 + left_label * 0.4 AS s2, top_label * 0.6 + number * 0.6 AS s3, CASE WHEN n_cols = 1 THEN 0.7 ELSE 0.0 END AS s4, (1 - blank) * 0.3 + CASE WHEN n = 1 THEN 0.3 ELSE 0.0 END AS s5 FROM ({FEATURES})"""
+LAYOUTS = f"""SELECT *, CASE WHEN round(axis * n) >= 2 THEN 1.2 ELSE 0 END + left_label * 0.2 AS s1, CASE WHEN n_cols <= 4 THEN 0.2 ELSE 0.0 END + blank * 0.8 + left_label * 0.4 AS s2, top_label * 0.6 + number * 0.6 AS s3, CASE WHEN n_cols = 1 THEN 0.7 ELSE 0.0 END AS s4, (1 - blank) * 0.3 + CASE WHEN n = 1 THEN 0.3 ELSE 0.0 END AS s5 FROM ({FEATURES})"""
 
 
 @query(f"""SELECT tbl, CASE WHEN m < 0.4 THEN 'unknown' WHEN s1 = m THEN 'schedule' WHEN s2 = m THEN 'form' WHEN s3 = m THEN 'data' WHEN s4 = m THEN 'list' ELSE 'text' END AS layout, round(m, 4) AS layout_score FROM (SELECT *, greatest(s1, s2, s3, s4, s5) AS m FROM ({LAYOUTS}))""")

@@ -17,11 +17,12 @@ BROKEN = (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, Val
 
 
 def inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, length, sha256, empty, copies, first_copy): files under a folder; copies share their content."""
+    """(path, length, sha256, copies, first_copy): files under a folder; copies share their content. Spark's reader leaves out
+    files of no bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     hashed = files.select("path", "length", F.sha2("content", 256).alias("sha256"))
     groups = hashed.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"), F.min("path").alias("first_path"))  # counted before it is shuffled
-    return hashed.join(groups, "sha256").select("path", "length", "sha256", (F.col("length") == 0).alias("empty"), "copies", (F.col("first_path") == F.col("path")).alias("first_copy"))
+    return hashed.join(groups, "sha256").select("path", "length", "sha256", "copies", (F.col("first_path") == F.col("path")).alias("first_copy"))
 
 
 def members(files: DataFrame) -> DataFrame:
