@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm.common import checkpointed, row_key, squeeze, staying_rows, table, text_of, unsqueeze
+from formloom.llm.common import checkpointed, release, releasing, row_key, squeeze, staying_rows, table, text_of, unsqueeze
 
 #: Filter bits for each row, and the bits of the filter of one range of hashes, which is what is sent to the executors
 #: at a time (128 MB). A larger input has more ranges, one after another; nothing else depends on its size.
@@ -52,6 +52,7 @@ def _marked(slots: DataFrame) -> DataFrame:
         inside = (slot % PIECE_BITS).astype(np.uint32)
         values = [squeeze(np.diff(inside[a:b], prepend=np.uint32(0)), n[a:b] > 1) for a, b in zip(cuts, cuts[1:])]
         yield pa.RecordBatch.from_arrays([pa.array(piece[cuts[:-1]], pa.int64()), pa.array(values, pa.binary())], ["piece", "value"])
+        release()
 
     def merge(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         once, again = np.zeros(PIECE_BITS, bool), np.zeros(PIECE_BITS, bool)
@@ -65,7 +66,7 @@ def _marked(slots: DataFrame) -> DataFrame:
         buckets = key[0].as_py() * (PIECE_BITS // BITMAP_BITS) + some
         return pa.table({"bucket": pa.array(buckets, pa.int64()), "bitmap": pa.array([bits[i].tobytes() for i in some], pa.binary())})
 
-    return slots.mapInArrow(gather, "piece long, value binary").groupBy("piece").applyInArrow(merge, "bucket long, bitmap binary")
+    return slots.mapInArrow(gather, "piece long, value binary").groupBy("piece").applyInArrow(releasing(merge), "bucket long, bitmap binary")
 
 
 def possibly_repeated(digests: DataFrame, range_bits: int = RANGE_BITS) -> DataFrame:

@@ -159,6 +159,7 @@ def _dealt(pairs: DataFrame) -> DataFrame:
                 size += 1
                 salts.append(first)
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(salts, pa.int64())], ["a", "b", "salt"])
+        release()
 
     ranged = pairs.select("a", "b").repartitionByRange("a", "b").sortWithinPartitions("a", "b")
     return ranged.mapInArrow(runs, "a long, b long, salt long")
@@ -223,6 +224,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
             got = estimate(a, b)
             on = pa.array(np.flatnonzero(got >= least))
             yield pa.RecordBatch.from_arrays([x.column(0).take(on), x.column(1).take(on), pa.array(got).take(on)], ["a", "b", "estimate"])
+        release()
 
     joined = pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b")
     return joined.mapInArrow(score, "a long, b long, estimate double")

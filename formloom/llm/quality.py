@@ -26,6 +26,12 @@ QUANTILE = 0.98
 FOLDS = 4
 #: Symbol before a text's first character.
 BEGIN = 2
+#: Keys that are held at a time while texts are counted and scored.
+PIECE_KEYS = 1 << 20
+#: Log probabilities travel as whole multiples of this, in 16 bits.
+LOG_STEP = 1 / 2048
+#: Rows of n-grams that a task reads from a checkpoint, about.
+ROWS_PER_TASK = 50_000
 #: Thresholds are read from counts of perplexities in steps of this much of their logarithm.
 STEP = 1e-4
 
@@ -41,15 +47,48 @@ def grams(text: str) -> np.ndarray:
 
 
 def _grams_by_language(rows: pa.Table):
-    """language -> (row numbers, keys of each of the rows' texts one after another, where each text begins)."""
+    """(language, row numbers, keys of each of the rows' texts one after another, where each text begins), in pieces of
+    about PIECE_KEYS keys, languages in order."""
     by: dict[str, list[int]] = {}
     for i, lang in enumerate(rows.column("lang").to_pylist()):
         by.setdefault(lang, []).append(i)
     texts = rows.column("text")
     for lang, at in sorted(by.items()):
-        keys = [grams(texts[i].as_py()) for i in at]
-        cuts = np.cumsum([0, *map(len, keys)])
-        yield lang, np.array(at), np.concatenate(keys), cuts
+        held, keys, size = [], [], 0
+        for i in at:
+            held.append(i)
+            keys.append(grams(texts[i].as_py()))
+            size += len(keys[-1])
+            if size >= PIECE_KEYS or i == at[-1]:
+                yield lang, np.array(held), np.concatenate(keys), np.cumsum([0, *map(len, keys)])
+                held, keys, size = [], [], 0
+
+
+def _distinct_grams(rows: pa.Table, model: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """language -> (its distinct keys, sorted; counts (FOLDS, keys) in the trusted texts of each fold)."""
+    parts: dict[str, list] = {}
+    for lang, at, keys, cuts in _grams_by_language(rows):
+        of = np.repeat(model[at], np.diff(cuts))
+        unique = np.unique(keys)
+        counts = np.zeros((FOLDS, len(unique)), np.uint32)
+        for m in range(FOLDS):
+            known, n = np.unique(keys[of == m], return_counts=True)
+            counts[m, np.searchsorted(unique, known)] = n
+        parts.setdefault(lang, []).append((unique, counts))
+    return {lang: _added_up([p[0] for p in ps], [p[1] for p in ps]) for lang, ps in parts.items()}
+
+
+def _added_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if len(keys) == 1:
+        return keys[0], counts[0]
+    unique, which = np.unique(np.concatenate(keys), return_inverse=True)
+    by_fold = np.concatenate(counts, 1)
+    return unique, np.stack([np.bincount(which, n, len(unique)) for n in by_fold]).astype(np.uint32)
+
+
+def _steps(sorted_keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as their differences, which compress better; np.cumsum() undoes it."""
+    return np.diff(sorted_keys, prepend=np.uint64(0))
 
 
 def _suffix(gram: Column, order: int) -> Column:
@@ -57,53 +96,68 @@ def _suffix(gram: Column, order: int) -> Column:
     return gram.bitwiseAND(F.lit((1 << (16 * order)) - 1)) if order < ORDER else gram
 
 
-def _orders(counts: DataFrame) -> dict[int, DataFrame]:
-    """order -> (lang, gram, n): counts of the highest order, continuation counts of those below."""
-    out = {ORDER: counts.where("n > 0").select("lang", "gram", "n")}
+def _orders(counts: DataFrame, models: list[str]) -> dict[int, DataFrame]:
+    """order -> (lang, gram, n of each model): counts of the highest order, continuation counts of those below."""
+    n = [f"n{m}" for m in models]
+    out = {ORDER: counts.where(F.greatest(*n, F.lit(0)) > 0).select("lang", "gram", *n)}
     for order in range(ORDER - 1, 0, -1):
-        out[order] = checkpointed(out[order + 1].groupBy("lang", _suffix(F.col("gram"), order).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+        seen = [F.sum((F.col(c) > 0).cast("long")).alias(c) for c in n]
+        out[order] = checkpointed(out[order + 1].groupBy("lang", _suffix(F.col("gram"), order).alias("gram")).agg(*seen), ROWS_PER_TASK)
     return out
 
 
-def _discount_columns(counts: DataFrame) -> DataFrame:
-    """(lang, d1, d2, d3): the modified discounts of one order from its counts of counts."""
-    of = counts.groupBy("lang").agg(*(F.sum((F.col("n") == k).cast("long")).cast("double").alias(f"t{k}") for k in range(1, 5)))
-    y = F.when(F.col("t1") > 0, F.col("t1") / (F.col("t1") + 2 * F.col("t2"))).otherwise(0.5)
-    part = lambda k: F.greatest(F.lit(0.1 * k), F.least(F.lit(float(k)), F.when(F.col(f"t{k}") > 0, k - (k + 1) * y * F.col(f"t{k + 1}") / F.col(f"t{k}")).otherwise(0.5 * k)))
-    return of.select("lang", *(part(k).alias(f"d{k}") for k in (1, 2, 3)))
+def _discounts(counts: DataFrame, models: list[str]) -> DataFrame:
+    """(lang, d1, d2, d3 of each model): the modified discounts of one order from its counts of counts."""
+    of = counts.groupBy("lang").agg(*(F.sum((F.col(f"n{m}") == k).cast("long")).cast("double").alias(f"t{k}{m}") for m in models for k in range(1, 5)))
 
+    def part(k: int, m: str) -> Column:
+        t = lambda i: F.col(f"t{i}{m}")
+        y = F.when(t(1) > 0, t(1) / (t(1) + 2 * t(2))).otherwise(0.5)
+        return F.greatest(F.lit(0.1 * k), F.least(F.lit(float(k)), F.when(t(k) > 0, k - (k + 1) * y * t(k + 1) / t(k)).otherwise(0.5 * k)))
 
-def _discount(n: Column) -> Column:
-    return F.when(n == 0, 0.0).when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
+    return of.select("lang", *(part(k, m).alias(f"d{k}{m}") for m in models for k in (1, 2, 3)))
 
 
-def probabilities(counts: DataFrame) -> DataFrame:
-    """(lang, gram, p) for every row of counts (lang, gram, n), also where n is 0: the model's probability of the last
-    character after those before it. Languages without trusted text have no rows."""
-    by_order = _orders(counts)
-    symbols = by_order[1].groupBy("lang").agg((F.count(F.lit(1)) + 1).alias("symbols"))
+def _discount(n: Column, m: str) -> Column:
+    return F.when(n == 0, 0.0).when(n == 1, F.col(f"d1{m}")).when(n == 2, F.col(f"d2{m}")).otherwise(F.col(f"d3{m}"))
+
+
+def probabilities(counts: DataFrame, models: tuple[str, ...] = ("",)) -> DataFrame:
+    """(lang, gram, p of each model) for every row of counts (lang, gram, n of each model), also where n is 0: each model's
+    probability of the last character after those before it. Columns of a model are n and p with its name behind.
+
+    Languages without trusted text have no rows; where one model of a language has none, its p is null.
+    """
+    models = list(models)
+    by_order = _orders(counts, models)
+    symbols = by_order[1].groupBy("lang").agg(*((F.sum((F.col(f"n{m}") > 0).cast("long")) + 1).alias(f"symbols{m}") for m in models))
     below = None
     for order in range(1, ORDER + 1):
         seen = by_order[order]
-        discounts = F.broadcast(_discount_columns(seen))  # a row for each language
+        discounts = F.broadcast(_discounts(seen, models))  # a row for each language
         context = F.shiftrightunsigned("gram", 16)
-        stats = (
-            seen.join(discounts, "lang")
-            .groupBy("lang", context.alias("context"))
-            .agg(F.sum("n").cast("double").alias("total"), F.sum(_discount(F.col("n"))).alias("held"))
-        )
-        asked = counts.select("lang", _suffix(F.col("gram"), order).alias("gram")).distinct() if order < ORDER else counts.select("lang", "gram")
-        rows = asked.join(seen, ["lang", "gram"], "left").join(discounts, "lang").withColumn("context", context).join(stats, ["lang", "context"], "left")
+        sums = [c for m in models for c in (F.sum(f"n{m}").cast("double").alias(f"total{m}"), F.sum(_discount(F.col(f"n{m}"), m)).alias(f"held{m}"))]
+        stats = seen.join(discounts, "lang").groupBy("lang", context.alias("context")).agg(*sums)
+        if order < ORDER:
+            asked = counts.select("lang", _suffix(F.col("gram"), order).alias("gram")).distinct().join(seen, ["lang", "gram"], "left")
+        else:
+            asked = counts
+        rows = asked.join(discounts, "lang").withColumn("context", context).join(stats, ["lang", "context"], "left")
         if order == 1:
-            rows = rows.join(F.broadcast(symbols), "lang").withColumn("lower", 1 / F.col("symbols"))
+            first = symbols.select("lang", *(F.when(F.col(f"symbols{m}") > 1, 1 / F.col(f"symbols{m}")).alias(f"lower{m}") for m in models))
+            rows = rows.join(F.broadcast(first), "lang")
         else:
-            lower = below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+            lower = below.select("lang", F.col("gram").alias("suffix"), *(F.col(f"p{m}").alias(f"lower{m}") for m in models))
             rows = rows.withColumn("suffix", _suffix(F.col("gram"), order - 1)).join(lower, ["lang", "suffix"])
-        n = F.coalesce("n", F.lit(0))
-        p = F.when(F.col("total").isNull(), F.col("lower")).otherwise((n - _discount(n) + F.col("held") * F.col("lower")) / F.col("total"))
-        below = rows.select("lang", "gram", p.alias("p"))
+
+        def p(m: str) -> Column:
+            n, total, low = F.coalesce(f"n{m}", F.lit(0)), F.col(f"total{m}"), F.col(f"lower{m}")
+            return F.when(total > 0, (n - _discount(n, m) + F.col(f"held{m}") * low) / total).otherwise(low).alias(f"p{m}")
+
+        kept = [c for c in ("shard",) if c in counts.columns and order == ORDER]
+        below = rows.select(*kept, "lang", "gram", *(p(m) for m in models))
         if order < ORDER:
-            below = checkpointed(below)
+            below = checkpointed(below, ROWS_PER_TASK)
     return below
 
 
@@ -124,6 +178,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
     scored = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text_hash", pa.binary()), ("text_length", pa.int64()), ("trusted", pa.bool_()), ("perplexity", pa.float64())])
 
+    models = tuple(f"_{m}" for m in range(FOLDS + 1))
+
     def models_of(rows: pa.Table, good: set[int]) -> np.ndarray:
         """The fold of each row's text, FOLDS (the model of all trusted text) for rows that aren't trusted."""
         pairs = zip(rows.column("doc_id").to_pylist(), texts_as_bytes(rows.column("text")))
@@ -136,47 +192,41 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         out: dict[str, list] = {"block": [], "shard": [], "lang": [], "value": []}
         rows = from_payloads(group.column("payload")) if group.num_rows else None  # a block may have labels alone
         model = models_of(rows, set(trusted.column("doc_id").to_pylist())) if rows else None
-        for lang, at, keys, cuts in _grams_by_language(rows) if rows else []:
-            of = np.repeat(model[at], np.diff(cuts))
-            unique = np.unique(keys)
-            counts = np.zeros((FOLDS, len(unique)), np.uint32)
-            for m in range(FOLDS):
-                known, n = np.unique(keys[of == m], return_counts=True)
-                counts[m, np.searchsorted(unique, known)] = n
+        for lang, (unique, counts) in _distinct_grams(rows, model).items() if rows else []:
             shard = shard_of(unique)
             for s in np.unique(shard).tolist():
                 own = shard == s
                 out["block"].append(key[0].as_py()), out["shard"].append(s), out["lang"].append(lang)
-                out["value"].append(squeeze(unique[own], counts[:, own]))
+                out["value"].append(squeeze(_steps(unique[own]), counts[:, own]))
         return pa.table({"block": pa.array(out["block"], pa.int32()), "shard": pa.array(out["shard"], pa.int32()), "lang": pa.array(out["lang"], pa.string()), "value": pa.array(out["value"], pa.binary())})
 
     def add_up(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         got = [unsqueeze(v.as_py(), "u8", "u4") for v in group.column("value")]
-        gram, which = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-        by_fold = np.concatenate([g[1].reshape(FOLDS, -1) for g in got], 1)
-        counts = np.stack([np.bincount(which, n, len(gram)) for n in by_fold]).astype(np.int64)
+        gram, counts = _added_up([np.cumsum(g[0]) for g in got], [g[1].reshape(FOLDS, -1) for g in got])
+        counts = counts.astype(np.int64)
         total = counts.sum(0)
-        some = np.flatnonzero(total)  # what trusted documents hold; a fold's model isn't asked for more
-        model = np.repeat(np.arange(FOLDS + 1), [*[len(some)] * FOLDS, len(gram)])
-        n = np.r_[(total - counts)[:, some].reshape(-1), total]
-        return pa.table({"shard": pa.array(np.full(len(n), key[0].as_py()), pa.int32()), "lang": pa.array([key[1].as_py()] * len(n), pa.string()), "model": pa.array(model, pa.int32()), "gram": pa.array(np.r_[np.tile(gram[some], FOLDS), gram].view(np.int64)), "n": pa.array(n)})
+        n = [*(total - counts), total]  # of the models without a fold, and of the whole one
+        columns = [pa.array(np.full(len(gram), key[0].as_py()), pa.int32()), pa.array([key[1].as_py()] * len(gram), pa.string()), pa.array(gram.view(np.int64)), *map(pa.array, n)]
+        return pa.table(columns, names=["shard", "lang", "gram", *(f"n{m}" for m in models)])
 
     def answer(key: tuple[pa.Scalar, ...], asked: pa.Table, known: pa.Table) -> pa.Table:
-        model, gram, p = known.column("model").to_numpy(), known.column("gram").to_numpy().view(np.uint64), known.column("p").to_numpy()
-        tables = []
-        for m in range(FOLDS + 1):
-            own = np.flatnonzero(model == m)
-            own = own[np.argsort(gram[own])]
-            tables.append((gram[own], np.log(p[own]).astype(np.float32)))
+        gram = known.column("gram").to_numpy().view(np.uint64)
+        order = np.argsort(gram)
+        logs = np.zeros((FOLDS + 1, len(gram)), np.uint16)
+        has = np.zeros(FOLDS + 1, bool)
+        for i, m in enumerate(models):
+            p = known.column(f"p{m}").to_numpy()[order]
+            has[i] = len(p) > 0 and not np.isnan(p[0])
+            if has[i]:
+                logs[i] = np.minimum(np.round(-np.log(p) / LOG_STEP), 65535)
+        gram = gram[order]
         values = []
         for v in asked.column("value"):
-            keys, counts = unsqueeze(v.as_py(), "u8", "u4")
-            score = np.full((FOLDS + 1, len(keys)), np.nan, np.float32)
-            for m, (known_keys, logs) in enumerate(tables):
-                wanted = counts.reshape(FOLDS, -1)[m] > 0 if m < FOLDS else np.ones(len(keys), bool)
-                if len(known_keys):
-                    score[m, wanted] = logs[np.searchsorted(known_keys, keys[wanted])]
-            values.append(squeeze(score))
+            steps, counts = unsqueeze(v.as_py(), "u8", "u4")
+            keys = np.cumsum(steps)
+            score = logs[:, np.searchsorted(gram, keys)] if len(gram) else np.zeros((FOLDS + 1, len(keys)), np.uint16)
+            score[:FOLDS][counts.reshape(FOLDS, -1) == 0] = 0  # a fold's model is asked only for what the fold holds
+            values.append(squeeze(score, has))
         return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "lang": asked.column("lang"), "value": pa.array(values, pa.binary())})
 
     def score(key: tuple[pa.Scalar, ...], group: pa.Table, scores: pa.Table) -> pa.Table:
@@ -188,30 +238,33 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
             if shard < 0:
                 good.add(int(value.as_py()))
             else:
-                parts[lang, shard] = unsqueeze(value.as_py(), "f4")[0].reshape(FOLDS + 1, -1)
+                score, has = unsqueeze(value.as_py(), "u2", "?")
+                parts[lang, shard] = score.reshape(FOLDS + 1, -1), has
         model = models_of(rows, good)
         length, found = np.zeros(rows.num_rows, np.int64), np.full(rows.num_rows, np.nan)
-        for lang, at, keys, cuts in _grams_by_language(rows):
-            length[at] = size = np.diff(cuts)
-            unique = np.unique(keys)
+        known = {}
+        for lang, (unique, _) in _distinct_grams(rows, model).items():
             shard = shard_of(unique)
-            logs = np.empty((FOLDS + 1, len(unique)), np.float32)
+            logs, has = np.empty((FOLDS + 1, len(unique)), np.uint16), np.zeros(FOLDS + 1, bool)
             for s in np.unique(shard).tolist():  # in the order in which send put them
-                logs[:, shard == s] = parts[lang, s]
+                logs[:, shard == s] = parts[lang, s][0]
+                has |= parts[lang, s][1]
+            known[lang] = unique, logs, has
+        for lang, at, keys, cuts in _grams_by_language(rows):
+            unique, logs, has = known[lang]
+            length[at] = size = np.diff(cuts)
             each = logs[np.repeat(model[at], size), np.searchsorted(unique, keys)]
-            total = np.bincount(np.repeat(np.arange(len(at)), size), each, len(at))
-            some = size > 0
-            found[at[some]] = np.exp(-total[some] / size[some])
+            total = np.bincount(np.repeat(np.arange(len(at)), size), each, len(at)) * LOG_STEP
+            some = (size > 0) & has[model[at]]
+            found[at[some]] = np.exp(total[some] / size[some])
         hashes = [hashlib.sha256(t).digest()[:16] for t in texts_as_bytes(rows.column("text"))]
         columns = [rows.column("doc_id"), rows.column("lang"), pa.array(hashes, pa.binary()), pa.array(length), pa.array(model < FOLDS), pa.array(found, mask=np.isnan(found))]
         return pa.table(columns, schema=scored)
 
     sending = checkpointed(texts.cogroup(ids.groupBy("block")).applyInArrow(releasing(send), "block int, shard int, lang string, value binary"))
-    counts = checkpointed(sending.groupBy("shard", "lang").applyInArrow(releasing(add_up), "shard int, lang string, model int, gram long, n long"))
-    # Each model of each language is a language of its own to probabilities().
-    keyed = counts.withColumn("key", F.concat_ws(":", "model", "lang"))
-    model = probabilities(keyed.select(F.col("key").alias("lang"), "gram", "n")).withColumnRenamed("lang", "key")
-    known = keyed.select("shard", "lang", "model", "key", "gram").join(model, ["key", "gram"]).select("shard", "lang", "model", "gram", "p")
+    numbers = ", ".join(f"n{m} long" for m in models)
+    counts = checkpointed(sending.groupBy("shard", "lang").applyInArrow(releasing(add_up), f"shard int, lang string, gram long, {numbers}"))
+    known = probabilities(counts, models)
     back = sending.groupBy("shard", "lang").cogroup(known.groupBy("shard", "lang")).applyInArrow(releasing(answer), "block int, shard int, lang string, value binary")
     marks = ids.select("block", F.lit(-1).alias("shard"), F.lit("").alias("lang"), F.encode(F.col("doc_id").cast("string"), "UTF-8").alias("value"))
     return texts.cogroup(back.unionByName(marks).groupBy("block")).applyInArrow(releasing(score), "doc_id long, lang string, text_hash binary, text_length long, trusted boolean, perplexity double")
