@@ -22,7 +22,7 @@ def test_exact(odd):
     got = exact.exact_groups(odd).collect()
     assert len(got) == 12 and sum(r.kept for r in got if r.group_size > 1) == 2
     assert {r.keep_id for r in got if r.doc_id in (4, 5)} == {5}
-    assert sorted(map(tuple, exact.exact_groups(odd, max_bits=0).collect()), key=str) == sorted(map(tuple, got), key=str)
+    assert sorted(map(tuple, exact.exact_groups(odd, range_bits=1 << 13).collect()), key=str) == sorted(map(tuple, got), key=str)
 
 
 def test_mixing(odd):
@@ -143,14 +143,73 @@ def test_quality_held_out(spark):
     fold = [quality.xxhash.xxh3_64_intdigest(t.encode()) % quality.FOLDS for t in texts]
     others = docs.where(docs.doc_id.isin([i for i, f in enumerate(fold) if f != fold[8]]))
     alone = {r.doc_id: r.perplexity for r in quality.perplexities(docs, others.select("doc_id")).collect()}
-    assert all(r.trusted for r in got.values()) and got[8].perplexity == pytest.approx(alone[8], rel=1e-5)
+    assert all(r.trusted for r in got.values()) and got[8].perplexity == pytest.approx(alone[8], rel=1e-3)
     assert got[8].perplexity > 2 * max(got[i].perplexity for i in range(8))
 
 
-def test_fingerprint(odd):
+def _anchors_by_hand(text: str) -> list[int]:
+    """Positions of the closed syncmers of a text's tokens, straight from the definition."""
+    import regex
+
+    tokens = regex.findall(r"[!-~\u00a1-\u024f]{1,4}+", text)
+    names = [0] * (fingerprint.K - 1) + [_murmur(t.encode()) for t in tokens]
+    inner = [_murmur_ints(names[i : i + fingerprint.S]) for i in range(len(names) - fingerprint.S + 1)]
+    size = fingerprint.K - fingerprint.S + 1
+    windows = [inner[i : i + size] for i in range(len(inner) - size + 1)]
+    return [i - (fingerprint.K - 1) for i, w in enumerate(windows) if min(w[0], w[-1]) <= min(w[1:-1])]
+
+
+def _mix(h: int, k: int) -> int:
+    k = k * 0xCC9E2D51 & 0xFFFFFFFF
+    k = ((k << 15 | k >> 17) & 0xFFFFFFFF) * 0x1B873593 & 0xFFFFFFFF
+    h ^= k
+    return ((h << 13 | h >> 19) & 0xFFFFFFFF) * 5 + 0xE6546B64 & 0xFFFFFFFF
+
+
+def _ended(h: int, n: int) -> int:
+    h ^= n
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> shift) * by & 0xFFFFFFFF
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def _murmur(data: bytes, seed: int = 42) -> int:
+    """Spark's hash() of one string: Murmur 3, the last bytes each a word of its own, signed."""
+    h, whole = seed, len(data) // 4 * 4
+    for i in range(0, whole, 4):
+        h = _mix(h, int.from_bytes(data[i : i + 4], "little"))
+    for b in data[whole:]:
+        h = _mix(h, (b - 256 if b > 127 else b) & 0xFFFFFFFF)
+    return _ended(h, len(data))
+
+
+def _murmur_ints(values: list[int]) -> int:
+    h = 42
+    for v in values:
+        h = _ended(_mix(h & 0xFFFFFFFF, v & 0xFFFFFFFF), 4)
+    return h
+
+
+def test_fingerprint(odd, spark):
     got = fingerprint.fingerprints(odd).collect()
     assert len(got) == 12 and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     assert len({r.fingerprint for r in got if r.doc_id in (4, 5)}) == 1
+    texts = ["The mill stands by the river and grinds the corn of the valley; in winter it rests.", "word " * 30, "short", "Ünïcode wörds über alles, naïve façade"]
+    rows = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    for r in rows.select("text", fingerprint.anchors(chat.F.col("text")).alias("a")).collect():
+        assert [x.pos for x in r.a] == _anchors_by_hand(r.text)
+
+
+def test_fingerprint_of_any_length(spark):
+    """No length decides how a text is read: each text is about as near to three quarters of itself as it is long enough."""
+    words = [f"w{i * 7919 % 1000}x" for i in range(400)]
+    rows = [(n, " ".join(words[:n]), " ".join(words[: n * 3 // 4])) for n in range(20, 400, 20)]
+    marks = lambda c: fingerprint.marks(fingerprint.anchors(chat.F.col(c)))
+    got = spark.createDataFrame(rows, "n int, a string, b string").select("n", fingerprint.likeness(marks("a"), marks("b")).alias("near")).collect()
+    assert all(0.7 < r.near < 0.95 for r in got)
+    moved = spark.createDataFrame([(" ".join(words), "new words come first " + " ".join(words))], "a string, b string")
+    assert moved.select(fingerprint.likeness(marks("a"), marks("b")).alias("near")).first().near > 0.9
 
 
 def test_chat(spark):
@@ -159,24 +218,136 @@ def test_chat(spark):
     assert back == {1: [("user", "a\\<|im_end|>\n"), ("assistant", "")], None: [("x\ny", "t")]}
 
 
+def test_chat_layouts(spark):
+    """Each declared layout comes to the same turns, by its schema and, where it is a whole conversation, as JSON."""
+    import json
+
+    say = [("user", "ask"), ("assistant", "answer")]
+    records = {
+        "messages": {"messages": [{"role": r, "content": t} for r, t in say]}, "share": {"conversations": [{"from": "human", "value": "ask"}, {"from": "gpt", "value": "answer"}]},
+        "instruction": {"instruction": "ask", "input": "", "output": "answer"}, "short_instruction": {"instruction": "ask", "output": "answer"}, "prompt": {"prompt": "ask", "completion": "answer"},
+        "system_prompt": {"system": "", "prompt": "ask", "completion": "answer"}, "question": {"question": "ask", "answer": "answer"}, "prompt_response": {"prompt": "ask", "response": "answer"},
+    }
+    assert {*records, "rows"} == {*chat.LAYOUTS}
+    for name, record in records.items():
+        df = spark.read.json(spark.createDataFrame([(json.dumps({"conv_id": 1, **record}),)], "value string").rdd.map(lambda r: r.value))
+        assert chat.layout_of(df) == name
+        assert [(r.role, r.text) for r in chat.canonical_turns(df).orderBy("turn").collect()] == say, name
+    lines = [(i, json.dumps(r), "x") for i, r in enumerate(records.values())] + [(90, "not json", "x"), (91, None, "x")]
+    got = chat.json_turns(spark.createDataFrame(lines, "conv_id long, record string, parsed string").drop("parsed")).orderBy("conv_id", "turn").collect()
+    assert [(r.role, r.text) for r in got] == say * len(records)
+
+
 def test_licence(spark):
     docs = spark.createDataFrame([(1, "Released under the MIT License.\nother"), (2, "His driving license was renewed in May."), (3, None)], "doc_id long, text string")
     assert {r.doc_id: r.families for r in licence.licences(docs, licence.train(spark)).collect()} == {1: "mit", 2: "", 3: ""}
 
 
+#: Notices that no template or phrase of the training has, with their families, and prose that shares words with notices.
+UNSEEN = [
+    ("gpl", "You can redistribute it under version 2 of the GNU General Public License; see the file COPYING."), ("mit", "Dieses Paket steht unter der MIT-Lizenz."), ("mit", "Free of charge, any person obtaining a copy of this software may deal in it without restriction, including the rights to use, copy, modify, merge and publish."),
+    ("gpl", "GNU General Public License applies to every file here."), ("mit", "This library is\nreleased under the terms\nof the MIT License"), ("apache-2.0", "Contributions are accepted under Apache License 2.0 terms."), ("bsd", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("cc-by", "Text is available under the Creative Commons Attribution License; additional terms may apply."), ("mpl-2.0", "This file is made available under the Mozilla Public License v2."), ("public-domain", "The author has dedicated this text to the public domain under CC0."),
+    ("cc-by-sa", "Content is available under CC BY-SA 4.0 unless otherwise noted."), ("lgpl", "The library may be used under the GNU Lesser General Public License version 3."), ("cc-by-nc", "The data set is licensed CC BY-NC 4.0, for noncommercial research."),
+]
+PROSE = [
+    "The license plate of the car was found under the bridge.", "The university library opened a new hall to the public.", "He is licensed to practise medicine in two states.", "A general strike was called by the union of public workers.", "The creative director released a statement about the terms.",
+    "Software is distributed to the branch offices each month.", "This program is on television every day.", "Permission to land was granted to the pilot.", "Please retain the receipt as notice of purchase.", "The work was published in version two by the author.", "Mozilla hired three engineers for the browser.",
+    "The commons debated the bill at length.", "Attribution of the painting to the master is disputed.",
+]
+
+
+def test_licence_unseen(spark):
+    rows = [*enumerate(t for _, t in UNSEEN), *((100 + i, t) for i, t in enumerate(PROSE))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS piece", "1 AS row", "'y' AS family")
+    got = {r.doc_id: r.families for r in licence.licences(docs, licence.train(spark)).collect()}
+    right = sum(got[i] == f for i, (f, _) in enumerate(UNSEEN))
+    alarms = sum(got[100 + i] != "" for i in range(len(PROSE)))
+    print(f"unseen notices named: {right} of {len(UNSEEN)}; false alarms: {alarms} of {len(PROSE)}")
+    assert right >= 10 and alarms <= 1
+
+
 def test_licence_in_prose(spark):
     """A notice is found whatever shares its line; prose about licences is not one."""
     prose = "The tool reads a folder of files and writes a table of their sizes beside them."
-    mit = " ".join(licence.TEMPLATES["mit"][2:4]) + ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.'
+    mit = " ".join(licence.TEMPLATES["mit"])
     bare = prose.rstrip(".").lower()
     texts = {1: f"{prose} Released under the MIT License.", 2: f"{prose * 300} Licensed under the GPL version 3. {prose * 300}", 3: mit, 4: f"{bare} {bare} Distributed under the BSD 3-Clause License {bare} {bare}", 5: f"{prose} His driving license was renewed in May. {prose}", 6: f"Released under the MIT License. {prose} Licensed under CC BY 4.0."}
     docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
     got = {r.doc_id: r.families for r in licence.licences(docs, licence.train(spark)).collect()}
-    assert got == {1: "mit", 2: "gpl-3.0", 3: "mit", 4: "bsd", 5: "", 6: "cc-by-4.0,mit"}
+    assert got == {1: "mit", 2: "gpl", 3: "mit", 4: "bsd", 5: "", 6: "cc-by,mit"}
+
 
+def test_counts_newer_characters(spark):
+    """Letters and capitals that Python's tables lack count as the library counts them."""
+    from tokenizers import Tokenizer
 
-def test_empty(odd):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, counter = Tokenizer.from_file(path), bpe.WordCounter(open(path, encoding="utf-8").read())
+    codes = [c for a, b in [*bpe.NEW_LETTERS, *bpe.NEW_NUMBERS] for c in range(a, b + 1)] + [0x32808, 0x3285C, 0x32988, 0x16EA0, 0x125D9, 0x307]
+    texts = [f"a{chr(c)}1.{chr(c)} {chr(c)}b" for c in codes] + ["\u0307\U000125d9", "ΑΣ ΑΣ. İ"]
+    assert [counter.count(t) for t in texts] == [len(e.ids) for e in words.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_quantiles(spark):
+    values = [i / 7 + 1 for i in range(1000)]
+    got = quality.quantiles(spark.createDataFrame([("en", v) for v in values], "lang string, value double"), 0.98).first().threshold
+    assert sum(v <= got for v in values) >= 980 and got == pytest.approx(sorted(values)[979], rel=2e-4)
+
+
+def _kneser_ney(counts: dict[str, int], gram: str, order: int, symbols: int) -> float:
+    """The definition, by recursion over dictionaries; counts: highest-order counts for order, continuation counts below."""
+    level = counts if order == quality.ORDER else {}
+    if order < quality.ORDER:
+        higher = _level(counts, order + 1)
+        for g in higher:
+            level[g[1:]] = level.get(g[1:], 0) + 1
+    t = [sum(n == k for n in level.values()) for k in range(1, 5)]
+    y = t[0] / (t[0] + 2 * t[1]) if t[0] else 0.5
+    d = [max(0.1 * k, min(float(k), k - (k + 1) * y * t[k] / t[k - 1] if t[k - 1] else 0.5 * k)) for k in (1, 2, 3)]
+    off = lambda n: d[min(n, 3) - 1] if n else 0.0
+    lower = _kneser_ney(counts, gram[1:], order - 1, symbols) if order > 1 else 1 / symbols
+    same = [n for g, n in level.items() if g[:-1] == gram[:-1]]
+    if not same:
+        return lower
+    n = level.get(gram, 0)
+    return (n - off(n) + sum(map(off, same)) * lower) / sum(same)
+
+
+def _level(counts: dict[str, int], order: int) -> dict[str, int]:
+    level = {g: n for g, n in counts.items()}
+    for _ in range(quality.ORDER - order):
+        below: dict[str, int] = {}
+        for g in level:
+            below[g[1:]] = below.get(g[1:], 0) + 1
+        level = below
+    return level
+
+
+def test_quality_against_definition(spark):
+    """Every probability of a small model, and of n-grams that it lacks, against the recursive definition."""
+    texts = ["the mill by the river", "the miller of the hill", "a river of the hills", "then they met there"]
+    counts: dict[str, int] = {}
+    for text in texts:
+        padded = chr(quality.BEGIN) * (quality.ORDER - 1) + text
+        for i in range(len(text)):
+            g = padded[i : i + quality.ORDER]
+            counts[g] = counts.get(g, 0) + 1
+    asked = [*counts, "the ", "zzzz", "mill", "rivx", "ther", " hil"]
+    rows = {g: counts.get(g, 0) for g in asked}
+    key = lambda g: sum(ord(c) << (16 * (quality.ORDER - 1 - i)) for i, c in enumerate(g))
+    got = {r.gram: r.p for r in quality.probabilities(spark.createDataFrame([("en", key(g), n) for g, n in rows.items()], "lang string, gram long, n long")).collect()}
+    symbols = len(_level(counts, 1)) + 1
+    for g in asked:
+        assert got[key(g)] == pytest.approx(_kneser_ney(dict(counts), g, quality.ORDER, symbols), rel=1e-9), g
+
+
+def test_empty(odd, spark):
     none = odd.where("1 = 0")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    for out in (exact.exact_groups(none), mixing.mixed(none), bpe.encode(none, path, public_tokenizers.PATTERN), substring.dedup_substrings(none), near.near_classes(none), fingerprint.fingerprints(none)):
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    outs = [exact.exact_groups(none), mixing.mixed(none), bpe.encode(none, path, public_tokenizers.PATTERN), substring.dedup_substrings(none), near.near_classes(none), fingerprint.fingerprints(none)]
+    outs += [licence.licences(none, licence.train(spark)), chat.format_turns(turns), bpe.count_tokens(none, public_tokenizers.path("word_bpe_49k.json")), quality.classified(none, labels)]
+    for out in outs:
         assert out.count() == 0
