@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Code points of text that one block holds, about; a block is what one Python task works on at a time.
 BLOCK_CHARS = 6_000_000
-#: Tasks that a table read from a checkpoint has at least.
+#: Tasks that write a checkpoint, at least.
 LEAST_TASKS = 12
 #: Bytes of text that a packing task gathers before it writes its pieces.
 PACK_BYTES = 12 << 20
@@ -43,15 +43,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(tempfile.mkdtemp(prefix="formloom-checkpoint-"))
 
 
-def checkpointed(df: DataFrame, rows_per_task: int | None = None) -> DataFrame:
+def checkpointed(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Written once to the shared checkpoint folder; later uses survive lost executors and don't compute it again.
 
-    rows_per_task: a table of small rows that the cluster dealt over many more tasks than it needs is read again by tasks
-    of about so many rows, so that each later exchange writes as many pieces fewer.
+    parts: what the table needs, where the cluster deals out more, so that neither it nor what is made of it is written in
+    many small files; LEAST_TASKS at least.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    return out.coalesce(max(LEAST_TASKS, math.ceil(out.count() / rows_per_task))) if rows_per_task else out
+    return (df.coalesce(max(LEAST_TASKS, parts)) if parts else df).checkpoint(eager=True)
+
+
+def parts_of(rows: int, rows_per_task: int = 50_000) -> int:
+    """Tasks for a table of so many rows of ids."""
+    return max(1, math.ceil(rows / rows_per_task))
 
 
 def text_hash(text: str = "text") -> Column:

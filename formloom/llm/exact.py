@@ -9,15 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm.common import checkpointed, release, releasing, row_key, squeeze, staying_rows, table, text_of, unsqueeze
+from formloom.llm.common import checkpointed, parts_of, release, releasing, row_key, squeeze, staying_rows, table, text_of, unsqueeze
 
 #: Filter bits for each row, and the bits of the filter of one range of hashes, which is what is sent to the executors
 #: at a time (128 MB). A larger input has more ranges, one after another; nothing else depends on its size.
 BITS_PER_ROW, RANGE_BITS = 16, 1 << 30
 #: Bits of one row of a filter, and of the pieces in which one task merges it.
 BITMAP_BITS, PIECE_BITS = 32768, 1 << 23
-#: Rows of ids and hashes that a task reads from a checkpoint, about.
-ROWS_PER_TASK = 50_000
 #: A group of at least this share of all rows is joined by broadcast: there are at most as many of these as its inverse.
 HOT_SHARE = 1000
 
@@ -76,7 +74,8 @@ def possibly_repeated(digests: DataFrame, range_bits: int = RANGE_BITS) -> DataF
     marks. The filter is built and sent for one range of hashes at a time, so what is broadcast has range_bits bits at
     most, however many rows there are. Each range's rows are written before the next range begins.
     """
-    bits = filter_bits(digests.count())
+    n = digests.count()
+    bits = filter_bits(n)
     range_bits = min(bits, range_bits)
     first, second = _slots(bits, range_bits)
     slotted = digests.withColumn("first", first).withColumn("second", second)
@@ -90,7 +89,7 @@ def possibly_repeated(digests: DataFrame, range_bits: int = RANGE_BITS) -> DataF
             byte = F.conv(F.hex(F.substring("bitmap", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
             hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
             rows = rows.join(side, F.floor(F.col(slot) / F.lit(BITMAP_BITS)) == side.bucket, "left").withColumn("maybe", F.col("maybe") & hit).drop("bucket", "bitmap")
-        done.append(checkpointed(rows.drop("first", "second"), ROWS_PER_TASK))
+        done.append(checkpointed(rows.drop("first", "second"), parts_of(n)))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -108,12 +107,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows are not shuffled; the rows of all other groups are.
     """
     hashed = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text_of(text_col), 256)).alias("text_hash"))
-    digests = checkpointed(hashed.withColumn("row", F.monotonically_increasing_id()), ROWS_PER_TASK)
+    n = docs.count()
+    digests = checkpointed(hashed.withColumn("row", F.monotonically_increasing_id()), parts_of(n, 10_000))
     seen = possibly_repeated(digests, range_bits)
     alone = seen.where(~F.col("maybe")).select("doc_id", "text_hash", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     again = seen.where("maybe")
-    groups = checkpointed(again.groupBy("text_hash").agg(F.max(F.struct("doc_id", F.negative("row").alias("back"))).alias("top"), F.count(F.lit(1)).alias("group_size")), ROWS_PER_TASK)
-    large = F.col("group_size") * HOT_SHARE >= F.lit(digests.count())
+    groups = checkpointed(again.groupBy("text_hash").agg(F.max(F.struct("doc_id", F.negative("row").alias("back"))).alias("top"), F.count(F.lit(1)).alias("group_size")), parts_of(n))
+    large = F.col("group_size") * HOT_SHARE >= F.lit(n)
     hot = groups.where(large)
     settled = [again.join(F.broadcast(hot), "text_hash"), again.join(F.broadcast(hot.select("text_hash")), "text_hash", "left_anti").join(groups.where(~large), "text_hash")]
     out = alone

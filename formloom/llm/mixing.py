@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formloom.llm.common import WORD, checkpointed, fresh, table, text_of
+from formloom.llm.common import WORD, checkpointed, fresh, parts_of, table, text_of
 
 #: Sources in order take these weights in turn; no target is above CAP times its source's size.
 WEIGHTS, CAP = (1, 2, 3), 3
@@ -19,23 +19,23 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def ranked_sources(sizes: DataFrame) -> DataFrame:
+def ranked_sources(sizes: DataFrame, parts: int | None = None) -> DataFrame:
     """(source, source_size, rank): ranks from 0 by code point, null last, without putting all sources in one task.
 
     Ranges of sources are sorted on their own and the rows of the ranges before are added; only a row for each range
     meets in one task.
     """
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    dealt = checkpointed(sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
+    dealt = checkpointed(sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), parts)
     before = dealt.groupBy("part").count().withColumn("before", F.sum("count").over(Window.orderBy("part")) - F.col("count"))
     place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
     return dealt.withColumn("place", place).join(before.select("part", "before"), "part").select("source", "source_size", (F.col("before") + F.col("place") - 1).alias("rank"))
 
 
-def with_targets(ranked: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+def with_targets(ranked: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, parts: int | None = None) -> DataFrame:
     """Adds target: the total of all sizes shared by weight; what a source can't take is shared again among the rest."""
     weight = F.element_at(F.array(*(F.lit(w) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
-    sources = checkpointed(ranked.withColumn("weight", weight))
+    sources = checkpointed(ranked.withColumn("weight", weight), parts)
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     level, full = 0.0, -1
     while True:  # each round only adds sources that are full, so the level rises to its end in a few rounds
@@ -58,16 +58,17 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, s
     empty texts and repeated rows are rows like any other; empty input gives no rows. Reruns agree.
     """
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sizes = checkpointed(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text_of()).alias("size")).withColumn("key", key), 50_000)
-    ranges = max(MIN_RANGES, 1 << (sizes.count() // ROWS_PER_RANGE).bit_length())
-    targets = with_targets(ranked_sources(sizes), weights, cap).select("source", "source_size", "target")
+    n = docs.count()
+    sizes = checkpointed(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text_of()).alias("size")).withColumn("key", key), parts_of(n, 10_000))
+    ranges = max(MIN_RANGES, 1 << (n // ROWS_PER_RANGE).bit_length())
+    targets = with_targets(ranked_sources(sizes, parts_of(n)), weights, cap, parts_of(n)).select("source", "source_size", "target")
     # Hex digits are random, so equal ranges of their first eight hold about equally many documents of any source.
     spread = sizes.withColumn("range", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(ranges), 32))
     sums = spread.groupBy("source", "range").agg(F.sum("size").alias("words"))
     # Prefix sums in two steps: within groups of ranges, and over the groups' sums, so no task sees all ranges of a source.
     group = F.floor(F.col("range") / F.lit(1 << ((ranges.bit_length() - 1) // 2)))
     before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    grouped = checkpointed(sums.withColumn("group", group))
+    grouped = checkpointed(sums.withColumn("group", group), parts_of(n))
     of_groups = grouped.groupBy("source", "group").agg(F.sum("words").alias("of_group")).withColumn("ahead_group", before("of_group", Window.partitionBy("source").orderBy("group")))
     led = of_groups.join(targets, of_groups.source.eqNullSafe(targets.source)).select(of_groups.source.alias("_source"), F.col("group").alias("_group"), "ahead_group", "source_size", "target")
     inner = grouped.withColumn("ahead", before("words", Window.partitionBy("source", "group").orderBy("range")))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm.common import block_count, checkpointed, from_payloads, mix, packed_blocks, release, releasing, row_key, staying_rows, table, text_hash, text_of, texts_as_bytes, to_payload
+from formloom.llm.common import block_count, checkpointed, from_payloads, mix, packed_blocks, parts_of, release, releasing, row_key, staying_rows, table, text_hash, text_of, texts_as_bytes, to_payload
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of rows: a pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
@@ -32,8 +32,6 @@ DEVIATIONS = 3.5
 PARTNERS = 64
 #: Bytes of text whose signatures are made at once.
 SIGNED_BYTES = 1 << 20
-#: Rows of ids or of signatures that a task reads from a checkpoint, about.
-ID_ROWS, REP_ROWS = 50_000, 10_000
 #: Members of a band that one comparing task takes from either side.
 PIECE = 512
 
@@ -165,13 +163,13 @@ def _dealt(pairs: DataFrame) -> DataFrame:
     return ranged.mapInArrow(runs, "a long, b long, salt long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, parts: int | None = None) -> DataFrame:
     """Of pairs (a, b), those of similarity SIMILARITY or more. texts: (doc_id, text), compressed pieces of texts.
 
     The partners of a text are dealt to groups of at most PARTNERS, so a text with a third of all as partners is worked
     on by many tasks.
     """
-    dealt = checkpointed(_dealt(pairs), ID_ROWS)
+    dealt = checkpointed(_dealt(pairs), parts)
     side_b = dealt.join(texts, dealt.b == texts.doc_id).select("a", "salt", "b", "text")
     heads = dealt.select("a", "salt").distinct()
     side_a = heads.join(texts, heads.a == texts.doc_id).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
@@ -190,25 +188,25 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return side_b.unionByName(side_a).groupBy("a", "salt").applyInArrow(releasing(compare), "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, parts: int | None = None) -> DataFrame:
     """(id, class_id): the smallest id that links lead to, for every id in links (a, b).
 
     Each round every id hooks on to its smallest neighbour and links are renamed; what is left are links between
     different classes. The number of rounds grows with the logarithm of the longest chain; nothing is collected.
     """
-    edges = checkpointed(links.select("a", "b").where("a <> b").distinct(), ID_ROWS)
+    edges = checkpointed(links.select("a", "b").where("a <> b").distinct(), parts)
     labels = None
     while edges.head(1):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to")))
+        hook = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to")), parts)
         if labels is None:
             labels = hook.select(F.col("a").alias("id"), F.col("to").alias("class_id"))
         else:
             labels = labels.join(hook, labels.class_id == hook.a, "left").select("id", F.coalesce("to", "class_id").alias("class_id"))
-        labels = checkpointed(labels)
+        labels = checkpointed(labels, parts)
         to_b = hook.select(F.col("a").alias("b"), F.col("to").alias("to_b"))
         edges = edges.join(hook, "a").join(to_b, "b").where("to <> to_b").select(F.least("to", "to_b").alias("a"), F.greatest("to", "to_b").alias("b")).distinct()
-        edges = checkpointed(edges, ID_ROWS)
+        edges = checkpointed(edges, parts)
     if labels is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("class_id"))
     return labels
@@ -244,31 +242,32 @@ def text_classes(docs: DataFrame, deviations: float | None = DEVIATIONS) -> Data
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), text_of().alias("text"))
     hashed = rows.withColumn("text_hash", text_hash())
     features = hashed.select("doc_id", "text", "text_hash").mapInArrow(_features, "doc_id long, text_hash binary, signature binary, bands array<long>")
+    n = docs.count()
     entries = features.groupBy("text_hash").agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
-    reps = checkpointed(entries.withColumn("rep", F.monotonically_increasing_id()), REP_ROWS)  # fixed by the checkpoint
+    reps = checkpointed(entries.withColumn("rep", F.monotonically_increasing_id()), parts_of(n, 5_000))  # fixed by the checkpoint
 
     members = reps.select(F.explode("bands").alias("band"), "rep")
     counts = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = checkpointed(members.join(counts, "band"), ID_ROWS)
+    shared = checkpointed(members.join(counts, "band"), parts_of(n, 2_000))
     # The text that meets most others, over all its bands, is the likeliest to be near to those it shares a band with.
     central = shared.groupBy("rep").agg(F.sum("n").alias("met"))
     ranked = shared.join(central, "rep").select("band", F.struct("met", F.bitwise_not("rep").alias("back"), "rep").alias("rank"))
     hubs = ranked.groupBy("band").agg(F.max("rank")["rep"].alias("hub"))
     stars = shared.select("band", "rep").join(hubs, "band").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    likely = checkpointed(_estimated(stars, reps, least).select("a", "b"), ID_ROWS)
+    likely = checkpointed(_estimated(stars, reps, least).select("a", "b"), parts_of(n))
     # Texts that may have to be verified: all that share a band and whose band-mates are not ruled out by the estimate.
-    texts = checkpointed(_texts_of(hashed, reps.join(shared.select("rep").distinct(), "rep").select("rep", "first_id", "text_hash")))
+    texts = checkpointed(_texts_of(hashed, reps.join(shared.select("rep").distinct(), "rep").select("rep", "first_id", "text_hash")), parts_of(n, 5_000))
 
-    classes = components(verified(likely, texts))
-    left = checkpointed(_pairs_in_bands(shared, classes, reps, least).join(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), ID_ROWS)
+    classes = components(verified(likely, texts, parts_of(n)), parts_of(n))
+    left = checkpointed(_pairs_in_bands(shared, classes, reps, least).join(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), parts_of(n, 5_000))
     if left.head(1):
         # Links between classes join them: components of the classes, and what a text's class then belongs to.
         named = lambda c: classes.select(F.col("id").alias(c), F.col("class_id").alias(f"of_{c}"))
-        between = verified(left, texts).join(named("a"), "a", "left").join(named("b"), "b", "left")
-        joined = components(between.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+        between = verified(left, texts, parts_of(n, 5_000)).join(named("a"), "a", "left").join(named("b"), "b", "left")
+        joined = components(between.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")), parts_of(n))
         outer = joined.select(F.col("id").alias("of"), F.col("class_id").alias("whole"))
         every = classes.unionByName(joined.join(classes, "id", "left_anti").select("id", F.col("id").alias("class_id")))
-        classes = checkpointed(every.join(outer, every.class_id == outer["of"], "left").select("id", F.coalesce("whole", "class_id").alias("class_id")))
+        classes = checkpointed(every.join(outer, every.class_id == outer["of"], "left").select("id", F.coalesce("whole", "class_id").alias("class_id")), parts_of(n))
 
     first = F.struct(F.col("first_id").alias("class_id"), F.col("text_hash").alias("class_hash"))
     linked = reps.join(classes, F.col("rep") == F.col("id")).select("id", F.col("class_id").alias("class"), first.alias("first"))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formloom.llm.common import block_count, checkpointed, fresh, from_payloads, mix, packed_blocks, releasing, row_key, squeeze, table, text_hash, text_of, texts_as_bytes, unsqueeze
+from formloom.llm.common import block_count, checkpointed, fresh, from_payloads, mix, packed_blocks, parts_of, releasing, row_key, squeeze, table, text_hash, text_of, texts_as_bytes, unsqueeze
 
 #: Characters of an n-gram: UTF-16 code units, so that each takes 16 bits of a 64-bit key and none is folded into another.
 ORDER = 4
@@ -30,8 +30,6 @@ BEGIN = 2
 PIECE_KEYS = 1 << 20
 #: Log probabilities travel as whole multiples of this, in 16 bits.
 LOG_STEP = 1 / 2048
-#: Rows of n-grams that a task reads from a checkpoint, about.
-ROWS_PER_TASK = 50_000
 #: Thresholds are read from counts of perplexities in steps of this much of their logarithm.
 STEP = 1e-4
 
@@ -96,13 +94,13 @@ def _suffix(gram: Column, order: int) -> Column:
     return gram.bitwiseAND(F.lit((1 << (16 * order)) - 1)) if order < ORDER else gram
 
 
-def _orders(counts: DataFrame, models: list[str]) -> dict[int, DataFrame]:
+def _orders(counts: DataFrame, models: list[str], parts: int | None) -> dict[int, DataFrame]:
     """order -> (lang, gram, n of each model): counts of the highest order, continuation counts of those below."""
     n = [f"n{m}" for m in models]
     out = {ORDER: counts.where(F.greatest(*n, F.lit(0)) > 0).select("lang", "gram", *n)}
     for order in range(ORDER - 1, 0, -1):
         seen = [F.sum((F.col(c) > 0).cast("long")).alias(c) for c in n]
-        out[order] = checkpointed(out[order + 1].groupBy("lang", _suffix(F.col("gram"), order).alias("gram")).agg(*seen), ROWS_PER_TASK)
+        out[order] = checkpointed(out[order + 1].groupBy("lang", _suffix(F.col("gram"), order).alias("gram")).agg(*seen), parts)
     return out
 
 
@@ -122,14 +120,14 @@ def _discount(n: Column, m: str) -> Column:
     return F.when(n == 0, 0.0).when(n == 1, F.col(f"d1{m}")).when(n == 2, F.col(f"d2{m}")).otherwise(F.col(f"d3{m}"))
 
 
-def probabilities(counts: DataFrame, models: tuple[str, ...] = ("",)) -> DataFrame:
+def probabilities(counts: DataFrame, models: tuple[str, ...] = ("",), parts: int | None = None) -> DataFrame:
     """(lang, gram, p of each model) for every row of counts (lang, gram, n of each model), also where n is 0: each model's
     probability of the last character after those before it. Columns of a model are n and p with its name behind.
 
     Languages without trusted text have no rows; where one model of a language has none, its p is null.
     """
     models = list(models)
-    by_order = _orders(counts, models)
+    by_order = _orders(counts, models, parts)
     symbols = by_order[1].groupBy("lang").agg(*((F.sum((F.col(f"n{m}") > 0).cast("long")) + 1).alias(f"symbols{m}") for m in models))
     below = None
     for order in range(1, ORDER + 1):
@@ -157,7 +155,7 @@ def probabilities(counts: DataFrame, models: tuple[str, ...] = ("",)) -> DataFra
         kept = [c for c in ("shard",) if c in counts.columns and order == ORDER]
         below = rows.select(*kept, "lang", "gram", *(p(m) for m in models))
         if order < ORDER:
-            below = checkpointed(below, ROWS_PER_TASK)
+            below = checkpointed(below, parts)
     return below
 
 
@@ -261,10 +259,10 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         columns = [rows.column("doc_id"), rows.column("lang"), pa.array(hashes, pa.binary()), pa.array(length), pa.array(model < FOLDS), pa.array(found, mask=np.isnan(found))]
         return pa.table(columns, schema=scored)
 
-    sending = checkpointed(texts.cogroup(ids.groupBy("block")).applyInArrow(releasing(send), "block int, shard int, lang string, value binary"))
+    sending = checkpointed(texts.cogroup(ids.groupBy("block")).applyInArrow(releasing(send), "block int, shard int, lang string, value binary"), blocks)
     numbers = ", ".join(f"n{m} long" for m in models)
-    counts = checkpointed(sending.groupBy("shard", "lang").applyInArrow(releasing(add_up), f"shard int, lang string, gram long, {numbers}"))
-    known = probabilities(counts, models)
+    counts = checkpointed(sending.groupBy("shard", "lang").applyInArrow(releasing(add_up), f"shard int, lang string, gram long, {numbers}"), shards)
+    known = probabilities(counts, models, shards)
     back = sending.groupBy("shard", "lang").cogroup(known.groupBy("shard", "lang")).applyInArrow(releasing(answer), "block int, shard int, lang string, value binary")
     marks = ids.select("block", F.lit(-1).alias("shard"), F.lit("").alias("lang"), F.encode(F.col("doc_id").cast("string"), "UTF-8").alias("value"))
     return texts.cogroup(back.unionByName(marks).groupBy("block")).applyInArrow(releasing(score), "doc_id long, lang string, text_hash binary, text_length long, trusted boolean, perplexity double")
@@ -291,7 +289,7 @@ def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -
     so what is counted grows with the corpus. Other columns aren't read; an empty table gives an empty result.
     """
     trusted = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id").distinct()
-    scored = checkpointed(perplexities(docs, trusted), 50_000)
+    scored = checkpointed(perplexities(docs, trusted), parts_of(docs.count(), 5_000))
     limits = quantiles(scored.where("trusted AND perplexity IS NOT NULL").select("lang", F.col("perplexity").alias("value")), quantile)
     out = scored.join(F.broadcast(limits), "lang", "left")  # a row for each language
     return out.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
