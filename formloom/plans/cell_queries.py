@@ -60,7 +60,7 @@ SLOTS = f"""WITH k AS (SELECT *, lag(text) OVER (PARTITION BY tbl, row ORDER BY
   f AS (SELECT tbl, row, col, west AS label, 'label_right' AS kind, 1 AS p FROM k WHERE blank AND west_label UNION ALL SELECT tbl, row, col, north, 'label_below', 2 FROM k WHERE blank AND north_label UNION ALL SELECT tbl, row, col, head, 'known_header', 3 FROM k WHERE blank AND head IS NOT NULL
     UNION ALL SELECT tbl, row, col, west, 'status', 4 FROM k WHERE text = 'done' UNION ALL SELECT tbl, row + 1, col, top, 'append_row', 5 FROM e WHERE open = 0),
   o AS (SELECT tbl, row, col, arg_min(label, p) AS label, arg_min(kind, p) AS kind FROM (SELECT *, row_number() OVER (PARTITION BY tbl, row, col ORDER BY p) AS q FROM f) WHERE q = 1 GROUP BY ALL)
-  SELECT tbl, row, col, label, kind, round(least(0.95, CASE kind WHEN 'label_right' THEN 0.85 WHEN 'label_below' THEN 0.75 WHEN 'known_header' THEN 0.7 WHEN 'status' THEN 0.6 ELSE 0.5 END + CASE WHEN length(label) <= 6 THEN 0.05 ELSE 0 END), 4) AS confidence FROM o"""
+  SELECT tbl, row, col, label, kind, round(least(0.95::DOUBLE, CASE kind WHEN 'label_right' THEN 0.85 WHEN 'label_below' THEN 0.75 WHEN 'known_header' THEN 0.7 WHEN 'status' THEN 0.6 ELSE 0.5 END + CASE WHEN length(label) <= 6 THEN 0.05 ELSE 0 END), 4) AS confidence FROM o"""
 
 
 def slots(spark: SparkSession, d: str) -> DataFrame:

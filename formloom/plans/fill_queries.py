@@ -79,11 +79,11 @@ def decision_errors(spark, d):
     return checked.select("item", said.alias("decision"), "decided_by", F.size("errors").alias("errors"))
 
 
-@query("""SELECT p_brand AS label, list_sort(list(DISTINCT p_type)) AS semantics, count(DISTINCT p_type)::INT AS n FROM part WHERE p_size > 45 GROUP BY p_brand HAVING count(DISTINCT p_type) > 1""")
+@query("""SELECT p_brand AS label, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS semantics, count(DISTINCT p_type)::INT AS n FROM part WHERE p_size > 45 GROUP BY p_brand HAVING count(DISTINCT p_type) > 1""")
 def approved_conflicts(spark, d):
     """Labels that were approved for more than one meaning."""
     rows = t(spark, d, "part").select(F.col("p_brand").alias("label"), F.col("p_type").alias("semantic"), F.when(F.col("p_size") > 45, "APPROVED").otherwise("HELD").alias("decision"))
-    return L.semantic_conflicts(rows).withColumn("n", F.size("semantics"))
+    return L.semantic_conflicts(rows).select("label", F.array_join("semantics", ",").alias("semantics"), F.size("semantics").alias("n"))
 
 
 @query("""SELECT coalesce(nullif(o_orderstatus, 'P'), 'pending') AS status, count(*) AS n, round(count(*) / (SELECT count(*) FROM orders), 6) AS share, round(sum(o_totalprice), 2) AS o_totalprice FROM orders GROUP BY ALL""")
@@ -149,14 +149,14 @@ def table_upsert(spark, d):
     return K.upsert_table(spark, folder, rows.where("o_orderkey % 10 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus"), F.lit(2).alias("version"), F.lit("late").alias("note")), ["o_orderkey"], "version")
 
 
-@query("""SELECT c_custkey, c_name, ['a', c_mktsegment] AS tags FROM customer UNION ALL SELECT -c_custkey, c_name, ['a', c_mktsegment] FROM customer WHERE c_nationkey = 1""")
+@query("""SELECT c_custkey, c_name, 'a,' || c_mktsegment AS tags FROM customer UNION ALL SELECT -c_custkey, c_name, 'a,' || c_mktsegment FROM customer WHERE c_nationkey = 1""")
 def jsonl_log(spark, d):
     """JSON lines written, appended to and read back."""
     path = f"{S.stream_folder(spark)}/log"
     rows = t(spark, d, "customer").select("c_custkey", "c_name", F.array(F.lit("a"), "c_mktsegment").alias("tags"))
     K.write_jsonl(rows, path)
     K.append_events(rows.join(t(spark, d, "customer").where("c_nationkey = 1").select("c_custkey"), "c_custkey").withColumn("c_custkey", -F.col("c_custkey")), path, "c_name")
-    return spark.read.schema("c_custkey long, c_name string, tags array<string>").json(path)
+    return spark.read.schema("c_custkey long, c_name string, tags array<string>").json(path).withColumn("tags", F.array_join("tags", ","))
 
 
 @query("""SELECT p_partkey, p_name || chr(10) || '"x", y' AS text, '["' || p_brand || '",1]' AS nested FROM part""")

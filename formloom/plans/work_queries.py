@@ -20,10 +20,11 @@ def failed_patterns(spark, d):
     return t(spark, d, "events").where("event_type = 'error'").groupBy("user_id").agg(F.count(F.lit(1)).alias("blocked"), F.min("event_id").alias("first_id"))
 
 
-@query("SELECT l_partkey, list_sort(list(DISTINCT l_orderkey))[1:3] AS examples FROM lineitem GROUP BY l_partkey")
+@query("SELECT l_partkey, array_to_string(list_sort(list(DISTINCT l_orderkey))[1:3], ',') AS examples FROM lineitem GROUP BY l_partkey")
 def example_documents(spark, d):
     """The first three documents of each item."""
-    return W.examples(t(spark, d, "lineitem"), "l_partkey", "l_orderkey", 3)
+    found = W.examples(t(spark, d, "lineitem"), "l_partkey", "l_orderkey", 3)
+    return found.select("l_partkey", F.array_join(F.transform("examples", lambda x: x.cast("string")), ",").alias("examples"))
 
 
 @query("""WITH k AS (SELECT o_orderkey % 3 AS k, o_orderdate FROM orders) SELECT CASE k WHEN 0 THEN 'DATE' WHEN 1 THEN 'YES_NO' ELSE 'TEXT' END AS kind, CASE k WHEN 0 THEN 'NORMALISED' WHEN 1 THEN 'UNPARSED' ELSE 'NORMALISED' END AS status, count(*) AS n FROM k GROUP BY ALL""")
