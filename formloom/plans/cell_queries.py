@@ -124,10 +124,10 @@ def schedule_bar_kinds(spark, d):
 
 
 @query("""WITH a AS (SELECT l_orderkey AS tbl, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey) - 1 AS col, l_shipdate::DATE AS day FROM lineitem), s AS (SELECT o_orderkey AS tbl, o_orderdate::DATE AS s, o_orderdate::DATE + 60 AS e FROM orders)
-  SELECT s.tbl, s.s AS from_day, s.e AS to_day, min(CASE WHEN day BETWEEN s.s AND s.e THEN col END) AS start_col, max(CASE WHEN day BETWEEN s.s AND s.e THEN col END) AS end_col FROM s LEFT JOIN a ON a.tbl = s.tbl GROUP BY ALL""")
+  SELECT s.tbl, s.s::VARCHAR AS from_day, s.e::VARCHAR AS to_day, min(CASE WHEN day BETWEEN s.s AND s.e THEN col END) AS start_col, max(CASE WHEN day BETWEEN s.s AND s.e THEN col END) AS end_col FROM s LEFT JOIN a ON a.tbl = s.tbl GROUP BY ALL""")
 def spans_on_axis(spark, d):
     """The columns of a table's axis that a span of days takes."""
     order = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey")
     axis = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("tbl"), (F.row_number().over(order) - 1).alias("col"), F.to_date("l_shipdate").alias("day"))
     spans = t(spark, d, "orders").select(F.col("o_orderkey").alias("tbl"), F.to_date("o_orderdate").alias("start"), F.date_add(F.to_date("o_orderdate"), 60).alias("end"))
-    return C.columns_of_spans(axis, spans, BY).withColumnsRenamed({"start": "from_day", "end": "to_day"})
+    return C.columns_of_spans(axis, spans, BY).select("tbl", F.col("start").cast("string").alias("from_day"), F.col("end").cast("string").alias("to_day"), "start_col", "end_col")

@@ -32,24 +32,24 @@ def date_formats(spark, d):
 
 @query("""WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS s, (o_orderdate::DATE + (o_orderkey % 75)::INT) AS e FROM orders),
   m AS (SELECT o_orderkey, s, e, unnest(generate_series(date_trunc('month', s), date_trunc('month', e), INTERVAL 1 MONTH))::DATE AS month FROM o)
-  SELECT month, count(*) AS items, sum(date_diff('day', greatest(s, month), least(e, last_day(month))) + 1)::BIGINT AS days FROM m GROUP BY month""")
+  SELECT month::VARCHAR AS month, count(*) AS items, sum(date_diff('day', greatest(s, month), least(e, last_day(month))) + 1)::BIGINT AS days FROM m GROUP BY month""")
 def monthly_calendar(spark, d):
     """Days that spans have in each month: every span meets only its own months."""
     day = F.to_date("o_orderdate")
     spans = t(spark, d, "orders").select(day.alias("s"), F.date_add(day, (F.col("o_orderkey") % 75).cast("int")).alias("e"))
     count = F.floor(F.months_between(F.trunc("e", "month"), F.trunc("s", "month"))).cast("int") + 1
     each = spans.select("s", "e", F.explode(D.month_starts(F.col("s"), count)).alias("month"))
-    return each.groupBy("month").agg(F.count(F.lit(1)).alias("items"), F.sum(D.shared_days(F.col("s"), F.col("e"), F.col("month"), D.month_end(F.col("month")))).alias("days"))
+    return each.groupBy("month").agg(F.count(F.lit(1)).alias("items"), F.sum(D.shared_days(F.col("s"), F.col("e"), F.col("month"), D.month_end(F.col("month")))).alias("days")).withColumn("month", F.col("month").cast("string"))
 
 
 @query("""WITH o AS (SELECT o_orderpriority, o_orderdate::DATE AS s, (o_orderdate::DATE + (o_orderkey % 5)::INT) AS e FROM orders), e AS (SELECT o_orderpriority, unnest(generate_series(s, e, INTERVAL 1 DAY))::DATE AS day FROM o)
-  SELECT o_orderpriority, day, count(*) AS active FROM e WHERE day BETWEEN DATE '1995-03-01' AND DATE '1995-03-31' GROUP BY ALL""")
+  SELECT o_orderpriority, day::VARCHAR AS day, count(*) AS active FROM e WHERE day BETWEEN DATE '1995-03-01' AND DATE '1995-03-31' GROUP BY ALL""")
 def daily_calendar(spark, d):
     """How many items of a group are at work on each day of a month."""
     day = F.to_date("o_orderdate")
     spans = t(spark, d, "orders").select("o_orderpriority", day.alias("s"), F.date_add(day, (F.col("o_orderkey") % 5).cast("int")).alias("e")).where("e >= DATE'1995-03-01' AND s <= DATE'1995-03-31'")
     each = spans.select("o_orderpriority", F.explode(F.sequence("s", "e")).alias("day")).where("day BETWEEN DATE'1995-03-01' AND DATE'1995-03-31'")
-    return each.groupBy("o_orderpriority", "day").agg(F.count(F.lit(1)).alias("active"))
+    return each.groupBy("o_orderpriority", F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("active"))
 
 
 @query("""SELECT p_partkey, i AS place, [p_brand, p_type, p_name][i::INT] AS item FROM part, (SELECT unnest([1, 2, 3]) AS i)""")

@@ -76,11 +76,11 @@ def work_chunks(spark, d):
     return W.chunks(t(spark, d, "orders"), "o_orderkey", 1000)
 
 
-@query("""WITH c AS (SELECT date_trunc('month', ts)::DATE AS cycle, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) AS failed FROM events GROUP BY cycle)
+@query("""WITH c AS (SELECT strftime(ts, '%Y-%m') AS cycle, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) AS failed FROM events GROUP BY cycle)
   SELECT *, sum(n) OVER (ORDER BY cycle)::BIGINT AS total_n, sum(failed) OVER (ORDER BY cycle)::BIGINT AS total_failed FROM c""")
 def cycle_report(spark, d):
     """Counts of each cycle with the totals so far."""
-    cycles = t(spark, d, "events").groupBy(F.to_date(F.date_trunc("month", "ts")).alias("cycle")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("event_type") == "error", 1)).alias("failed"))
+    cycles = t(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM").alias("cycle")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("event_type") == "error", 1)).alias("failed"))
     return W.running_totals(cycles, "cycle", "n", "failed")
 
 
