@@ -259,7 +259,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         columns = [rows.column("doc_id"), rows.column("lang"), pa.array(hashes, pa.binary()), pa.array(length), pa.array(model < FOLDS), pa.array(found, mask=np.isnan(found))]
         return pa.table(columns, schema=scored)
 
-    sending = checkpointed(texts.cogroup(ids.groupBy("block")).applyInArrow(releasing(send), "block int, shard int, lang string, value binary"), blocks)
+    # What is sent is made again for the answers, from the same exchange of texts, rather than kept on disk in between.
+    sending = texts.cogroup(ids.groupBy("block")).applyInArrow(releasing(send), "block int, shard int, lang string, value binary")
     numbers = ", ".join(f"n{m} long" for m in models)
     counts = checkpointed(sending.groupBy("shard", "lang").applyInArrow(releasing(add_up), f"shard int, lang string, gram long, {numbers}"), shards)
     known = probabilities(counts, models, shards)
