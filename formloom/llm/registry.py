@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from formloom.llm import bpe, chat, exact, fingerprint, licence, mixing, near, quality, substring
+from formloom.llm import audit, bpe, chat, exact, fingerprint, importance, licence, mixing, near, quality, substring
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
@@ -15,5 +15,13 @@ QUERIES = {
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_near_dedup": near.op9_near_dedup,
     "op10_quality": quality.op10_quality,
+    "op12_importance": importance.op12_importance,
+    "op13_filter_audit": audit.op13_filter_audit,
+}
+ORACLES = {
+    "op4_mixing": mixing.OP4_SQL,
+    "op5_chat_format": chat.OP5_SQL,
+    "op8_exact_dedup": exact.OP8_SQL,
+    "op12_importance": importance.OP12_SQL,
+    "op13_filter_audit": audit.OP13_SQL,
 }
-ORACLES = {"op4_mixing": mixing.OP4_SQL, "op5_chat_format": chat.OP5_SQL, "op8_exact_dedup": exact.OP8_SQL}
