@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from formloom.llm import audit, bpe, chat, exact, fingerprint, importance, licence, mixing, near, quality, substring
+from formloom.llm import audit, bpe, chat, exact, fingerprint, hmm, importance, licence, mixing, near, quality, substring
 
 QUERIES = {
     "op1_fingerprints": fingerprint.op1_fingerprints,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_near_dedup": near.op9_near_dedup,
     "op10_quality": quality.op10_quality,
+    "op11_lm_scoring": hmm.op11_lm_scoring,
     "op12_importance": importance.op12_importance,
     "op13_filter_audit": audit.op13_filter_audit,
 }
