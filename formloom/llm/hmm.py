@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm.common import block_count, checkpointed, from_payloads, packed_blocks, release, releasing, shard_cuts, squeeze, table, text_of, texts_as_bytes, unsqueeze
+from formloom.llm.common import block_count, checkpointed, from_payloads, mix, packed_blocks, release, releasing, shard_cuts, squeeze, table, text_of, texts_as_bytes, unsqueeze
 
 #: Hidden states, word classes, rounds of Baum-Welch.
 STATES, CLASSES, ROUNDS = 8, 65_000, 4
@@ -32,11 +32,15 @@ DISCOUNT, PRIOR = 0.6, 50.0
 SEEDS, LEAN, STAY = 256, 20.0, 0.9
 #: Every fold-th part of documents is held out: those whose id, as text, has this remainder of its crc32.
 FOLDS, HELD_OUT = 5, 1
-#: Blocks that a task works through in each round; pieces in which counts are added up; words and bytes handled at a time.
-BLOCKS_PER_TASK, PIECES, WORDS_HELD, SLICE = 8, 16, 500_000, 4 << 20
+#: Code points of text of a block, about; blocks that a task works through in each round; pieces in which counts are added up;
+#: bytes that are cut into words at a time.
+CHARS, BLOCKS_PER_TASK, PIECES, SLICE = 10_000_000, 5, 16, 2 << 20
 #: A-Z in lower case, the six white-space characters as spaces.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
-#: The name of the end of a text; no word is empty.
+#: A number for each byte, an odd base and its inverse modulo 2^64, of which words' names are made; the name of a text's end.
+BYTE_NAMES = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
+BASE = xxhash.xxh3_64_intdigest(b"base") | 1
+BASE, INVERSE = np.uint64(BASE), np.uint64(pow(BASE, -1, 1 << 64))
 END_NAME = np.uint64(xxhash.xxh3_64_intdigest(b""))
 
 
@@ -52,30 +56,51 @@ class Totals(NamedTuple):
     types: np.ndarray  #: distinct training tokens of each class
 
 
+def word_names(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit names of the words between spaces, where each begins). A word's name is a polynomial of its bytes, modulo 2^64, as
+    the difference of two prefix sums, mixed with its length."""
+    inside = code != 32
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    begin, end = edges[::2], edges[1::2]
+    base = np.full(len(code), BASE)
+    base[:1] = 1
+    upto = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(BYTE_NAMES[code] * np.cumprod(base), out=upto[1:])
+    base[1:] = INVERSE
+    return mix((upto[end] - upto[begin]) * np.cumprod(base)[begin], (end - begin).astype(np.uint64)), begin
+
+
 def token_names(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit names of all texts' tokens one after another, each text's number of tokens); a text ends with END_NAME."""
-    names, held, sizes = [], [], []
+    names, sizes, held, of = [np.zeros(0, np.uint64)], [], [], []
 
     def flush() -> None:
-        coded = pa.array(held, pa.binary()).dictionary_encode()
-        own = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-        names.append(own[coded.indices.to_numpy()])
-        held.clear()
+        found, begin = word_names(np.frombuffer(b" ".join([*held, b""]), np.uint8))
+        names.append(found)
+        for text, n in zip(of, np.diff(np.searchsorted(begin, np.cumsum([0, *(len(x) + 1 for x in held)]))).tolist()):
+            sizes[text] += n
+        held.clear(), of.clear()
 
+    size = 0
     for text in texts:
-        text, at, n = text.translate(LOWER), 0, 1
-        while at < len(text):
+        text, at = text.translate(LOWER), 0
+        sizes.append(0)
+        while at < len(text):  # a long text is cut at spaces
             upto = text.find(b" ", at + SLICE) if len(text) - at > SLICE else -1
             upto = upto if upto >= 0 else len(text)
-            words = text[at:upto].split()
-            n, at = n + len(words), upto
-            held += words
-            if len(held) >= WORDS_HELD:
+            held.append(text[at:upto]), of.append(len(sizes) - 1)
+            size, at = size + upto - at, upto
+            if size >= SLICE:
                 flush()
-        held.append(b"")
-        sizes.append(n)
-    flush()
-    return np.concatenate(names), np.array(sizes, np.int64)
+                size = 0
+    if held:
+        flush()
+    sizes = np.array(sizes, np.int64) + 1
+    out = np.full(int(sizes.sum()), END_NAME)
+    word = np.ones(len(out), bool)
+    word[np.cumsum(sizes) - 1] = False
+    out[word] = np.concatenate(names)
+    return out, sizes
 
 
 def _distinct(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,7 +121,7 @@ def encoded(docs: DataFrame) -> DataFrame:
     docs: doc_id, text, held_out. Each block sends its distinct words to shards once; a shard adds up their counts in training
     text and answers every block.
     """
-    blocks = block_count(docs)
+    blocks = block_count(docs, chars=CHARS)
     shards = max(16, math.ceil(blocks / 2))
     texts = packed_blocks(docs, blocks, level=6).groupBy("block")
 
@@ -249,18 +274,21 @@ def time_major(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin[step] + np.repeat(rank, sizes), rank, reach
 
 
-def forward(emitted: np.ndarray, reach: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(alpha, scale) of texts laid out by time_major(): emitted (tokens, states) holds each token's probability in each state.
-    A text's likelihood is the product of its tokens' scales; alpha rows add up to 1."""
-    alpha, scale = np.empty_like(emitted), np.empty(len(emitted), emitted.dtype)
-    before = lo = 0
+def forward(emitted: np.ndarray, reach: np.ndarray, start: np.ndarray, move: np.ndarray, alpha: np.ndarray | None = None) -> np.ndarray:
+    """Scale of each token of texts laid out by time_major(): emitted (tokens, states) holds each token's probability in each
+    state. A text's likelihood is the product of its tokens' scales. alpha, if given, gets the states' probabilities at each token."""
+    scale = np.empty(len(emitted), emitted.dtype)
+    a, lo = np.empty((0, len(start)), emitted.dtype), 0
     for step, n in enumerate(reach.tolist()):
-        a = emitted[lo : lo + n] * (alpha[before : before + n] @ move if step else start)
+        hi = lo + n
+        a = emitted[lo:hi] * (a[:n] @ move if step else start)
         s = a.sum(1)
-        np.divide(a, s[:, None], out=alpha[lo : lo + n])
-        scale[lo : lo + n] = s
-        before, lo = lo, lo + n
-    return alpha, scale
+        a /= s[:, None]
+        scale[lo:hi] = s
+        if alpha is not None:
+            alpha[lo:hi] = a
+        lo = hi
+    return scale
 
 
 def expectations(classes: np.ndarray, sizes: np.ndarray, model: Model) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
@@ -273,7 +301,8 @@ def expectations(classes: np.ndarray, sizes: np.ndarray, model: Model) -> tuple[
     token[place] = classes
     start, move, emit = (x.astype(np.float32) for x in model[:3])
     emitted = emit[token]
-    alpha, scale = forward(emitted, reach, start, move)
+    alpha = np.empty_like(emitted)
+    scale = forward(emitted, reach, start, move, alpha)
     weight = emitted / scale[:, None]  # becomes the weight of what follows each token
     beta = np.ones_like(alpha)
     hi = len(token)
@@ -314,7 +343,7 @@ def text_scores(classes: np.ndarray, sizes: np.ndarray, within: np.ndarray, mode
     place, rank, reach = time_major(sizes)
     token = np.empty(len(classes), np.int64)
     token[place] = classes
-    scale = forward((model.emit / model.spread[:, None])[token], reach, model.start, model.move)[1]
+    scale = forward((model.emit / model.spread[:, None])[token], reach, model.start, model.move)
     return np.add.reduceat(np.log10(scale)[place], np.cumsum(sizes) - sizes) + within
 
 
@@ -329,7 +358,7 @@ def scored(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataF
     """
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.crc32(name) % FOLDS == HELD_OUT).alias("held_out"), text_of().alias("text"))
-    blocks = checkpointed(encoded(rows), math.ceil(block_count(rows) / BLOCKS_PER_TASK))
+    blocks = checkpointed(encoded(rows), math.ceil(block_count(rows, chars=CHARS) / BLOCKS_PER_TASK))
     known = totals(blocks)
     model, _ = trained(blocks, known, states, rounds)
     n, kinds = int(known.counts.sum()), int(known.types.sum())
