@@ -49,11 +49,14 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 
 
 def layout_of(df: DataFrame) -> str:
-    """The layout whose paths hash like the recognised paths of df; other columns don't count."""
-    found = [p for p in field_paths(df.schema) if p in KNOWN_PATHS]
-    if (key := path_hash(found)) not in BY_HASH:
-        raise ValueError(f"no layout has the fields {', '.join(found) or '(none)'}")
-    return BY_HASH[key]
+    """The layout with most paths of those whose paths df has, by the hash of these paths; other columns don't count, whatever
+    their names. Two layouts with as many paths are an error, and so is none: then the layout has to be named."""
+    found = set(field_paths(df.schema))
+    fits = [paths for paths, _ in LAYOUTS.values() if found.issuperset(paths)]
+    largest = [paths for paths in fits if len(paths) == max(map(len, fits))]
+    if len(largest) != 1:
+        raise ValueError(f"{'more than one' if largest else 'no'} layout has the fields {', '.join(sorted(found.intersection(KNOWN_PATHS))) or '(none)'}")
+    return BY_HASH[path_hash(largest[0])]
 
 
 def _turn(role: Column, text: Column, turn: Column) -> Column:
@@ -89,10 +92,11 @@ def canonical_turns(df: DataFrame, conv_id: str = "conv_id", layout: str | None
 def json_turns(df: DataFrame, conv_id: str = "conv_id", record: str = "record") -> DataFrame:
     """canonical_turns() of a column of JSON records whose layouts differ from row to row.
 
-    Each record's fingerprint is the hash of the known paths that it fills; records that no layout fits, malformed ones
-    among them, give no turns and can be found with fingerprints_of_json().
+    Each record's fingerprint is the hash of the paths of the largest layout that it fills; records that no layout fits, or two
+    of one size, malformed ones among them, give no turns and can be found with fingerprints_of_json(). Other columns of df don't
+    count, and an empty table gives no turns.
     """
-    marked = fingerprints_of_json(df, record).withColumn("_id", F.col(conv_id))
+    marked = fingerprints_of_json(df.select(F.col(conv_id).alias("_id"), F.col(record).alias("_record")), "_record")
     out = None
     for name, (_, rule) in LAYOUTS.items():
         if rule[0] == "rows":
@@ -104,7 +108,8 @@ def json_turns(df: DataFrame, conv_id: str = "conv_id", record: str = "record")
 
 
 def fingerprints_of_json(df: DataFrame, record: str = "record") -> DataFrame:
-    """df with parsed (the known fields), schema_hash and layout (null where no layout has this hash)."""
+    """df with parsed (the known fields), schema_hash (of the paths of the largest layout that the record fills) and layout; both
+    null where it fills none, or two of one size. Columns of df with these three names are replaced."""
     plain = sorted({p for p in KNOWN_PATHS if "[]" not in p} - {"role", "text", "turn"})
     fields = [T.StructField(p, T.StringType()) for p in plain]
     for array in sorted({p.split("[]")[0] for p in KNOWN_PATHS if "[]" in p}):
@@ -113,9 +118,14 @@ def fingerprints_of_json(df: DataFrame, record: str = "record") -> DataFrame:
     parsed = F.from_json(F.col(record), T.StructType(fields))
     there = [F.when(F.col("parsed")[p].isNotNull(), F.lit(p)) for p in plain]
     there += [F.when(F.exists(F.col("parsed")[array], _has(field)), F.lit(f"{array}[].{field}")) for array, field in (p.split("[].") for p in KNOWN_PATHS if "[]" in p)]
-    key = F.sha2(F.array_join(F.array_sort(F.array_compact(F.array(*there))), "\n"), 256)
+    filled = F.array_compact(F.array(*there))
+    fits = F.lit(None).cast("string")
+    for size in sorted({len(paths) for paths, _ in LAYOUTS.values()}):  # larger layouts are asked first
+        own = [F.when(F.size(F.array_except(F.array(*map(F.lit, paths)), filled)) == 0, F.lit(path_hash(paths))) for paths, _ in LAYOUTS.values() if len(paths) == size]
+        found = F.array_compact(F.array(*own))
+        fits = F.when(F.size(found) == 1, found[0]).when(F.size(found) == 0, fits)
     names = F.create_map(*(F.lit(x) for kv in BY_HASH.items() for x in kv))
-    return df.withColumn("parsed", parsed).withColumn("schema_hash", key).withColumn("layout", F.try_element_at(names, F.col("schema_hash")))
+    return df.withColumn("parsed", parsed).withColumn("schema_hash", fits).withColumn("layout", F.try_element_at(names, F.col("schema_hash")))
 
 
 def _has(field: str):

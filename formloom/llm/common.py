@@ -7,6 +7,7 @@ import inspect
 import math
 import struct
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +54,15 @@ def checkpointed(df: DataFrame, parts: int | None = None) -> DataFrame:
     return (df.coalesce(max(LEAST_TASKS, parts)) if parts else df).checkpoint(eager=True)
 
 
+def written(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """df written as a table in the shared checkpoint folder and read from there: unlike a checkpoint it has the sizes of its files,
+    so that what is joined to it again and again is planned by them. parts: as in checkpointed()."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    (df.coalesce(max(LEAST_TASKS, parts)) if parts else df).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def parts_of(rows: int, rows_per_task: int = 50_000) -> int:
     """Tasks for a table of so many rows of ids."""
     return max(1, math.ceil(rows / rows_per_task))

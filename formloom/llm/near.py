@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm.common import block_count, checkpointed, from_payloads, mix, packed_blocks, parts_of, release, releasing, row_key, staying_rows, table, text_hash, text_of, texts_as_bytes, to_payload
+from formloom.llm.common import block_count, checkpointed, from_payloads, mix, packed_blocks, parts_of, release, releasing, row_key, staying_rows, table, text_hash, text_of, texts_as_bytes, to_payload, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of rows: a pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
@@ -191,22 +191,26 @@ def verified(pairs: DataFrame, texts: DataFrame, parts: int | None = None) -> Da
 def components(links: DataFrame, parts: int | None = None) -> DataFrame:
     """(id, class_id): the smallest id that links lead to, for every id in links (a, b).
 
-    Each round every id hooks on to its smallest neighbour and links are renamed; what is left are links between
-    different classes. The number of rounds grows with the logarithm of the longest chain; nothing is collected.
+    In each round every id hooks on to its smallest neighbour; ids then jump to where their target points until all point to the
+    end of their tree, which takes as many steps as the logarithm of the tree's height; links are renamed, and what is left are
+    links between different trees, at most half as many trees as ids before. Nothing is collected. Each step is written as a
+    table and read again, so that no plan grows with the rounds and estimates of sizes are those of the files.
     """
-    edges = checkpointed(links.select("a", "b").where("a <> b").distinct(), parts)
+    edges = written(links.select("a", "b").where("a <> b").distinct(), parts)
     labels = None
     while edges.head(1):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to")), parts)
+        hook = written(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to"), F.lit(True).alias("moved")), parts)
+        while hook.where("moved").head(1):
+            after = hook.select(F.col("a").alias("to"), F.col("to").alias("then"))
+            hook = written(hook.join(after, "to").select("a", F.col("then").alias("to"), (F.col("then") < F.col("to")).alias("moved")), parts)
+        to = hook.select("a", "to")
         if labels is None:
-            labels = hook.select(F.col("a").alias("id"), F.col("to").alias("class_id"))
+            labels = to.select(F.col("a").alias("id"), F.col("to").alias("class_id"))
         else:
-            labels = labels.join(hook, labels.class_id == hook.a, "left").select("id", F.coalesce("to", "class_id").alias("class_id"))
-        labels = checkpointed(labels, parts)
-        to_b = hook.select(F.col("a").alias("b"), F.col("to").alias("to_b"))
-        edges = edges.join(hook, "a").join(to_b, "b").where("to <> to_b").select(F.least("to", "to_b").alias("a"), F.greatest("to", "to_b").alias("b")).distinct()
-        edges = checkpointed(edges, parts)
+            labels = written(labels.join(to, labels.class_id == to.a, "left").select("id", F.coalesce("to", "class_id").alias("class_id")), parts)
+        to_b = to.select(F.col("a").alias("b"), F.col("to").alias("to_b"))
+        edges = written(edges.join(to, "a").join(to_b, "b").where("to <> to_b").select(F.least("to", "to_b").alias("a"), F.greatest("to", "to_b").alias("b")).distinct(), parts)
     if labels is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("class_id"))
     return labels
@@ -278,16 +282,17 @@ def text_classes(docs: DataFrame, deviations: float | None = DEVIATIONS) -> Data
     return hashed.select("doc_id", "text_hash").join(found, "text_hash").select(real("doc_id", "doc_id"), "text_hash", real("first_id", "rep_id"), real("head.class_id", "class_id"), "head.class_hash")
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
+def near_classes(docs: DataFrame, deviations: float | None = DEVIATIONS) -> DataFrame:
     """(doc_id, rep_id, class_id, class_hash), one row per input row: classes are the components of links of SIMILARITY or
     more.
 
     rep_id is the smallest doc_id with the same text, class_id the smallest of the class. Null and empty texts are one
     class; null ids are smallest. Rows that share a doc_id, or have none, are documents of their own if their texts differ:
     where two classes so come to the same class_id, class_hash (hexadecimal, of the class's first text) tells them apart.
+    deviations: as in least_estimate(); None verifies every pair that shares a band.
     Other columns aren't read; an empty table gives an empty result.
     """
-    return text_classes(docs).select("doc_id", "rep_id", "class_id", F.lower(F.hex("class_hash")).alias("class_hash"))
+    return text_classes(docs, deviations).select("doc_id", "rep_id", "class_id", F.lower(F.hex("class_hash")).alias("class_hash"))
 
 
 def _texts_of(hashed: DataFrame, wanted: DataFrame) -> DataFrame:
