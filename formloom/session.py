@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -42,3 +43,17 @@ def ship(spark: SparkSession) -> None:
             out.write(file, file.relative_to(package.parent))
     context.addPyFile(str(archive))
     context._formloom_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which the session's checkpoints use too; local sessions without one get a temporary
+    one, other masters are refused."""
+    context = spark.sparkContext
+    shared = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "")
+    if not shared:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="formloom-shared-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared)
+    return f"{shared}/{uuid.uuid4().hex}"

@@ -85,6 +85,12 @@ def generations(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(p.getName().split("=")[1]) for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
+def finish_generation(spark: SparkSession, folder: str) -> None:
+    """Marks a generation of several tables as whole; readers that list generations see it from then on."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
+    mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(mark, True).close()
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/generation={generations(spark, path)[-1]}")
 
