@@ -1,13 +1,14 @@
-"""Queries on state that is kept: a quota gate over a stream, and a table merged by touched buckets."""
+"""Queries on state that is kept: a quota gate over a stream, a table merged by touched buckets, tables of a catalog."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.plans.queries import query, t
+from formloom.plans.queries import LINES, labels, query, t
 from formloom.session import shared_folder
 from formloom.sinks import buckets as K
+from formloom.sinks import catalog as C
 from formloom.streaming import quota as Q
 
 PLANS = "CASE user_id % 4 WHEN 0 THEN 'free' WHEN 1 THEN 'pro' WHEN 2 THEN 'enterprise' ELSE 'other' END"
@@ -52,3 +53,29 @@ def bucketed_merge(spark, d):
     K.merge_touched(spark, path, changed, ["o_orderkey"], "version")
     K.clean_versions(spark, path, 1)
     return K.read_version(spark, path)
+
+
+def catalog(spark: SparkSession, d: str) -> str:
+    """A new catalog with the labels of all documents, and decisions on some of them."""
+    db = f"formloom_{shared_folder(spark).rsplit('/', 1)[-1]}"
+    C.migrate(spark, db, shared_folder(spark), 8)
+    lines = labels(spark, d)
+    C.put(spark, db, "label_occurrences", lines.select(F.col("doc_id").cast("string").alias("document_id"), F.col("label").alias("normalized_label")))
+    decided = lines.where("length(label) < 12").select(F.col("label").alias("normalized_label")).distinct()
+    status = F.when(F.length("normalized_label") % 2 == 0, "APPROVED").otherwise("HELD")
+    C.put(spark, db, "human_label_decisions", decided.select("normalized_label", F.lit("FREE_TEXT").alias("semantic_type"), status.alias("decision_status")))
+    return db
+
+
+@query(f"SELECT label AS normalized_label, count(*) AS occurrence_count, count(DISTINCT doc_id) AS document_count FROM ({LINES}) GROUP BY label")
+def catalog_label_view(spark, d):
+    """The catalog's view of labels by frequency, over labels that were put into its table."""
+    return spark.table(f"{catalog(spark, d)}.labels_by_frequency")
+
+
+@query(f"SELECT label AS normalized_label, CASE WHEN length(label) % 2 = 0 THEN 'APPROVED' ELSE 'HELD' END AS decision_status, count(*) AS occurrences FROM ({LINES}) WHERE length(label) < 12 GROUP BY label")
+def catalog_bucketed_join(spark, d):
+    """Occurrences of labels with decisions, joined bucket by bucket without an exchange."""
+    db = catalog(spark, d)
+    found = spark.table(f"{db}.label_occurrences").join(spark.table(f"{db}.human_label_decisions").hint("merge"), "normalized_label")
+    return found.groupBy("normalized_label", "decision_status").agg(F.count(F.lit(1)).alias("occurrences"))
