@@ -67,6 +67,23 @@ TEMPLATES: dict[str, list[str]] = {
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-nc/4.0/",
         "You may not use the material for commercial purposes under the terms of the Creative Commons NonCommercial license.",
     ],
+    "agpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ],
+    "epl-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "The accompanying materials are provided under the terms of this Eclipse Public License. Any use, reproduction or distribution of the program constitutes recipient's acceptance of this agreement.",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    ],
+    "zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+    ],
     "public-domain": [
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, for any purpose and by any means.",
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
@@ -83,6 +100,10 @@ NAMES: dict[str, list[str]] = {
     "cc-by": ["CC BY 4.0", "CC-BY-4.0", "a Creative Commons Attribution 4.0 International License", "the Creative Commons Attribution license", "CC BY 3.0", "Creative Commons Attribution 4.0"],
     "cc-by-sa": ["CC BY-SA 4.0", "CC-BY-SA-4.0", "a Creative Commons Attribution-ShareAlike 4.0 License", "the Creative Commons Attribution-ShareAlike license", "CC BY-SA 3.0"],
     "cc-by-nc": ["CC BY-NC 4.0", "CC-BY-NC-4.0", "a Creative Commons Attribution-NonCommercial 4.0 License", "the Creative Commons Attribution-NonCommercial license", "CC BY-NC 3.0"],
+    "agpl": ["the GNU Affero General Public License", "the GNU Affero General Public License, version 3", "the AGPL", "the GNU AGPL v3", "AGPLv3", "AGPL-3.0-or-later", "the Affero GPL"],
+    "epl-2.0": ["the Eclipse Public License", "the Eclipse Public License 2.0", "EPL-2.0", "the Eclipse Public License, version 2.0", "the EPL", "the EPL 2.0"],
+    "isc": ["the ISC License", "the ISC license", "ISC", "the terms of the ISC license", "an ISC-style license"],
+    "zlib": ["the zlib License", "the zlib license", "Zlib", "the zlib/libpng license", "the terms of the zlib license"],
     "public-domain": ["CC0", "CC0-1.0", "CC0 1.0 Universal", "the Unlicense", "the CC0 public domain dedication"],
 }
 #: Phrases that notices are built of, and those by which ordinary sentences speak of the same names.
@@ -90,7 +111,14 @@ PHRASES = [
     "Licensed under {}.", "Released under {}.", "Distributed under {}.", "This project is licensed under {}.", "This work is licensed under {}.", "The code is available under {}.", "This software is released under the terms of {}.",
     "All files in this repository are covered by {}.", "Published under {}, see the file LICENSE.", "SPDX-License-Identifier: {}", "License: {}", "You may use this package under {}.", "Made available under {} by its authors.", "Dual licensed under {}.",
     "Lizenziert unter {}.", "Veröffentlicht unter {}.", "Sous licence {}.", "Publié sous {}.", "Publicado bajo {}.", "Con licencia {}.",
+    "Dieses Werk steht unter {}.", "Diese Software ist unter {} lizenziert.", "Ce logiciel est distribué sous {}.", "Cette œuvre est placée sous {}.", "Este software se distribuye bajo {}.", "Esta obra está bajo {}.",
+    "The contents of this folder may be used under {}.", "Copyright by the authors, {}.", "Subject to {}.", "Use is governed by {}.",
 ]
+#: Phrases and names (by their places above) that are held out whole, the plainest phrases among them: nothing that is built with
+#: them is trained on, and what is held out is built of both, so calibration meets names and phrases that it never saw.
+HELD_PHRASES, HELD_NAME = (0, 1, 4, 7, 11, 15, 18, 22, 26), 3
+#: What stands right before a name in a notice; with a name it is a template of its own.
+BEFORE_NAMES = ["under {}", "license {}", "identifier {}"]
 ORDINARY_PHRASES = ["We compared {} with other choices in the meeting.", "The history of {} is told in chapter two.", "She wrote an essay about {} last year.", "Questions about {} came up in court."]
 #: Sentences of the unknown class: they share words with notices but grant nothing.
 ORDINARY = [
@@ -116,33 +144,36 @@ def _words(text: str) -> list[str]:
     return [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
 
 
-def _filled(phrases: list[str], family: str) -> list[str]:
-    return [p.format(n) for p in phrases for n in NAMES[family]]
+def _sentences(family: str) -> list[str]:
+    """A family's templates, whole and by sentences."""
+    return [s for s in [*(s for t in TEMPLATES[family] for s in re.split(r"(?<=[.!?])\s+", t)), *TEMPLATES[family]] if len(_words(s)) >= 3]
 
 
 def _templates(family: str) -> list[str]:
-    """What confirms a family: its templates' sentences and its names with the shortest phrase."""
-    sentences = [s for t in TEMPLATES[family] for s in re.split(r"(?<=[.!?])\s+", t)]
-    return [s for s in [*sentences, *TEMPLATES[family], *_filled(PHRASES[:3], family)] if len(_words(s)) >= 3]
+    """What confirms a family: its templates' sentences, and its names after what stands before them in notices."""
+    return [*_sentences(family), *(p.format(n) for p in BEFORE_NAMES for n in NAMES[family])]
 
 
 def training_rows() -> list[tuple[str, str, bool]]:
-    """(text, family, held out): sentences and halves of templates, notices built of phrases and names, ordinary sentences,
-    and words of notices backwards, which are unknown. A quarter of the phrases and ordinary sentences is held out."""
+    """(text, family, held out): sentences and parts of templates, notices built of phrases and names, ordinary sentences, and words of
+    notices backwards, which are unknown. Whole phrases and whole names are held out: a row is trained on if it has neither, held
+    out if it has both, and left out otherwise; so is a quarter of the ordinary sentences."""
     rows: set[tuple[str, str, bool]] = set()
     for family in TEMPLATES:
-        for n, text in enumerate(_templates(family)):
+        for n, text in enumerate(_sentences(family)):
             words = text.split()
             rows |= {(text, family, False), (" ".join(words[: len(words) * 2 // 3]), family, False), (" ".join(words[len(words) // 3 :]), family, False)} if len(words) > 8 else {(text, family, False)}
             rows.add((" ".join(reversed(words)), UNKNOWN, n % 4 == 3))
-        for n, phrase in enumerate(PHRASES):
-            rows |= {(phrase.format(name), family, n % 4 == 3) for name in NAMES[family]}
-        for n, phrase in enumerate(ORDINARY_PHRASES):
-            rows |= {(phrase.format(name), UNKNOWN, n == 3) for name in NAMES[family]}
+        for i, name in enumerate(NAMES[family]):
+            held = i == HELD_NAME
+            rows |= {(phrase.format(name), family, held) for n, phrase in enumerate(PHRASES) if (n in HELD_PHRASES) == held}
+            rows |= {(phrase.format(name), UNKNOWN, held) for n, phrase in enumerate(ORDINARY_PHRASES) if (n == 3) == held}
+            rows |= {(" ".join(reversed(phrase.format(name).split())), UNKNOWN, held) for n, phrase in enumerate(PHRASES[:12]) if (n in HELD_PHRASES) == held}
     for n, text in enumerate(ORDINARY):
         words = text.split()
         rows |= {(form, UNKNOWN, n % 4 == 3) for form in (text, " ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2 :]))}
-    return sorted(rows)
+    trained = {text for text, _, held in rows if not held}  # sentences that two families share are trained on
+    return sorted(r for r in rows if not (r[2] and r[0] in trained))
 
 
 class LicenceModel:
@@ -186,8 +217,7 @@ def _grams(text: Column) -> Column:
 
 
 def train(spark: SparkSession) -> LicenceModel:
-    """Fits on the rows that aren't held out and calibrates on those that are: some 2100 rows, the only ones it
-    sees. A Platt scaling takes the log odds of being a notice to the probability that the family is right."""
+    """Fits on the rows that aren't held out and calibrates on those that are, the only ones it sees. A Platt scaling takes the log odds of being a notice to the probability that the family is right."""
     families = [UNKNOWN, *TEMPLATES]
     values = [(t, float(families.index(f)), f, h, 3.0 if f == UNKNOWN else 1.0) for t, f, h in training_rows()]
     rows = spark.createDataFrame(values, "piece string, label double, truth string, held boolean, weight double").coalesce(1).withColumn("ml_grams", _grams(F.col("piece")))
