@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from formloom.functions.text import collapse, ordered_rules
 
-#: Korean and western words for yes and no.
-YES, NO = ["y", "yes", "true", "1", "o", "예", "네", "유", "동의", "있음"], ["n", "no", "false", "0", "x", "아니오", "아니요", "무", "미동의", "없음"]
+#: Words for yes and no.
+YES, NO = ["yes", "y", "예", "o", "v", "✓", "1", "true", "있음"], ["no", "n", "아니오", "아니요", "x", "0", "false", "없음"]
 #: Korean units of an amount and their worth, largest first.
 UNITS = [("억", 100_000_000), ("천만", 10_000_000), ("백만", 1_000_000), ("만", 10_000), ("천", 1_000)]
-#: What stands where a form leaves room for a value.
-PLACEHOLDERS = ["-", "--", "_", "( )", "()", "[ ]", "□", "○", ".", "..", "..."]
+#: What stands where a form leaves room for a value: words, what a text with it asks for, marks, rows of zeros.
+PLACEHOLDERS, ASKED, MARKS, ZEROS = ["제", "호", "제호", "㎡", "년월일", "년월일시", "..."], "입력필요", r"^[.ㆍ·\-_()\[\]]+$", r"^0{2,}(?:[-.]0+)*$"
 
 
 def without_spaces(text: Column) -> Column:
@@ -65,9 +65,9 @@ def is_date(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    """Nothing there, or only what holds a value's place: a listed mark, a run of underscores, blanks in brackets."""
-    t = F.trim(F.coalesce(text, F.lit("")))
-    return (t == "") | t.isin(PLACEHOLDERS) | t.rlike(r"^[_.\s·]+$") | t.rlike(r"^[(\[]\s*[)\]]$")
+    """Nothing there, or only what holds a value's place, white space aside."""
+    t = without_spaces(F.coalesce(text, F.lit("")))
+    return (t == "") | F.contains(t, F.lit(ASKED)) | t.isin(PLACEHOLDERS) | t.rlike(MARKS) | t.rlike(ZEROS)
 
 
 def is_label(text: Column, most: int = 30) -> Column:

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from formloom.functions.dates import axis_mark, axis_unit
 from formloom.functions.values import best_of, is_blank, is_date, is_label, is_number
+from formloom.operators.spans import LEGAL, PAGES, STAMPS
 
 #: Confidence of a slot by how it was found; an earlier kind is kept where two find one cell.
 SLOTS = {"label_right": 0.85, "label_below": 0.75, "known_header": 0.7, "status": 0.6, "append_row": 0.5}
-#: What a stamp, a page mark or a legal text says; a table with one of these takes no input.
-UNSAFE = {"stamp": r"(?:\(인\)|서명|날인|직인)", "page_mark": r"^\s*[-(]?\s*[0-9]+\s*/\s*[0-9]+\s*[-)]?\s*$|\(뒤쪽\)|\(앞쪽\)", "legal": r"제[0-9]+조|시행규칙|별지 제"}
+#: What stamps, short page marks and legal texts say; a table with one of these takes no input.
+UNSAFE = {"stamp": STAMPS, "page_mark": f"(?i)^(?=.{{0,10}}$).*(?:{PAGES})", "legal": LEGAL}
 #: Headers of progress columns.
-PROGRESS = r"^(?:진척률|진도|진행률|공정률|달성률|progress|%)$"
+PROGRESS = r"^(?:진행률|진척률|공정률|완료율|%|progress)$"
 
 
 def row_features(cells: DataFrame, by: list[str]) -> DataFrame:

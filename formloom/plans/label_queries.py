@@ -38,7 +38,9 @@ def label_taxonomy_totals(spark, d):
 
 
 #: Spans of pages: an order's lines, twelve orders on a page; letters stand in the margin, prices right of it.
-NAMES = """g AS (SELECT *, sum(new) OVER (PARTITION BY page ORDER BY y, x, text ROWS UNBOUNDED PRECEDING) - 1 AS cluster FROM (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY page ORDER BY y, x, text) <= 20 THEN 0 ELSE 1 END AS new FROM s WHERE x < 82 AND length(text) = 1)),
+NAMES = """v AS (SELECT DISTINCT page, y FROM s WHERE x < 82 AND length(text) = 1),
+  w AS (SELECT *, sum(new) OVER (PARTITION BY page ORDER BY y ROWS UNBOUNDED PRECEDING) - 1 AS cluster FROM (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY page ORDER BY y) <= 20 THEN 0 ELSE 1 END AS new FROM v)),
+  g AS (SELECT s.page, s.x, s.y, s.text, w.cluster FROM s JOIN w ON w.page = s.page AND w.y = s.y WHERE x < 82 AND length(text) = 1),
   n AS (SELECT page, cluster, min(y) - 5 AS start, max(y) + 75 AS end_, string_agg(text, '' ORDER BY y, x, text) AS name FROM g GROUP BY page, cluster HAVING count(*) >= 2)"""
 S = "s AS (SELECT l_orderkey // 12 AS page, l_orderkey * 100 + l_linenumber AS id, l_linenumber, l_partkey, (l_suppkey * 31 % 160)::DOUBLE AS x, (l_partkey * 7 % 900)::DOUBLE AS y, CASE l_suppkey % 4 WHEN 0 THEN '철' WHEN 1 THEN '근' WHEN 2 THEN '콘' ELSE 'ab' END AS text FROM lineitem)"
 

@@ -28,9 +28,10 @@ def write_csv(df: DataFrame, path: str, mode: str = "new") -> None:
 
 
 def write_table(df: DataFrame, path: str, mode: str = "new", partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = ()) -> None:
-    """Parquet; rows are sorted within a task's file by sort_by, so that readers can skip row groups."""
+    """Parquet; rows are sorted within a task's file by sort_by, so that readers can skip row groups. Tasks take ranges of
+    (partition_by, sort_by), so a large partition is many tasks and files."""
     if sort_by:
-        df = df.repartition(*partition_by).sortWithinPartitions(*partition_by, *sort_by) if partition_by else df.sortWithinPartitions(*sort_by)
+        df = df.repartitionByRange(*partition_by, *sort_by).sortWithinPartitions(*partition_by, *sort_by) if partition_by else df.sortWithinPartitions(*sort_by)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     _write(writer, mode, "parquet", path)
 
@@ -107,10 +108,10 @@ def dictionary_version(entries: DataFrame, version: str, approved_by: str, corpu
     return good.select(F.lit(version).alias("version"), F.lit(approved_by).alias("approved_by"), F.lit(corpus).alias("corpus"), "label", "semantic")
 
 
-def dictionary_snapshot(dictionary: DataFrame, version: str) -> DataFrame:
-    """One JSON document a first letter of one dictionary version: (shard, entries, body). Labels are spread over shards by
-    their hash, so that no document holds an unbounded list."""
-    rows = dictionary.where(F.col("version") == version).select("label", "semantic", F.substring(F.sha2("label", 256), 1, 2).alias("shard"))
+def dictionary_snapshot(dictionary: DataFrame, version: str, digits: int = 2) -> DataFrame:
+    """JSON documents of one dictionary version, by the first hexadecimal digits of a label's hash: (shard, entries, body). A document holds
+    one label in 16 ** digits, about; a large dictionary takes more digits, so that its documents stay small."""
+    rows = dictionary.where(F.col("version") == version).select("label", "semantic", F.substring(F.sha2("label", 256), 1, digits).alias("shard"))
     listed = F.array_sort(F.collect_list(F.struct("label", "semantic")))
     return rows.groupBy("shard").agg(F.count(F.lit(1)).alias("entries"), F.to_json(F.struct(F.lit(version).alias("version"), listed.alias("entries"))).alias("body"))
 

@@ -9,8 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a part beyond which it is not parsed; its row says so.
-MOST_BYTES = 64 << 20
 SCHEMA = "path string, member string, ok boolean, tbl int, row int, col int, row_span int, col_span int, text string"
 
 
@@ -46,9 +44,9 @@ def _texts(paragraph) -> Iterator[str]:
             yield from _texts(e)
 
 
-def table_cells(parts: DataFrame) -> DataFrame:
-    """A row for each cell of the section parts among parts (path, ok, member, body); a part that can't be parsed, or is
-    larger than MOST_BYTES, gives one row with ok false."""
+def table_cells(parts: DataFrame, most_bytes: int | None = None) -> DataFrame:
+    """A row for each cell of the section parts among parts (path, ok, member, body); a part that can't be parsed, or has more
+    than most_bytes (None: all are parsed), gives one row with ok false."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in SCHEMA.split(", ")]
@@ -57,7 +55,7 @@ def table_cells(parts: DataFrame) -> DataFrame:
             rows = []
             for path, member, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 try:
-                    if len(body or b"") > MOST_BYTES:
+                    if most_bytes is not None and len(body or b"") > most_bytes:
                         raise ValueError("too large")
                     rows += [(path, member, True, *cell) for cell in cells_of(body or b"")]
                 except (ElementTree.ParseError, ValueError):

@@ -11,8 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a member beyond which its body isn't unpacked.
-MOST_BYTES = 256 << 20
 BROKEN = (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, ValueError)
 
 
@@ -25,27 +23,27 @@ def inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame
     return hashed.join(groups, "sha256").select("path", "length", "sha256", "copies", (F.col("first_path") == F.col("path")).alias("first_copy"))
 
 
-def members(files: DataFrame) -> DataFrame:
+def members(files: DataFrame, most_bytes: int | None = None) -> DataFrame:
     """(path, ok, member, size, body): each member of each zipped file (path, content); a broken file gives one row, and so
-    does a broken member. Members of more than MOST_BYTES are listed without their body."""
+    does a broken member. most_bytes: members of more bytes are listed without their body; None unpacks all."""
 
     def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["path", "ok", "member", "size", "body"]
         kinds = [pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.binary()]
+        row = lambda *values: pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = []
                 try:
                     with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
-                        for i in z.infolist():
+                        for i in z.infolist():  # a batch each, so that bodies don't add up
                             try:
-                                rows.append((path, True, i.filename, i.file_size, z.read(i) if i.file_size <= MOST_BYTES else None))
+                                yield row(path, True, i.filename, i.file_size, z.read(i) if most_bytes is None or i.file_size <= most_bytes else None)
                             except (*BROKEN, EOFError):
-                                rows.append((path, False, i.filename, i.file_size, None))
-                    rows = rows or [(path, True, None, None, None)]
+                                yield row(path, False, i.filename, i.file_size, None)
+                        if not z.infolist():
+                            yield row(path, True, None, None, None)
                 except BROKEN:
-                    rows = [(path, False, None, None, None)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                    yield row(path, False, None, None, None)
 
     return files.select("path", "content").mapInArrow(unzip, "path string, ok boolean, member string, size long, body binary")
 

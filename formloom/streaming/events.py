@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.sinks.tables import upsert_table
+from formloom.sinks.buckets import merge_touched, read_version
 
 
 def windowed_counts(events: DataFrame, size: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -45,8 +45,9 @@ def event_stream(spark: SparkSession, folder: str, files: str) -> DataFrame:
 def replayed(spark: SparkSession, folder: str, files: str, query: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The result of a streaming aggregation over the parquet files of a folder, all that are there now.
 
-    Each batch writes the groups that it changed, with its number, to files; of a group the last batch's row counts. State
-    is bounded by the query's watermark, and nothing but the files holds the result.
+    Each batch writes the groups that it changed, with its number, to files; of a group the last batch's row counts, and nothing
+    but the files holds the result. State is what the query keeps: with a watermark (windowed_counts) windows go when it has
+    passed them; without one (metered) a number stays for each group. quota.gated() meters with state that goes.
     """
     out = stream_folder(spark)
     stream = query(event_stream(spark, folder, files))
@@ -70,15 +71,13 @@ def appended(spark: SparkSession, folder: str, files: str, query: Callable[[Data
     return spark.read.schema(stream.schema).json(f"{out}/rows")
 
 
-def kept_by_key(spark: SparkSession, folder: str, files: str, keys: list[str], version: str) -> DataFrame:
-    """A table kept by key from a stream: each batch is put in as a new generation, so a batch that runs again changes
-    nothing."""
+def kept_by_key(spark: SparkSession, folder: str, files: str, keys: list[str], version: str, buckets: int = 16) -> DataFrame:
+    """A table kept by key from a stream: each batch is merged into the buckets that its rows touch. A batch that runs again puts in the
+    same rows, so it changes nothing."""
     out = stream_folder(spark)
-    put = lambda batch, number: upsert_table(batch.sparkSession, f"{out}/table", batch, keys, version)
+    put = lambda batch, number: merge_touched(batch.sparkSession, f"{out}/table", batch, keys, version, buckets)
     event_stream(spark, folder, files).writeStream.option("checkpointLocation", f"{out}/state").foreachBatch(lambda b, n: (put(b, n), None)[1]).trigger(availableNow=True).start().awaitTermination()
-    from formloom.sinks.tables import read_table
-
-    return read_table(spark, f"{out}/table")
+    return read_version(spark, f"{out}/table")
 
 
 def first_seen(events: DataFrame, key: str, order: str, late: str = "1 day") -> DataFrame:

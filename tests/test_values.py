@@ -184,3 +184,15 @@ def test_stream_of_several_files(spark, tmp_path):
     once = {tuple(r) for r in S.metered(df).collect()}
     assert {tuple(r) for r in S.replayed(spark, str(tmp_path / "in"), "*.parquet", S.metered).collect()} == once
     assert S.kept_by_key(spark, str(tmp_path / "in"), "*.parquet", ["user_id"], "event_id").count() == 4
+
+
+def test_fixed_values(spark):
+    """Words, marks and headers that count as yes and no, as blank, as progress, and as signs of a table without input."""
+    assert said(spark, V.yes_no, ["V", "✓", "o", "X", "네", "유", "무", "동의"]) == ["Y", "Y", "Y", "N", None, None, None, None]
+    blank = ["제 호", "년 월 일", "( 입력 필요 )", "000-00", "00", "[ㆍ]", "㎡", "...", "0", "호실", "□", "제1호"]
+    assert said(spark, V.is_blank, blank) == [True] * 8 + [False] * 4
+    cells = grid(spark, [["공종", "완료율", "진도"]])
+    assert C.progress_columns(cells, ["tbl"]).first().col == 1
+    reasons = {"결재란": "stamp", "1 페이지": "page_mark", "3쪽": "page_mark", "쪽이 길어서 표시가 아닌 글": None, "작성요령": "legal", "별지 제3호": "legal", "시행규칙": None}
+    rows = spark.createDataFrame([(text, 0, 0, text) for text in reasons], cells.schema)
+    assert {r.tbl: r.reason for r in C.unsafe_tables(rows, ["tbl"]).collect()} == {k: v for k, v in reasons.items() if v}
