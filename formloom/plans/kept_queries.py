@@ -9,6 +9,7 @@ from formloom.plans.queries import LINES, labels, query, t
 from formloom.session import shared_folder
 from formloom.sinks import buckets as K
 from formloom.sinks import catalog as C
+from formloom.sinks import survey as V
 from formloom.streaming import quota as Q
 
 PLANS = "CASE user_id % 4 WHEN 0 THEN 'free' WHEN 1 THEN 'pro' WHEN 2 THEN 'enterprise' ELSE 'other' END"
@@ -79,3 +80,30 @@ def catalog_bucketed_join(spark, d):
     db = catalog(spark, d)
     found = spark.table(f"{db}.label_occurrences").join(spark.table(f"{db}.human_label_decisions").hint("merge"), "normalized_label")
     return found.groupBy("normalized_label", "decision_status").agg(F.count(F.lit(1)).alias("occurrences"))
+
+
+def surveyed(spark: SparkSession, d: str) -> tuple[dict, DataFrame]:
+    """What a survey of all order lines, as cells of tables, observed, and its outputs' own counts read back."""
+    lines = t(spark, d, "lineitem")
+    outputs = {
+        "headers": V.Output(F.col("l_linenumber") == 1, {"tbl": F.col("l_orderkey"), "label": F.col("l_returnflag")}),
+        "inputs": V.Output(F.col("l_quantity") < 10, {"tbl": F.col("l_orderkey"), "row": F.col("l_linenumber"), "value": F.col("l_quantity")}),
+        "issues": V.Output(F.col("l_discount") > 0.09, {"tbl": F.col("l_orderkey"), "reason": F.lit("discount")}),
+        "none": V.Output(F.col("l_quantity") < 0, {"tbl": F.col("l_orderkey")}),
+    }
+    path = f"{shared_folder(spark)}/survey"
+    found = V.survey(lines, outputs, path, {"quantity": F.sum("l_quantity"), "last": F.max("l_orderkey")})
+    back = [V.output_of(spark, path, lines, name, o).agg(F.lit(name).alias("output"), F.count(F.lit(1)).alias("n"), F.sum("tbl").alias("tables")) for name, o in outputs.items()]
+    out = back[0]
+    for more in back[1:]:
+        out = out.unionByName(more)
+    return found, out
+
+
+@query("""WITH o AS (SELECT 'headers' AS output, l_orderkey FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT 'inputs', l_orderkey FROM lineitem WHERE l_quantity < 10 UNION ALL SELECT 'issues', l_orderkey FROM lineitem WHERE l_discount > 0.09::DOUBLE)
+  SELECT k.output, count(l_orderkey) AS n, sum(l_orderkey)::BIGINT AS tables, count(l_orderkey) AS observed, (SELECT count(*) FROM lineitem) AS input_rows FROM (VALUES ('headers'), ('inputs'), ('issues'), ('none')) k(output) LEFT JOIN o ON o.output = k.output GROUP BY k.output""")
+def survey_outputs(spark, d):
+    """Outputs of one survey as they stand in files, beside what the job observed while it wrote them."""
+    found, out = surveyed(spark, d)
+    observed = F.create_map(*(F.lit(x) for n in ("headers", "inputs", "issues", "none") for x in (n, found[n])))
+    return out.withColumn("observed", F.element_at(observed, F.col("output")).cast("long")).withColumn("input_rows", F.lit(found["rows"]).cast("long"))
