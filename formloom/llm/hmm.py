@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ SEEDS, LEAN, STAY = 256, 20.0, 0.9
 #: Every fold-th part of documents is held out: those whose id, as text, has this remainder of its crc32.
 FOLDS, HELD_OUT = 5, 1
 #: Code points of text of a block, about; blocks that a task works through in each round; pieces in which counts are added up;
-#: bytes that are cut into words at a time.
-CHARS, BLOCKS_PER_TASK, PIECES, SLICE = 10_000_000, 5, 16, 2 << 20
+#: tasks whose counts are added up at a time; bytes that are cut into words at a time.
+CHARS, BLOCKS_PER_TASK, PIECES, FAN, SLICE = 10_000_000, 5, 16, 8, 2 << 20
 #: A-Z in lower case, the six white-space characters as spaces.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 #: A number for each byte, an odd base and its inverse modulo 2^64, of which words' names are made; the name of a text's end.
@@ -178,7 +179,8 @@ def _training(about: bytes, classes: bytes) -> tuple[np.ndarray, np.ndarray]:
 def summed(blocks: DataFrame, measure, shape: tuple[int, ...]) -> np.ndarray:
     """The sum over all blocks of measure(about, classes, types), an array of this shape, which doesn't depend on the input.
 
-    A task adds up its blocks before it sends PIECES parts, each part is added up on its own.
+    A task adds up its blocks before it sends PIECES parts. Parts are added up FAN tasks at a time, and their sums again, so no group
+    grows with the number of tasks.
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,16 +189,24 @@ def summed(blocks: DataFrame, measure, shape: tuple[int, ...]) -> np.ndarray:
             for row in zip(*(c.to_pylist() for c in x.columns)):
                 total += measure(*row)
         parts = [squeeze(p) for p in np.array_split(total.reshape(-1), PIECES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], names=["piece", "value"])
+        task = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([task // FAN] * PIECES, pa.int32()), pa.array(parts, pa.binary())], names=["piece", "task", "value"])
         release()
 
     def add_up(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        values = sorted(v.as_py() for v in group.column("value"))  # in the same order in every run
-        total = sum(unsqueeze(v, "f8")[0] for v in values)
-        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "value": pa.array([total.tobytes()], pa.binary())})
-
-    rows = blocks.mapInArrow(gather, "piece int, value binary").groupBy("piece").applyInArrow(add_up, "piece int, value binary").collect()  # PIECES rows
-    return np.concatenate([np.zeros(0), *(np.frombuffer(r.value) for r in sorted(rows, key=lambda r: r.piece))]).reshape(shape) if rows else np.zeros(shape)
+        total = None
+        for value in sorted(v.as_py() for v in group.column("value")):  # in the same order in every run
+            part = unsqueeze(value, "f8")[0]
+            total = part.copy() if total is None else np.add(total, part, out=total)
+        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([key[1].as_py() // FAN], pa.int32()), "value": pa.array([squeeze(total)], pa.binary())})
+
+    rows, tasks = blocks.mapInArrow(gather, "piece int, task int, value binary"), blocks.rdd.getNumPartitions()
+    while True:
+        rows, tasks = rows.groupBy("piece", "task").applyInArrow(add_up, "piece int, task int, value binary"), math.ceil(tasks / FAN)
+        if tasks <= 1:
+            break
+    parts = [unsqueeze(r.value, "f8")[0] for r in sorted(rows.collect(), key=lambda r: r.piece)]  # PIECES rows
+    return np.concatenate(parts).reshape(shape) if parts else np.zeros(shape)
 
 
 def totals(blocks: DataFrame) -> Totals:

@@ -116,6 +116,16 @@ def test_blocks_and_shards_agree(docs, monkeypatch):
     assert of() == whole
 
 
+def test_sums_in_steps(spark, monkeypatch):
+    """Sums over many tasks are those of all blocks, however many tasks are added up at a time."""
+    blocks = spark.range(40).repartition(23).selectExpr("unhex(hex(id)) AS about", "unhex(hex(id)) AS classes", "unhex(hex(id)) AS types")
+    for fan in (2, 3, 64):
+        monkeypatch.setattr(hmm, "FAN", fan)
+        got = hmm.summed(blocks, lambda about, classes, types: np.array([[int.from_bytes(about, "big"), 1.0]] * 20), (20, 2))
+        assert got.tolist() == [[sum(range(40)), 40.0]] * 20
+    assert hmm.summed(blocks.limit(0), lambda *x: np.ones((2, 2)), (2, 2)).tolist() == [[0, 0], [0, 0]]
+
+
 def test_nothing_trains(spark, docs):
     held = [i for i in range(1, 200) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
     got = hmm.scored(spark.createDataFrame([(i, "some words here") for i in held], "doc_id long, text string")).collect()
