@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formloom.operators.lines import named_rows, upright_names
+from formloom.session import shared_folder
 
 #: Regions of a header, stages below it, ditto marks, units, and words that begin a size, not an item.
 REGIONS, STAGES, DITTO = "서울 인천 수원 부산 대구 대전 광주 전주 강원 제주".split(), "① ② ③".split(), "〃 ″ //".split()
@@ -97,8 +98,9 @@ def region_prices(spans: DataFrame, by: list[str]) -> DataFrame:
     is_price = (F.col("x") >= F.col("price_x")) & F.col("text").rlike(PRICE) & (F.length("text") > 4) & ~((F.col("x") < SIZE_LEFT) & (digits <= 5))
     token = F.struct("x", "text")
     lines = placed.groupBy(*by, "row").agg(F.array_sort(F.collect_list(F.when(F.col("x") < F.col("price_x"), token))).alias("left"), F.array_sort(F.collect_list(F.when(is_price, token))).alias("prices"), F.first("columns").alias("columns"))
-    lines = lines.where(F.size("prices") > 0).withColumn("left", F.transform("left", lambda t: t["text"]))
-    names = upright_names(rows.select(*by, "x", F.col("row").alias("y"), "text"), by)
+    shared_folder(spans.sparkSession)  # lines and names are checkpointed: the join of both asks for their reach before it begins
+    lines = lines.where(F.size("prices") > 0).withColumn("left", F.transform("left", lambda t: t["text"])).checkpoint()
+    names = upright_names(rows.select(*by, "x", F.col("row").alias("y"), "text"), by).checkpoint()
     upright = named_rows(lines.select(*by, F.col("row").alias("id"), F.col("row").alias("y")), names, by).select(*by, F.col("id").alias("row"), "name")
     lines = lines.join(upright, [*by, "row"], "left").withColumn("item", F.coalesce("name", item_of(F.col("left")))).withColumn("unit", unit_of(F.col("left")))
     down = Window.partitionBy(*by).orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
