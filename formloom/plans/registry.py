@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from formloom.plans import cell_queries, fill_queries, form_queries, grid_queries, kept_queries, label_queries, price_queries, review_queries, search_queries, span_queries, value_queries, work_queries  # noqa: F401  (they register their queries)
+from formloom.plans import cell_queries, file_queries, fill_queries, form_queries, grid_queries, kept_queries, label_queries, price_queries, review_queries, search_queries, span_queries, value_queries, work_queries  # noqa: F401  (they register their queries)
 from formloom.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
