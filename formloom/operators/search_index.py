@@ -98,7 +98,8 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, keys: list[
     over the number of the query's tokens. matched lists tokens in the query's order, with ~ before those found inside others
     alone. Equal scores go by the entry's hash. Queries without tokens, or without hits, give no rows.
     """
-    asked = queries.select("query_id", tokens_of(F.col("text")).alias("tokens")).select("query_id", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token"))
+    texts = queries.select("query_id", tokens_of(F.col("text")).alias("tokens"))
+    asked = texts.select("tokens").distinct().select("tokens", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token"))
     want = asked.select("token").distinct()
     pairs = index_table(spark, path, "pairs")
     inside = want.withColumn("pair", F.substring("token", 1, 2)).withColumn("bucket", _bucket("pair")).join(pairs.withColumnRenamed("token", "held"), ["bucket", "pair"])
@@ -107,11 +108,15 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, keys: list[
     postings = index_table(spark, path, "postings").select("bucket", F.col("token").alias("held"), "entries")
     hits = both.withColumn("bucket", _bucket("held")).join(postings, ["bucket", "held"]).select("token", "whole", F.explode("entries").alias("entry"))
     by_token = hits.groupBy("token", "entry").agg(F.sum("whole").alias("whole"), F.sum(1 - F.col("whole")).alias("parts"))
+    points = F.round(F.sum(F.col("whole") + PARTIAL * F.col("parts")) / F.col("n"), 3).alias("score")
+    ranked = asked.join(by_token, "token").groupBy("tokens", "n", "entry").agg(points)
+    top = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("tokens").orderBy(F.desc("score"), "entry"))).where(F.col("rank") <= most)
+    # What matched is put together for the entries alone that are shown.
     shown = F.when(F.col("whole") > 0, F.array("token")).otherwise(F.array_repeat(F.concat(F.lit("~"), "token"), F.col("parts").cast("int")))
-    scored = asked.join(by_token, "token").select("query_id", "n", "entry", F.struct("place", shown.alias("shown")).alias("hit"), (F.col("whole") + PARTIAL * F.col("parts")).alias("points"))
-    scored = scored.groupBy("query_id", "n", "entry").agg(F.sum("points").alias("points"), F.array_sort(F.collect_list("hit")).alias("hits"))  # as many hits as the query has tokens
-    ranked = scored.select("query_id", "entry", F.round(F.col("points") / F.col("n"), 3).alias("score"), F.flatten(F.transform("hits", lambda x: x["shown"])).alias("matched"))
-    top = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "entry"))).where(F.col("rank") <= most)
+    hit = top.select("tokens", "rank", "score", "entry", F.posexplode("tokens").alias("place", "token")).join(by_token, ["token", "entry"])
+    hits = F.array_sort(F.collect_list(F.struct("place", shown.alias("shown"))))  # as many as the query has tokens
+    top = hit.groupBy("tokens", "rank", "score", "entry").agg(F.flatten(F.transform(hits, lambda x: x["shown"])).alias("matched"))
+    top = texts.join(top, "tokens").drop("tokens")
     chosen = top.select("entry").distinct()
     files = index_table(spark, path, "files").join(chosen, "entry", "left_semi").groupBy("entry").agg(F.sum("files").alias("files"))
     named = index_table(spark, path, "entries").join(chosen, "entry", "left_semi")
