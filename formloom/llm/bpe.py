@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ SHORT_WORD = 64
 NO_RANK = 1 << 62
 #: Compression level of the texts that are shuffled.
 PACK_LEVEL = 6
+#: Ids that are decoded at a time, and pieces of texts whose ids are put together at a time, about.
+DECODE_IDS = 300_000
 
 
 def merge_all(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> int:
@@ -206,6 +209,9 @@ def _cut(data: np.ndarray, lengths: np.ndarray) -> list[bytes]:
 #: The alternative for words in a pattern, and the letters of Latin-1.
 WORDS, LATIN = r"| ?\p{L}+|", "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 
+#: The end of a pattern whose matches never go on over a single space before something else.
+SPACED = WORDS + r" ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 #: Fixed values, first and last code points: letters and numbers of Unicode 16 that Python's tables (15.1) don't have yet.
 NEW_LETTERS = [
     (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
@@ -226,8 +232,14 @@ def _inside(ranges: Iterable[tuple[int, int]]) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
 
 
-#: Finds a character that needs one of the tables above.
-_is_new = re.compile(f"[{_inside([*NEW_LETTERS, *NEW_NUMBERS, *((a, b) for a, b, _ in NEW_PAIRS)])}]").search
+#: Finds a character that needs one of the tables above; most texts have none as high as the first of them, which is found faster.
+_NEW = [*NEW_LETTERS, *NEW_NUMBERS, *((a, b) for a, b, _ in NEW_PAIRS)]
+_is_high, _is_listed = re.compile(f"[{_inside([(min(_NEW)[0], 0x10FFFF)])}]").search, re.compile(f"[{_inside(_NEW)}]").search
+
+
+def _is_new(text: str) -> bool:
+    return bool(_is_high(text) and _is_listed(text))
+
 
 _finders: dict = {}
 
@@ -267,11 +279,58 @@ def _finder(pattern: str):
     return found
 
 
-def _distinct(rows: pa.Table, find) -> list[bytes]:
-    words: set[str] = set()
-    for t in rows.column("text"):
-        words.update(find(t.as_py()))
-    return sorted(w.encode() for w in words)
+def _pieces(texts: pa.ChunkedArray, pattern: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(found, matches, pieces, sizes): the matches of each distinct piece of the texts, one piece after the other; how many
+    each piece has; the pieces that the texts are made of, by number, and how many each text has.
+
+    Texts are cut before every space that no white space follows, and pieces that repeat are matched once, where the pattern
+    allows that: there a match always ends, whatever stands around it, and the next begins with that space. Under other
+    patterns each text is one piece.
+    """
+    find = _finder(pattern)
+    n, end = len(texts), pattern.find(SPACED)
+    if not n or not pattern.endswith(SPACED) or not all(re.fullmatch("'[a-z]+", x) for x in pattern[:end].split("|")):
+        each = [find(t.as_py()) for t in texts]
+        return [w for found in each for w in found], np.array([len(found) for found in each], np.int64), np.arange(n), np.ones(n, np.int64)
+    cut = pc.split_pattern(texts, " ").combine_chunks()
+    parts, bounds = cut.flatten().dictionary_encode(), cut.offsets.to_numpy()
+    first = np.zeros(len(parts), bool)
+    first[bounds[:-1]] = True
+    blank = pc.or_(pc.equal(parts.dictionary, ""), pc.utf8_is_space(pc.utf8_slice_codeunits(parts.dictionary, 0, 1)))
+    late = blank.to_numpy(zero_copy_only=False)[parts.indices.to_numpy()] & ~first
+    if late.any():  # white space follows the space before these parts, so they go to the parts before them
+        begin = np.flatnonzero(~late)
+        parts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[begin, len(late)].astype(np.int32)), cut.flatten()), " ").dictionary_encode()
+        bounds, first = np.searchsorted(begin, bounds), first[begin]
+    at, names = parts.indices.to_numpy(), parts.dictionary
+    used = np.flatnonzero(np.bincount(at[~first], minlength=len(names)))
+    number = np.zeros(len(names), np.int32)
+    number[used] = np.arange(len(used))
+    pieces = number[at]
+    pieces[first] = len(used) + np.arange(n)  # without a space in front
+    spaced = names.take(pa.array(used))
+    found = find(" " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), spaced), " ")[0].as_py()) if len(used) else []
+    ends, upto = (np.cumsum(pc.utf8_length(x).to_numpy() + more) for x, more in ((pa.array(found, pa.string()), 0), (spaced, 1)))
+    own = [find(x.as_py()) for x in names.take(pa.array(at[first]))]
+    matches = np.r_[np.diff(np.r_[0, np.searchsorted(ends, upto, "right")]), [len(x) for x in own]].astype(np.int64)
+    for x in own:
+        found += x
+    return found, matches, pieces, np.diff(bounds)
+
+
+def _distinct(rows: pa.Table, pattern: str) -> list[bytes]:
+    return sorted(w.encode() for w in set(_pieces(rows.column("text"), pattern)[0]))
+
+
+def _taken(values: np.ndarray, lengths: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """The values of the entries i, one after the other; lengths: how many values each entry has."""
+    n = lengths[i]
+    return values[np.repeat((np.cumsum(lengths) - lengths)[i] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
+def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of as many values as each length says."""
+    return np.diff(np.r_[0, np.cumsum(values)][np.r_[0, np.cumsum(lengths)]])
 
 
 def _shard(words: list[bytes], shards: int) -> np.ndarray:
@@ -298,7 +357,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chars: int = ENCODE_C
     packed = packed_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), blocks, PACK_LEVEL)
 
     def words_of(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        words = _distinct(from_payloads(group.column("payload")), _finder(pattern))
+        words = _distinct(from_payloads(group.column("payload")), pattern)
         at = _shard(words, shards)
         order = np.argsort(at, kind="stable")
         cuts = np.searchsorted(at[order], np.arange(shards + 1))
@@ -314,38 +373,32 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chars: int = ENCODE_C
         for value in group.column("words"):
             ids: list[int] = []
             lengths: list[int] = []
-            for w in _cut(*unsqueeze(value.as_py(), "u1", "i4")):
+            data, ends = unsqueeze(value.as_py(), "u1", "i4")
+            for w in _cut(data, ends):
                 if (got := known.get(w)) is None:
                     whole = ranks.get(w)
                     symbols = [byte[b] for b in w]
                     known[w] = got = [whole] if whole is not None else merge_word(symbols, pairs) if len(w) <= SHORT_WORD else merge_symbols(symbols, merges)
                 ids += got
                 lengths.append(len(got))
-            out.append(squeeze(*unsqueeze(value.as_py(), "u1", "i4"), np.array(ids, kind), np.array(lengths, np.int32)))
+            out.append(squeeze(data, ends, np.array(ids, kind), np.array(lengths, np.int32)))
         return pa.table({"block": group.column("block"), "ids": pa.array(out, pa.binary())})
 
     def put_back(key: tuple[pa.Scalar, ...], texts: pa.Table, coded: pa.Table) -> pa.Table:
-        find = _finder(pattern)
         rows = from_payloads(texts.column("payload"))
-        place: dict[str, int] = {}
-        parts = []
-        for value in coded.column("ids"):
-            data, ends, *part = unsqueeze(value.as_py(), "u1", "i4", kind, "i4")
-            parts.append(part)
-            place.update(zip((w.decode() for w in _cut(data, ends)), range(len(place), len(place) + len(ends))))
-        ids = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.int32)])
-        lengths = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int32)]).astype(np.int64)
-        starts = np.cumsum(lengths) - lengths
-        flat, sizes = [], []
-        for t in rows.column("text"):
-            found = find(t.as_py())
-            i = np.fromiter(map(place.__getitem__, found), np.int64, len(found))
-            n = lengths[i]
-            total = int(n.sum())
-            sizes.append(total)
-            flat.append(ids[np.repeat(starts[i] - np.cumsum(n) + n, n) + np.arange(total)])
-        offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32), pa.int32())
-        return pa.table({"doc_id": rows.column("doc_id"), "ids": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat).astype(np.int32), pa.int32()))})
+        sent = [unsqueeze(value.as_py(), "u1", "i4", kind, "i4") for value in coded.column("ids")]
+        data, ends, ids, lengths = (np.concatenate([np.zeros(0, t), *part]) for t, part in zip(("u1", "i4", kind, "i4"), list(zip(*sent)) or [()] * 4))
+        offsets = np.r_[0, np.cumsum(ends)].astype(np.int32)
+        words = pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(data))
+        found, matches, pieces, sizes = _pieces(rows.column("text"), pattern)
+        i = pc.index_in(pa.array(found, pa.string()), value_set=words)
+        if i.null_count:
+            raise ValueError(f"block {key[0].as_py()}: {i.null_count} words have not been encoded")
+        i = i.to_numpy()
+        ids, lengths = _taken(ids, lengths, i), _sums(lengths[i], matches)  # of each piece
+        flat = [_taken(ids, lengths, pieces[a : a + DECODE_IDS]).astype(np.int32) for a in range(0, len(pieces), DECODE_IDS)]
+        offsets = np.r_[0, np.cumsum(_sums(lengths[pieces], sizes))].astype(np.int32)
+        return pa.table({"doc_id": rows.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)))})
 
     sent = packed.groupBy("block").applyInArrow(releasing(words_of), "block int, shard int, words binary")
     coded = sent.groupBy("shard").applyInArrow(releasing(encode_shard), "block int, ids binary")
@@ -361,10 +414,15 @@ def token_bytes(ranks_path: str) -> list[bytes]:
     return tokens
 
 
-def id_lists(ids: pa.ListArray) -> Iterator[list[int]]:
-    offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy()
-    for a, b in zip(offsets, offsets[1:]):
-        yield values[a:b].tolist()
+def joined_entries(table: pa.Array, ids: pa.ListArray, separator: bytes) -> Iterator[pa.Scalar]:
+    """For each list of ids the table's entries, joined; null is empty. Ids outside the table fail."""
+    offsets = ids.offsets.to_numpy()
+    a = 0
+    while a < len(ids):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + DECODE_IDS, "right")) - 1)
+        entries = table.take(ids.values.slice(offsets[a], offsets[b] - offsets[a]))
+        yield from pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets[a : b + 1] - offsets[a]), entries), separator)
+        a = b
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -377,9 +435,9 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     names = encoded.columns
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.__getitem__
+        tokens = pa.array(shared.value, pa.binary())
         for batch in batches:
-            out = [b"".join(map(token, ids)) for ids in id_lists(batch.column(names.index("ids")))]
+            out = [x.as_py() for x in joined_entries(tokens, batch.column(names.index("ids")), b"")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, "decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
@@ -394,14 +452,12 @@ def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(token_bytes(ranks_path))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.__getitem__
-        shown = [str(i) for i in range(len(shared.value))].__getitem__
+        tokens = pa.array(shared.value, pa.binary())
+        shown = pa.array([b"%d" % i for i in range(len(tokens))], pa.binary())
         for batch in batches:
-            n, of_ids, of_bytes = [], [], []
-            for ids in id_lists(batch.column(1)):
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(" ".join(map(shown, ids)).encode()).hexdigest())
-                of_bytes.append(hashlib.sha256(b"".join(map(token, ids))).hexdigest())
+            ids = batch.column(1)
+            n = np.diff(ids.offsets.to_numpy())
+            of_ids, of_bytes = ([hashlib.sha256(x.as_buffer()).hexdigest() for x in joined_entries(table, ids, by)] for table, by in ((shown, b" "), (tokens, b"")))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encoded.select("doc_id", "ids").mapInArrow(hashed, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

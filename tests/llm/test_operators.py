@@ -63,6 +63,45 @@ def test_word_pattern():
         assert bpe._finder(public_tokenizers.PATTERN)(text) == regex.findall(spaced, text)
 
 
+def _put_together(texts, pattern, size=1):
+    import pyarrow as pa
+
+    found, matches, pieces, sizes = bpe._pieces(pa.chunked_array([texts[i : i + size] for i in range(0, len(texts), size)], pa.string()), pattern)
+    ends = [0, *matches.cumsum().tolist()]
+    words, at = [found[a:b] for a, b in zip(ends, ends[1:])], iter(pieces.tolist())
+    return found, [[w for _ in range(n) for w in words[next(at)]] for n in sizes.tolist()]
+
+
+def test_pieces():
+    """Pieces between spaces give the matches of whole texts, and a word that repeats is matched once."""
+    import random
+
+    r, spaces = random.Random(5), list("\t\n\x0b\x0c\r \x1c\x1f\x85\xa0\u1680\u2000\u2003\u200a\u200b\u2028\u2029\u202f\u205f\u3000")
+    texts = ["".join(r.choice([" "] * 12 + ["a", "Bé", "'s", "'", "1²", "_", "。", "日", "\U0001f600", "e\u0301", "\ua7cb", r.choice(spaces)]) for _ in range(r.randrange(30))) for _ in range(3000)]
+    texts += ["", " ", "  ", "a", " a", "a ", "a  ", "  a", "\n a", "a \n", "a\n b", "a \nb", "don't 's 's", *(f"a {s} b {s}c {s}" for s in spaces), *(f"{s} b{s} c" for s in spaces), *spaces]
+    find = bpe._finder(public_tokenizers.PATTERN)
+    for size in (1, 7, len(texts)):
+        assert _put_together(texts, public_tokenizers.PATTERN, size)[1] == [find(t) for t in texts]
+    for pattern in (r"\p{L}+|\s+|[^\s\p{L}]+", r"'\s|\p{N}" + bpe.SPACED, public_tokenizers.PATTERN + "|x"):
+        assert _put_together(texts, pattern, 7)[1] == [bpe._finder(pattern)(t) for t in texts]
+    for text, n, distinct in (("it is " * 1000 + "it", 2001, 3), ("it  is \n" * 1000, 4999, 9)):
+        found, (got,) = _put_together([text], public_tokenizers.PATTERN)
+        assert got == find(text) and len(got) == n and len(found) == distinct
+
+
+def test_joined_entries():
+    import pyarrow as pa
+
+    table, lists = pa.array([b"a", b"", b"\xff"], pa.binary()), [[0, 2], [], None, [1], [2] * 400_000, [0]]
+    ids = pa.array(lists, pa.list_(pa.int32()))
+    for part in (ids, ids.slice(1), ids.slice(2, 2), ids.slice(6)):
+        want = [b"-".join(table[i].as_py() for i in x or []) for x in part.to_pylist()]
+        assert [bytes(x.as_buffer()) for x in bpe.joined_entries(table, part, b"-")] == want
+    for outside in (3, -1):
+        with pytest.raises(IndexError):
+            list(bpe.joined_entries(table, pa.array([[outside]], pa.list_(pa.int32())), b""))
+
+
 def test_merge_word():
     """Short words merge alike by either way."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
