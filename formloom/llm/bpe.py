@@ -12,7 +12,7 @@ import json
 import math
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,8 @@ NO_RANK = 1 << 62
 PACK_LEVEL = 6
 #: Ids that are decoded at a time, and pieces of texts whose ids are put together at a time, about.
 DECODE_IDS = 300_000
+#: Bytes of texts that are matched at a time, about; a text is never cut.
+MATCH_BYTES = 1_500_000
 
 
 def merge_all(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> int:
@@ -318,8 +320,21 @@ def _pieces(texts: pa.ChunkedArray, pattern: str) -> tuple[list[str], np.ndarray
     return found, matches, pieces, np.diff(bounds)
 
 
+def _slices(rows: pa.Table) -> Iterator[pa.Table]:
+    """The rows in order, as many at a time as have about MATCH_BYTES of texts; at least one."""
+    ends = np.cumsum(pc.binary_length(rows.column("text")).to_numpy().astype(np.int64))
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + MATCH_BYTES, "right")))
+        yield rows.slice(a, b - a)
+        a = b
+
+
 def _distinct(rows: pa.Table, pattern: str) -> list[bytes]:
-    return sorted(w.encode() for w in set(_pieces(rows.column("text"), pattern)[0]))
+    words: set[str] = set()
+    for part in _slices(rows):
+        words.update(_pieces(part.column("text"), pattern)[0])
+    return sorted(w.encode() for w in words)
 
 
 def _taken(values: np.ndarray, lengths: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -340,6 +355,17 @@ def _shard(words: list[bytes], shards: int) -> np.ndarray:
     return (h % np.uint64(shards)).astype(np.int32)
 
 
+class _Ranked:
+    """Ranks of pairs as merge_all() reads them, where the merged symbol is the rank."""
+
+    def __init__(self, pairs: dict[tuple[int, int], int]):
+        self.pairs = pairs
+
+    def get(self, pair: tuple[int, int]) -> tuple[int, int] | None:
+        rank = self.pairs.get(pair)
+        return None if rank is None else (rank, rank)
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, chars: int = ENCODE_CHARS) -> DataFrame:
     """(doc_id, ids array<int>): each match of the pattern encoded by the ranks, one row per input row.
 
@@ -348,10 +374,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chars: int = ENCODE_C
     are read again, puts them at the words' positions. Words travel sorted and compressed, many in one row. Null and
     empty texts have no ids; a frequent word is one entry for each block, so it can't make a hot shard.
     """
+    return _encoded(docs, ranks_path, pattern, chars, lambda ids: [ids], "ids array<int>")
+
+
+def _encoded(docs: DataFrame, ranks_path: str, pattern: str, chars: int, shown: Callable[[pa.ListArray], list[pa.Array]], columns: str) -> DataFrame:
+    """encode() with what shown() makes of the ids, in the task that puts them together: where large lists of ids would
+    go on to another Python worker, each task would hold two workers and the ids twice more on their way."""
     ranks = read_ranks(ranks_path)
-    merges = merge_table(ranks)
     kind = "u2" if max(ranks.values()) < 1 << 16 else "i4"
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, merges, {pair: rank for pair, (rank, _) in merges.items()}))  # fixed by the vocabulary, a few MB
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, {pair: rank for pair, (rank, _) in merge_table(ranks).items()}))  # fixed by the vocabulary, a few MB
+    names = ["doc_id", *(c.split()[0] for c in columns.split(", "))]
     blocks = block_count(docs, chars=chars)
     shards = max(4, math.ceil(blocks * 1.5))
     packed = packed_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), blocks, PACK_LEVEL)
@@ -366,7 +398,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chars: int = ENCODE_C
         return pa.table({"block": pa.array([key[0].as_py()] * len(used), pa.int32()), "shard": pa.array(used, pa.int32()), "words": pa.array(values, pa.binary())})
 
     def encode_shard(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        ranks, merges, pairs = shared.value
+        ranks, pairs = shared.value
+        merges = _Ranked(pairs)
         byte = [ranks.get(bytes([b])) for b in range(256)]
         known: dict[bytes, list[int]] = {}
         out = []
@@ -390,6 +423,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chars: int = ENCODE_C
         data, ends, ids, lengths = (np.concatenate([np.zeros(0, t), *part]) for t, part in zip(("u1", "i4", kind, "i4"), list(zip(*sent)) or [()] * 4))
         offsets = np.r_[0, np.cumsum(ends)].astype(np.int32)
         words = pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(data))
+        return pa.concat_tables(pa.table([part.column("doc_id"), *shown(ids_of(key, part, words, ids, lengths))], names) for part in _slices(rows))
+
+    def ids_of(key: tuple[pa.Scalar, ...], rows: pa.Table, words: pa.StringArray, ids: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
         found, matches, pieces, sizes = _pieces(rows.column("text"), pattern)
         i = pc.index_in(pa.array(found, pa.string()), value_set=words)
         if i.null_count:
@@ -398,11 +434,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chars: int = ENCODE_C
         ids, lengths = _taken(ids, lengths, i), _sums(lengths[i], matches)  # of each piece
         flat = [_taken(ids, lengths, pieces[a : a + DECODE_IDS]).astype(np.int32) for a in range(0, len(pieces), DECODE_IDS)]
         offsets = np.r_[0, np.cumsum(_sums(lengths[pieces], sizes))].astype(np.int32)
-        return pa.table({"doc_id": rows.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)))})
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *flat])))
 
     sent = packed.groupBy("block").applyInArrow(releasing(words_of), "block int, shard int, words binary")
     coded = sent.groupBy("shard").applyInArrow(releasing(encode_shard), "block int, ids binary")
-    return packed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(releasing(put_back), "doc_id long, ids array<int>")
+    return packed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(releasing(put_back), f"doc_id long, {columns}")
 
 
 def token_bytes(ranks_path: str) -> list[bytes]:
@@ -444,30 +480,41 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.mapInArrow(join, f"{kinds}, decoded binary")
 
 
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _hashing(spark: SparkSession, ranks_path: str) -> Callable[[pa.ListArray], list[pa.Array]]:
+    """What makes the columns DIGESTS of lists of ids; ids are decoded as decode() does it, by the token-byte table."""
+    tokens = token_bytes(ranks_path)
+    shared = spark.sparkContext.broadcast((pa.array([b"%d" % i for i in range(len(tokens))], pa.binary()), pa.array(tokens, pa.binary())))
+
+    def hashed(ids: pa.ListArray) -> list[pa.Array]:
+        of_ids, of_bytes = ([hashlib.sha256(x.as_buffer()).hexdigest() for x in joined_entries(table, ids, by)] for table, by in zip(shared.value, (b" ", b"")))
+        return [pa.array(np.diff(ids.offsets.to_numpy()), pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+
+    return hashed
+
+
 def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded (doc_id, ids).
 
     Ids are decoded as decode() does it, and both are hashed beside that, so neither goes back as a column.
     """
-    shared = encoded.sparkSession.sparkContext.broadcast(token_bytes(ranks_path))
+    hashed = _hashing(encoded.sparkSession, ranks_path)
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = pa.array(shared.value, pa.binary())
-        shown = pa.array([b"%d" % i for i in range(len(tokens))], pa.binary())
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(1)
-            n = np.diff(ids.offsets.to_numpy())
-            of_ids, of_bytes = ([hashlib.sha256(x.as_buffer()).hexdigest() for x in joined_entries(table, ids, by)] for table, by in ((shown, b" "), (tokens, b"")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *hashed(batch.column(1))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(hashed, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("doc_id", "ids").mapInArrow(batches_of, f"doc_id long, {DIGESTS}")
 
 
 def _digests(docs: DataFrame, chars: int = ENCODE_CHARS) -> DataFrame:
+    """digests(encode(docs)), made where the ids are put together."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return digests(encode(docs, path, public_tokenizers.PATTERN, chars), path)
+    return _encoded(docs, path, public_tokenizers.PATTERN, chars, _hashing(docs.sparkSession, path), DIGESTS)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
