@@ -47,8 +47,11 @@ def stratified(rows: DataFrame, by: str, order: list[Column], bucket: Column, la
 
 
 def coverage(ours: DataFrame, truth: DataFrame, value: str) -> DataFrame:
-    """(common, total, coverage): the size of the multiset intersection and its share of ours; one row."""
+    """(common, total, coverage): the size of the multiset intersection and its share of ours; one row.
+
+    The share is rounded to six places as a double, not by its decimal digits, as round() does it: halves may differ.
+    """
     a, b = (side.groupBy(value).agg(F.count(F.lit(1)).alias(n)) for side, n in ((ours, "n_ours"), (truth, "n_truth")))
     least = F.least("n_ours", F.coalesce("n_truth", F.lit(0)))
     sums = a.join(b, value, "left").agg(F.sum(least).alias("common"), F.sum("n_ours").alias("total"))
-    return sums.withColumn("coverage", F.round(F.col("common") / F.col("total"), 6))
+    return sums.withColumn("coverage", F.floor(F.col("common") / F.col("total") * 1000000 + 0.5) / 1000000)
