@@ -88,7 +88,7 @@ def header_dictionary(spark, d):
   m AS (SELECT o.vec_id, c.vec_id AS cell, (o.x - c.x) * (o.x - c.x) + (o.y - c.y) * (o.y - c.y) AS d FROM o JOIN o c ON c.vec_id <> o.vec_id AND abs(o.x - c.x) <= 50 AND abs(o.y - c.y) <= 50)
   SELECT vec_id, arg_min(cell, (d, cell)) AS cell, count(*) > 1 AS ambiguous FROM m GROUP BY vec_id""")
 def spatial_best_match(spark, d):
-    """The nearest of the boxes (side 100, around every other point) that hold a point; both meet by buckets of the plane."""
+    """The nearest of the boxes (side 100, around every other point) that hold a point; places meet on tiles of growing size."""
     whole = lambda i: F.floor(F.col("embedding")[i].cast("double") * 1000)
     points = t(spark, d, "embeddings").select("vec_id", whole(0).alias("x"), whole(1).alias("y"))
     return G.best_box(points, points, "vec_id", 50)
